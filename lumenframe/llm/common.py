@@ -32,7 +32,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def buckets_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:

@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def mix_int(x: int) -> int:
-    return int(mix(np.array([x & 0xFFFFFFFFFFFFFFFF], dtype=_U))[0])
+    return int(mix(np.array([int(x) & 0xFFFFFFFFFFFFFFFF], dtype=_U))[0])
 
 
 _TABLE = mix(np.arange(1, 257, dtype=_U) * _U(0xD1B54A32D192ED03))
