@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenframe.llm.jaccard import op5_jaccard_join
+from lumenframe.llm.langid import op2_language_id
 from lumenframe.llm.linedup import op10_line_dedup
 from lumenframe.llm.quality import op6_quality_outliers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
     "op5_jaccard_join": op5_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
     "op6_quality_outliers": op6_quality_outliers,
