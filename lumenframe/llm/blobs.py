@@ -22,7 +22,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     return head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
-_TYPES = ["|u1", "<u2", "<u4", "<u8", "<i8", "|S6"]
+_TYPES = ["|u1", "<u2", "<u4", "<u8", "<i8", *(f"|S{k}" for k in range(1, 9))]
 _CODES = {t: i for i, t in enumerate(_TYPES)}
 
 
@@ -58,14 +58,20 @@ def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
 
 
-def six(x: np.ndarray) -> np.ndarray:
-    """The high 48 bits of uint64 values as 6-byte strings."""
-    return np.ascontiguousarray(np.ascontiguousarray(x, "<u8").view("u1").reshape(-1, 8)[:, 2:]).view("|S6").ravel()
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the smallest type that holds them."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
 
 
-def unsix(x: np.ndarray) -> np.ndarray:
+def cut(x: np.ndarray, width: int) -> np.ndarray:
+    """The high bytes of uint64 values as byte strings of a width."""
+    return np.ascontiguousarray(np.ascontiguousarray(x, "<u8").view("u1").reshape(-1, 8)[:, 8 - width :]).view(f"|S{width}").ravel()
+
+
+def uncut(x: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros((len(x), 8), "u1")
-    out[:, 2:] = np.ascontiguousarray(x).view("u1").reshape(-1, 6)
+    out[:, 8 - width :] = np.ascontiguousarray(x).view("u1").reshape(-1, width)
     return out.view("<u8").ravel()
 
 

@@ -35,10 +35,13 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def buckets_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    """Bucket number that grows with the input, never below the session's shuffle partitions."""
-    spark = df.sparkSession
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bytes_each))
+def buckets_for(df: DataFrame, bytes_each: int, least: int = 4) -> int:
+    """Bucket number that grows with the input.
+
+    Catalyst gives plans of unknown size about 2**63 bytes; those take the session's shuffle partitions.
+    """
+    size = input_bytes(df)
+    return max(least, -(-size // bytes_each) if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:

@@ -43,6 +43,8 @@ HOT_KEEP = 4096  # hot candidates kept by each batch for the corpus-wide count
 HOT_SHARE = 0.002  # a shingle in more than this share of rows is hot
 HOT_LEAST = 256
 LOW_DF = 64  # shingles in at most this many sets are segments of their own
+SKETCH = 6  # least index keys that travel with a set
+BUCKET_BYTES = 24 << 20  # input bytes for which there is one bucket
 BAND, FILL = 8, 3.0  # sizes of a band differ by this factor; mean shingles in a segment at its top
 
 
@@ -92,7 +94,7 @@ def _members(df: DataFrame, n: int) -> DataFrame:
     return common.saved(df.select("id", "text").mapInArrow(work, "kind int, id bigint, key bigint, n bigint"))
 
 
-def _count_side(df: DataFrame, n: int, p: int, hot: np.ndarray) -> DataFrame:
+def _count_side(df: DataFrame, n: int, p: int, width: int, hot: np.ndarray) -> DataFrame:
     """Every set's shingles to the shingles' buckets; hot ones, whose count is known, to a bucket of the set's."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +111,7 @@ def _count_side(df: DataFrame, n: int, p: int, hot: np.ndarray) -> DataFrame:
                 size = np.array([len(s) for s in by_key.values()], np.int64)
                 tok = np.concatenate(list(by_key.values()))
                 owner = np.repeat(np.arange(len(keys)), size)
-                to = (tok >> _U(16)) % _U(p)
+                to = (tok >> _U(64 - 8 * width)) % _U(p)
                 if len(hot):
                     at = np.searchsorted(hot, tok)
                     at[at == len(hot)] = 0
@@ -122,7 +124,7 @@ def _count_side(df: DataFrame, n: int, p: int, hot: np.ndarray) -> DataFrame:
                         own = owner[o]
                         head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                         which = own[head]
-                        out.append(blobs.pack(keys[which], size[which].astype("<u4"), np.diff(np.append(head, len(o))).astype("<u4"), blobs.six(tok[o])))
+                        out.append(blobs.pack(keys[which], blobs.narrow(size[which]), blobs.narrow(np.diff(np.append(head, len(o)))), blobs.cut(tok[o], width)))
                         bucket.append(k)
                 yield blobs.rows(bucket, out)
 
@@ -140,13 +142,13 @@ def _classes(keys, size, count, *per_token):
     return keys[keep], size[keep], count[keep], *(x[tokens] for x in per_token)
 
 
-def _tier_side(counted: DataFrame, p: int, hot: np.ndarray, hot_tier: np.ndarray) -> DataFrame:
+def _tier_side(counted: DataFrame, p: int, width: int, hot: np.ndarray, hot_tier: np.ndarray) -> DataFrame:
     """Counts sets by shingle and returns the shared shingles, with a cost tier, to the sets' buckets."""
-    hot6 = blobs.unsix(blobs.six(hot))
+    hot6 = blobs.uncut(blobs.cut(hot, width), width)
 
     def work(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys, size, count, six = _classes(*blobs.gathered(parts))
-        tok = blobs.unsix(six)
+        tok = blobs.uncut(six, width)
         order = np.argsort(tok)
         s = tok[order]
         head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -169,7 +171,7 @@ def _tier_side(counted: DataFrame, p: int, hot: np.ndarray, hot_tier: np.ndarray
             o = order[bounds[k] : bounds[k + 1]]
             if len(o):
                 take = blobs.ranges(start[o], left[o])
-                yield blobs.rows([k], [blobs.pack(keys[o], size[o], left[o].astype("<u4"), tok6[take], tier[take])])
+                yield blobs.rows([k], [blobs.pack(keys[o], blobs.narrow(size[o]), blobs.narrow(left[o]), tok6[take], tier[take])])
 
     return blobs.exchange(blobs.by_partition(counted, work, blobs.SCHEMA), p)
 
@@ -178,25 +180,28 @@ def _band(size: int) -> int:
     return int(math.log(size, BAND) + 1e-9)
 
 
-def signatures(tok: np.ndarray, tier: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
-    """Index keys of one set, given its shared shingles, their tiers and its whole size."""
+def signatures(tok: np.ndarray, tier: np.ndarray, size: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of one set, given its shared shingles, their tiers and its whole size.
+
+    With each key goes the value of the segments before its own in the order.
+    """
+    none = np.zeros(0, _U), np.zeros(0, np.int64)
     unique = size - len(tok)
     if len(tok) * den < num * size:
-        return np.zeros(0, _U)
+        return none
     most = size * den // num  # the largest partner
     bound = (den - num) * (size + most) // (den + num) - unique
     if bound < 0:
-        return np.zeros(0, _U)
+        return none
     cheap = tier <= math.ceil(math.log2(LOW_DF))
     low = tok[cheap]
     low = low[np.lexsort((low, tier[cheap]))]
     if len(low) > bound:
-        return mix(low[: bound + 1])
-    out = [mix(low)]
+        return mix(low[: bound + 1]), np.arange(bound + 1)
+    out, before = [mix(low)], [np.arange(len(low))]
     spent = len(low)
     rest, rtier = tok[~cheap].astype(_U), tier[~cheap]
-    top = size * den // num
-    for band in range(_band(size), _band(top) + 1):
+    for band in range(_band(size), _band(most) + 1):
         m = max(1, int(BAND ** (band + 1) / FILL))
         seg = (rtier.astype(_U) << _U(56)) | ((mix(rest ^ _U(0x5E61)) % _U(m)) << _U(8)) | _U(band)
         order = np.lexsort((rest, seg))
@@ -206,25 +211,33 @@ def signatures(tok: np.ndarray, tier: np.ndarray, size: int, num: int, den: int)
         value = np.where(k >= 2, 2, 1)
         total = spent + np.cumsum(value)
         stop = min(len(head), int(np.searchsorted(total, bound + 1)) + 1)
-        full = np.add.reduceat(e, head)[:stop] if len(head) else e
-        k, head = k[:stop], head[:stop]
-        out.append(mix(full + mix(g[head])))
         if len(head):
+            full = np.add.reduceat(e, head)[:stop]
+            at = (total - value)[:stop]
+            k, head = k[:stop], head[:stop]
+            out.append(mix(full + mix(g[head])))
+            before.append(at)
             n = int(k.sum())
             seg_of = np.repeat(np.arange(len(head)), k)
             many = k[seg_of] >= 2
             out.append(mix(full[seg_of][many] - e[:n][many] + mix(g[:n][many])))
+            before.append(at[seg_of][many])
         if not len(total) or total[-1] <= bound:
             # the bound cannot be exceeded: match on a plain prefix among such sets, and by every segment with the others
             prefix = np.lexsort((tok, tier))[: size - (num * size + den - 1) // den + 1 - unique]
             out.append(mix(mix(tok[prefix]) ^ _U(0x0DDBA11)))
-    return sorted_distinct(np.concatenate(out))
+            before.append(np.zeros(len(prefix), np.int64))
+    sig, at = np.concatenate(out), np.concatenate(before)
+    o = np.lexsort((at, sig))
+    sig, at = sig[o], at[o]
+    first = np.concatenate([[True], sig[1:] != sig[:-1]])
+    return sig[first], at[first]
 
 
-def _signature_side(tiers: DataFrame, p: int, num: int, den: int) -> DataFrame:
+def _signature_side(tiers: DataFrame, p: int, width: int, num: int, den: int) -> DataFrame:
     def work(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys, size, count, six, tier = blobs.gathered(parts)
-        tok = blobs.unsix(six)
+        tok = blobs.uncut(six, width)
         owner = np.repeat(np.arange(len(keys)), count)
         cls, which = np.unique(keys, return_inverse=True)
         order = np.argsort(which[owner], kind="stable")
@@ -232,69 +245,98 @@ def _signature_side(tiers: DataFrame, p: int, num: int, den: int) -> DataFrame:
         bounds = np.searchsorted(which[owner][order], np.arange(len(cls) + 1))
         sizes = np.zeros(len(cls), np.int64)
         sizes[which] = size
-        sigs, whose = [], []
+        lone = sizes - np.diff(bounds)
+        sigs, spent, whose = [], [], []
+        sketch, sat = np.full((len(cls), SKETCH), ~_U(0)), np.zeros((len(cls), SKETCH), np.int64)
         for c in np.flatnonzero(np.diff(bounds) * den >= num * sizes):
-            s = signatures(tok[bounds[c] : bounds[c + 1]], tier[bounds[c] : bounds[c + 1]], int(sizes[c]), num, den)
+            s, at = signatures(tok[bounds[c] : bounds[c + 1]], tier[bounds[c] : bounds[c + 1]], int(sizes[c]), num, den)
             if len(s):
+                least = np.argsort(s)[:SKETCH]
+                sketch[c, : len(least)], sat[c, : len(least)] = s[least], at[least]
                 sigs.append(s)
+                spent.append(at)
                 whose.append(np.full(len(s), c))
         if not sigs:
             return
-        sig, own = np.concatenate(sigs), np.concatenate(whose)
+        sig, at, own = np.concatenate(sigs), np.concatenate(spent), np.concatenate(whose)
         order, b = blobs.split((sig % _U(p)).astype(np.int64), p)
         for k in range(p):
             o = order[b[k] : b[k + 1]]
             if len(o):
-                yield blobs.rows([k], [blobs.pack(sig[o], cls[own[o]], sizes[own[o]].astype("<u4"))])
+                head = np.flatnonzero(np.concatenate([[True], own[o][1:] != own[o][:-1]]))
+                which = own[o][head]
+                yield blobs.rows([k], [blobs.pack(cls[which], blobs.narrow(sizes[which]), blobs.narrow(lone[which]), blobs.narrow(np.diff(np.append(head, len(o)))), sketch[which].ravel(), blobs.narrow(sat[which].ravel()), sig[o], blobs.narrow(at[o]))])
 
     return blobs.exchange(blobs.by_partition(tiers, work, blobs.SCHEMA), p)
 
 
-def _pair_side(indexed: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of classes that meet in the index and whose sizes allow a link."""
+def _pair_side(indexed: DataFrame, p: int, num: int, den: int) -> DataFrame:
+    """Pairs of classes that meet in the index and whose sizes allow a link.
+
+    Two sizes fix the pair's own bound, less the shingles that each set has alone; a key
+    counts only if both sets reach it within that bound.  Similar sets meet in many
+    buckets: each carries its SKETCH least keys, and if two share one that counts, only
+    the bucket of the least such key reports the pair.
+    """
 
     def work(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        sig, key, size = blobs.gathered(parts)
-        order = np.lexsort((size, sig))
-        sig, key, size = sig[order], key[order], size[order].astype(np.int64)
+        key, size, lone, count, sketch, sat, sig, at = blobs.gathered(parts)
+        here = int(sig[0] % _U(p))
+        size, lone, at = size.astype(np.int64), lone.astype(np.int64), at.astype(np.int64)
+        sketch, sat = sketch.reshape(-1, SKETCH), sat.reshape(-1, SKETCH).astype(np.int64)
+        own = np.repeat(np.arange(len(key)), count)
+        order = np.lexsort((size[own], sig))
+        sig, own, at = sig[order], own[order], at[order]
         head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         n = np.diff(np.append(head, len(sig)))
         end = np.repeat(head + n, n)
-        # within a run sizes ascend: partners of i are the next entries up to den / num times its size
-        reach = np.zeros(len(sig), np.int64)
         many = np.flatnonzero(end - np.arange(len(sig)) > 1)
-        seen = np.zeros((0, 2), _U)
-        most = 2_000_000
         if not len(many):
             return
         reach = end[many] - many - 1
         cum = np.cumsum(reach)
-        i = 0
+        most, i = 2_000_000, 0
+        seen = np.zeros(0, _U)
+
+        def bound(a, b):
+            return (den - num) * (size[a] + size[b]) // (den + num) - lone[a] - lone[b]
+
+        def reported(seen) -> pa.RecordBatch:
+            xs, ys = [], []
+            for k in range(0, len(seen), 500_000):
+                a, b = (seen[k : k + 500_000] >> _U(32)).astype(np.int64), (seen[k : k + 500_000] & _U(0xFFFFFFFF)).astype(np.int64)
+                h = bound(a, b)
+                least = np.full(len(a), ~_U(0))
+                for u in range(SKETCH):
+                    x = sketch[a, u]
+                    hit = ((x[:, None] == sketch[b]) & (sat[b] <= h[:, None])).any(1) & (sat[a, u] <= h)
+                    least = np.where(hit, np.minimum(least, x), least)
+                mine = ((least == ~_U(0)) | (least % _U(p) == _U(here))) & (key[a] != key[b])
+                x, y = key[a[mine]].view(np.int64), key[b[mine]].view(np.int64)
+                xs.append(np.minimum(x, y))
+                ys.append(np.maximum(x, y))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["a", "b"])
+
         while i < len(many):  # blocks of about ``most`` pairs, so a large run is never held at once
             j = max(i + 1, int(np.searchsorted(cum, (cum[i - 1] if i else 0) + most, "right")))
-            a = np.repeat(many[i:j], reach[i:j])
-            b = a + 1 + (np.arange(len(a)) - np.repeat(np.concatenate([[0], np.cumsum(reach[i:j])[:-1]]), reach[i:j]))
-            ok = (den * size[a] >= num * size[b]) & (key[a] != key[b])
-            x, y = key[a[ok]].view(np.int64), key[b[ok]].view(np.int64)
-            new = np.stack([np.minimum(x, y), np.maximum(x, y)], 1).view(_U)
-            h = mix(new[:, 0] * _U(0x9E3779B97F4A7C15) + mix(new[:, 1]))
-            seen = np.concatenate([seen, new[np.unique(h, return_index=True)[1]]])
+            r = reach[i:j]
+            x = np.repeat(many[i:j], r)
+            y = blobs.ranges(many[i:j] + 1, r)
+            a, b = own[x], own[y]
+            h = bound(a, b)
+            ok = (den * size[a] >= num * size[b]) & (at[x] <= h) & (at[y] <= h)
+            a, b = a[ok].astype(_U), b[ok].astype(_U)
+            seen = sorted_distinct(np.concatenate([seen, sorted_distinct((np.minimum(a, b) << _U(32)) | np.maximum(a, b))]))
             if len(seen) > 4 * most:
-                yield _pairs(seen)
+                yield reported(seen)
                 seen = seen[:0]
             i = j
         if len(seen):
-            yield _pairs(seen)
+            yield reported(seen)
 
     return blobs.by_partition(indexed, work, "a bigint, b bigint")
 
 
-def _pairs(seen: np.ndarray) -> pa.RecordBatch:
-    h = mix(seen[:, 0] * _U(0x9E3779B97F4A7C15) + mix(seen[:, 1]))
-    seen = seen[np.unique(h, return_index=True)[1]].view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(seen[:, 0])), pa.array(np.ascontiguousarray(seen[:, 1]))], names=["a", "b"])
-
-
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, p: int, num: int, den: int) -> DataFrame:
     """The pairs whose whole sets link."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -356,7 +398,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2,
     both = _members(docs, n)
     members = both.where("kind = 0").select("id", "key", "n")
     classes = common.saved(members.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    total = members.count()
+    total, shingles = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = max(HOT_LEAST, HOT_SHARE * total)
     # at most mean set size / HOT_SHARE shingles can reach the share, so this list is bounded
     found = both.where("kind = 1").groupBy("key").agg(F.sum("n").alias("c")).where(F.col("c") >= least).orderBy("key").toArrow()
@@ -364,10 +406,12 @@ def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2,
     tier = np.ceil(np.log2(np.maximum(found["c"].to_numpy(), 2))).astype("u1")
     o = np.argsort(hot)
     hot, tier = hot[o], tier[o]
-    p = common.buckets_for(df, 12 << 20)
-    sent = _count_side(docs, n, p, hot)
-    indexed = _signature_side(_tier_side(sent, p, hot, tier), p, num, den)
-    pairs = common.saved(_pair_side(indexed, num, den).distinct())
+    p = common.buckets_for(df, BUCKET_BYTES)
+    # wide enough for the shingles' number: rare false matches only make a shingle look shared
+    width = min(8, max(4, -(-(math.ceil(math.log2(max(2, shingles))) + 12) // 8)))
+    sent = _count_side(docs, n, p, width, hot)
+    indexed = _signature_side(_tier_side(sent, p, width, hot, tier), p, width, num, den)
+    pairs = common.saved(_pair_side(indexed, p, num, den).distinct())
     return members, classes, _verified(docs, classes, pairs, n, p, num, den)
 
 
