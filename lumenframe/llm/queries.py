@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenframe.llm.htmltext import op8_main_text
 from lumenframe.llm.jaccard import op5_jaccard_join
 from lumenframe.llm.langid import op2_language_id
 from lumenframe.llm.linedup import op10_line_dedup
 from lumenframe.llm.mpegts import op1_transport_streams
-from lumenframe.llm.quality import op6_quality_outliers
 from lumenframe.llm.packing import op4_best_fit_packing
+from lumenframe.llm.pieces import op7_sentencepiece
+from lumenframe.llm.quality import op6_quality_outliers
 from lumenframe.llm.tokencount import op3_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,8 +22,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_jaccard_join": op5_jaccard_join,
-    "op10_line_dedup": op10_line_dedup,
     "op6_quality_outliers": op6_quality_outliers,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_main_text": op8_main_text,
+    "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_jaccard_join": r"""
