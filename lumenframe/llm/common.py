@@ -44,9 +44,12 @@ def buckets_for(df: DataFrame, bytes_each: int, least: int = 4) -> int:
     return max(least, -(-size // bytes_each) if size < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """The side, marked for broadcast if its counted rows fit BROADCAST_BYTES."""
-    n = df.count() if rows is None else rows
+def small(df: DataFrame, row_bytes: int, rows: int | None = None, items: str | None = None, item_bytes: int = 16) -> DataFrame:
+    """The side, marked for broadcast if its counted rows, and the items of an array column, fit BROADCAST_BYTES."""
+    n = rows
+    if n is None:
+        n, k = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(items)), F.lit(0)) if items else F.lit(0)).first()
+        row_bytes += item_bytes * k / max(n, 1)
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 

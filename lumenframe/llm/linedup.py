@@ -299,7 +299,7 @@ def _check(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                             out.append((ids[i + d], x, ln.words.hash[ln.lo[k] : ln.hi[k]].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["doc", "line", "words"])
 
-    side = common.small(need, 64)
+    side = common.small(need, 40, items="lines", item_bytes=4)
     words = common.saved(docs.join(side, F.col("id") == F.col("d")).select("id", "text", "lines").mapInArrow(fetch, "doc bigint, line int, words binary"))
     j = pairs.join(words, ["doc", "line"]).join(words.select(F.col("doc").alias("pdoc"), F.col("line").alias("pline"), F.col("words").alias("pwords")), ["pdoc", "pline"])
 
@@ -323,7 +323,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_word
 
 
 def _rebuilt(df: DataFrame, id_col: str, text: str, gone: DataFrame, schema: str, make) -> DataFrame:
-    side = common.small(gone, 512)
+    side = common.small(gone, 40, items="gone", item_bytes=32)
     pre = "__lines_"
     j = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], F.col(f"`{id_col}`").cast("bigint").alias(pre + "id"), F.col(f"`{text}`").cast("string").alias(pre + "text"))
     j = j.join(side, F.col(pre + "id") == F.col("d"), "left")
