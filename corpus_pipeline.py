@@ -1,11 +1,65 @@
-"""Corpus pipeline: language ID, quality rules, line dedup, near duplicates, packing."""
+"""Corpus pipeline: language ID, quality rules, line dedup, near duplicates, packing.
 
-STAGES: list = []
-ORACLE_SQL = None
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and
+returns a DataFrame; all but the last return the columns of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.llm import common, jaccard, langid, linedup, packing, quality
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or whose cross-entropy is beyond the calibrated limit, go."""
+    return langid.keep_documents(docs)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule or lie outside their group's robust distance go."""
+    return quality.keep_documents(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines near to an earlier one go, and with them documents that lose every line."""
+    return linedup.dedup_lines(docs, drop_empty=True)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    groups = common.saved(jaccard.near_duplicates(docs.select("doc_id", "text")))
+    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(common.small(gone, 16), "doc_id", "left_anti").select(*docs.columns)
+    repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()  # only an existence check
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Kneser-Ney models, determinant estimates and packing have no SQL form.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; every stage's result is written and read again."""
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = common.saved(docs)
     return docs

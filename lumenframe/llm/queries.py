@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenframe.llm.htmltext import op8_main_text
 from lumenframe.llm.jaccard import op5_jaccard_join
 from lumenframe.llm.langid import op2_language_id
+from lumenframe.llm.licenses import op9_license_scan
 from lumenframe.llm.linedup import op10_line_dedup
 from lumenframe.llm.mpegts import op1_transport_streams
 from lumenframe.llm.packing import op4_best_fit_packing
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_outliers": op6_quality_outliers,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_main_text": op8_main_text,
+    "op9_license_scan": op9_license_scan,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -84,15 +84,16 @@ def runs(arr: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
 class Words:
     """Words of the texts in one run of rows.
 
+    inside: which bytes belong to words, if not all but white space.
     start, end: byte places of the words; first: index of each document's first word,
     with the total at the end; hash: one 64-bit hash a word.
     """
 
-    def __init__(self, arr: pa.Array, lower: bool = False):
+    def __init__(self, arr: pa.Array, lower: bool = False, inside: np.ndarray | None = None):
         self.buf, self.off = flat(arr)
         self.n_docs = len(self.off) - 1
         n = len(self.buf)
-        self.inside = ~SPACE[self.buf]
+        self.inside = ~SPACE[self.buf] if inside is None else inside[self.buf]
         edge = np.zeros(n + 1, dtype=bool)
         edge[self.off] = True
         w = self.inside
