@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines near to an earlier one go, and with them documents that lose every line."""
-    return linedup.dedup_lines(docs, drop_empty=True)
+    """Lines near to an earlier one go, and with them documents that lose every line; n_chars follows the text."""
+    return linedup.dedup_lines(docs, drop_empty=True).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

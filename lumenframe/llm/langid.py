@@ -35,7 +35,8 @@ CLASSES = 1 << BITS
 MAX_LANGUAGES = 128
 CALIBRATION_ROWS = 20_000
 PARTS = 16
-#: A text is rejected beyond this quantile of the calibration rows' standardised cross-entropy, times the margin.
+#: A text is rejected beyond this quantile of the calibration rows' standardised cross-entropy, times the margin,
+#: if its cross-entropy is also nearer to that of evenly drawn characters than to the language's own.
 QUANTILE, MARGIN = 0.999, 4.0
 
 
@@ -243,7 +244,7 @@ class Model:
         least = h[np.arange(len(h)), best]
         score = np.where(letter, self._score(h, n, self.temperature)[np.arange(len(h)), best], 0.0)
         z = (least - self.centre[best]) / self._width(n) / self.spread[best]
-        return [self.langs[b] if x else "und" for b, x in zip(best, letter, strict=True)], score, least, ~letter | (z > self.limit[best])
+        return [self.langs[b] if x else "und" for b, x in zip(best, letter, strict=True)], score, least, ~letter | ((z > self.limit[best]) & (least > (self.centre[best] + BITS) / 2))
 
 
 def held_out(id_col: Column) -> Column:
