@@ -1,10 +1,372 @@
-"""Queries over the driver's tables and the SQL that must give the same rows."""
+"""Queries over the driver's tables, each with the SQL that must give the same rows.
+
+Objects are made from table rows, go through the engine, and come back as columns.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenframe.functions import columns as cl
+from lumenframe.functions import dictionary as dd
+from lumenframe.functions import tsyntax as ts
+from lumenframe.operators import pixels as px
+from lumenframe.operators import tables
+from lumenframe.plans import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_ORDERS = ["SOPInstanceUID", "PatientID", "StudyDate", "StudyDescription", "SelectorFDValue"]
+
+
+def _order_columns(w: DataFrame) -> DataFrame:
+    return w.select("o_orderkey", F.col("SOPInstanceUID").alias("uid"), F.col("PatientID").alias("patient"), F.col("StudyDate").alias("study_date"), F.col("StudyDescription").alias("priority"), F.col("SelectorFDValue").cast("double").alias("price"), F.col("transfer_syntax_uid").alias("syntax"), "error_code")
+
+
+def _orders_sql(uid: str) -> str:
+    return f"SELECT o_orderkey, '2.25.' || o_orderkey AS uid, o_custkey::VARCHAR AS patient, strftime(o_orderdate, '%Y%m%d') AS study_date, o_orderpriority AS priority, o_totalprice AS price, '{uid}' AS syntax, NULL::VARCHAR AS error_code FROM orders"
+
+
+@query(_orders_sql(ts.EXPLICIT_LE))
+def dataset_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write, parse and project metadata objects."""
+    return _order_columns(tables.wide(tb.order_objects(spark, sf_dir), _ORDERS))
+
+
+def _recoded(target: str) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        o = tb.order_objects(spark, sf_dir).withColumn("content", tables.transcode(F.col("content"), target)["value"])
+        return _order_columns(tables.wide(o, _ORDERS))
+
+    return run
+
+
+for _name, _uid in (("transcode_implicit_le", ts.IMPLICIT_LE), ("transcode_big_endian", ts.EXPLICIT_BE), ("transcode_deflated", ts.DEFLATED)):
+    _f = _recoded(_uid)
+    _f.__name__ = _name
+    query(_orders_sql(_uid))(_f)
+
+_TYPED = ["SelectorFDValue", "SelectorDS", "SelectorISValue", "SelectorUSValue", "SelectorULValue", "SelectorSLValue", "SelectorSVValue", "SelectorCSValue", "SelectorATValue"]
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice AS fd, l_linenumber AS number_is, l_linenumber AS number_us, l_partkey AS ul, -l_suppkey AS sl, -(l_orderkey * 4294967296) AS sv, l_returnflag || chr(92) || l_linestatus AS cs, '(0010,0020)' AS at FROM lineitem")
+def typed_vr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, codes and tags of each representation, through big endian."""
+    li = tb.read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", F.col("l_linenumber").cast("string").alias("is_"), F.col("l_partkey"), (-F.col("l_suppkey")).alias("sl"), (-(F.col("l_orderkey") * F.lit(4294967296))).alias("sv"), F.array("l_returnflag", "l_linestatus").alias("cs"), F.lit(0x00100020).alias("at_")
+    )
+    o = tables.encode(li, {"SelectorFDValue": "l_extendedprice", "SelectorISValue": "is_", "SelectorUSValue": "l_linenumber", "SelectorULValue": "l_partkey", "SelectorSLValue": "sl", "SelectorSVValue": "sv", "SelectorCSValue": "cs", "SelectorATValue": "at_"}, ts.EXPLICIT_BE, ["l_orderkey", "l_linenumber"])
+    w = tables.wide(o, [x for x in _TYPED if x != "SelectorDS"])
+    return w.select("l_orderkey", "l_linenumber", F.col("SelectorFDValue").cast("double").alias("fd"), F.col("SelectorISValue").cast("int").alias("number_is"), F.col("SelectorUSValue").cast("int").alias("number_us"), F.col("SelectorULValue").cast("bigint").alias("ul"), F.col("SelectorSLValue").cast("bigint").alias("sl"), F.col("SelectorSVValue").cast("bigint").alias("sv"), F.col("SelectorCSValue").alias("cs"), F.col("SelectorATValue").alias("at"))
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tb.read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal")
+    return tables.encode(c, {"PatientName": "c_name", "StudyDescription": "c_mktsegment", "SeriesNumber": "c_nationkey", "SelectorFDValue": "c_acctbal", "00131010": "c_name"}, keep=["c_custkey"])
+
+
+def _doc(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
+    return _customers(spark, sf_dir).select("c_custkey", tables.to_json_doc(F.col("content"), **options)["value"].alias("doc"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_mktsegment AS segment, c_nationkey::VARCHAR AS number, c_acctbal AS balance FROM customer")
+def flat_json_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _doc(spark, sf_dir)
+    j = lambda p: F.get_json_object("doc", p)
+    return d.select("c_custkey", j("$.PatientName").alias("name"), j("$.StudyDescription").alias("segment"), j("$.SeriesNumber").alias("number"), j("$.SelectorFDValue").cast("double").alias("balance"))
+
+
+@query("SELECT c_custkey, '00081030' AS segment_key, c_mktsegment AS segment, c_name AS name FROM customer")
+def flat_json_hex_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _doc(spark, sf_dir, keys="hex")
+    keys = F.json_object_keys("doc")
+    return d.select("c_custkey", F.when(F.array_contains(keys, "00081030"), "00081030").alias("segment_key"), F.get_json_object("doc", "$.00081030").alias("segment"), F.get_json_object("doc", "$.00100010").alias("name"))
+
+
+@query("SELECT c_custkey, 'PN' AS vr, 'PatientName' AS keyword, 1 AS vm, c_name AS name, 'FD' AS fd_vr, c_acctbal AS balance, '1.2.840.10008.1.2.1' AS syntax FROM customer")
+def standard_json_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _doc(spark, sf_dir, format="standard")
+    j = lambda p: F.get_json_object("doc", p)
+    return d.select("c_custkey", j("$.00100010.vr").alias("vr"), j("$.00100010.Keyword").alias("keyword"), j("$.00100010.VM").cast("int").alias("vm"), j("$.00100010.Value[0].Alphabetic").alias("name"), j("$.00720072.vr").alias("fd_vr"), j("$.00720072.Value[0]").cast("double").alias("balance"), j("$.00020010.Value[0]").alias("syntax"))
+
+
+@query("SELECT event_id, event_type, user_id, value, props FROM events")
+def json_to_object_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows to flat documents to objects to standard documents to objects to columns."""
+    e = tb.read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("StudyDescription"), F.col("user_id").cast("string").alias("PatientID"), F.col("value").alias("SelectorFDValue"), F.regexp_replace("props", r"\\", "/").alias("TextValue"))).alias("doc"))
+    o = e.select("event_id", tables.from_json_doc(F.col("doc"))["value"].alias("content"))
+    o = o.select("event_id", tables.from_json_doc(tables.to_json_doc(F.col("content"), format="standard")["value"], format="standard")["value"].alias("content"))
+    w = tables.wide(o, ["StudyDescription", "PatientID", "SelectorFDValue", "TextValue"])
+    return w.select("event_id", F.col("StudyDescription").alias("event_type"), F.col("PatientID").cast("bigint").alias("user_id"), F.col("SelectorFDValue").cast("double").alias("value"), F.col("TextValue").alias("props"))
+
+
+@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) + octet_length(encode(text)) % 2 <= 32 THEN 'inline' ELSE 'uri' END AS kind, CASE WHEN octet_length(encode(text)) + octet_length(encode(text)) % 2 <= 32 THEN NULL ELSE octet_length(encode(text)) + octet_length(encode(text)) % 2 END::BIGINT AS length, true AS same FROM documents")
+def bulk_inline_or_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as bulk data: small ones inline, others by an address that leads back to the bytes."""
+    d = tb.read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    o = tables.encode(d, {"EncapsulatedDocument": "raw"}, keep=["doc_id", "raw"]).withColumn("doc", tables.to_json_doc(F.col("content"), bulk="uri")["value"])
+    uri = F.get_json_object("doc", "$.EncapsulatedDocument.BulkDataURI")
+    back = F.coalesce(F.substring(F.col("content"), cl.bulk_uri_part(uri, "offset").cast("int") + 1, cl.bulk_uri_part(uri, "length").cast("int")), F.try_to_binary(F.get_json_object("doc", "$.EncapsulatedDocument.InlineBinary"), F.lit("base64")))
+    return o.select("doc_id", F.when(uri.isNull(), "inline").otherwise("uri").alias("kind"), cl.bulk_uri_part(uri, "length").alias("length"), (F.substring(back, F.lit(1), F.length("raw")) == F.col("raw")).alias("same"))
+
+
+@query("SELECT page_id, page_id * 7 AS \"offset\", len(url)::BIGINT AS length FROM pages")
+def bulk_uri_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tb.read(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_replace("url", r"[?#].*", ""), F.lit("?x=1&offset=3&length="), F.length("url").cast("string"), F.lit("&offset="), (F.col("page_id") * 7).cast("string")).alias("uri"))
+    return p.select("page_id", cl.bulk_uri_part(F.col("uri"), "offset").alias("offset"), cl.bulk_uri_part(F.col("uri"), "length").alias("length"))
+
+
+@query("SELECT o_orderkey, 'Doe^J' AS name, 'URGENT' AS priority, NULL::VARCHAR AS patient FROM orders")
+def attribute_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets in order, then removes."""
+    o = tb.order_objects(spark, sf_dir).withColumn("content", tables.override(F.col("content"), ["PatientName=Doe^J", "StudyDescription=x", "(0008,1030)=URGENT", "PatientID=1"], ["00100020", "PatientSex"])["value"])
+    return tables.wide(o, ["PatientName", "StudyDescription", "PatientID"]).select("o_orderkey", F.col("PatientName").alias("name"), F.col("StudyDescription").alias("priority"), F.col("PatientID").alias("patient"))
+
+
+@query(r"SELECT p_partkey, len(string_split(p_name, ' ')) AS n, replace(p_name, ' ', '|') AS parts, p_size::DOUBLE AS first_size FROM part")
+def multi_value_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tb.read(spark, sf_dir, "part").select("p_partkey", F.replace("p_name", F.lit(" "), F.lit("\\")).alias("text"), F.concat(F.lit(" "), F.col("p_size"), F.lit(" \\x")).alias("sizes"))
+    v = cl.split_multi(F.col("text"))
+    return p.select("p_partkey", F.size(v).cast("bigint").alias("n"), F.array_join(v, "|").alias("parts"), cl.first_number(F.col("sizes")).alias("first_size"))
+
+
+def _windowed(spark: SparkSession, sf_dir: str, options: px.Options, **more: object) -> DataFrame:
+    o = tb.frame_objects(spark, sf_dir, tb.quantized(), 8, 8, **more)
+    return tables.pixel_values(o, options=options, keep=["vec_id"]).select("vec_id", *tb.digest(F.col("values")))
+
+
+_Q = f"SELECT vec_id, list_transform({tb.quantized_sql()}, lambda x: x::DOUBLE) AS v FROM embeddings"
+_R = "SELECT vec_id, list_transform(v, lambda x: x * 2::DOUBLE + (-1024)::DOUBLE) AS v FROM (" + _Q + ")"
+
+
+@query(f"SELECT vec_id, {tb.digest_sql('y')} FROM (SELECT vec_id, {tb.normalize_sql('v')} AS y FROM ({_Q}))")
+def normalize_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windowed(spark, sf_dir, px.Options(voi_lut=False))
+
+
+@query(f"SELECT vec_id, {tb.digest_sql('y')} FROM (SELECT vec_id, {tb.window_sql('v', 2000.0, 900.0)} AS y FROM ({_Q}))")
+def voi_window_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windowed(spark, sf_dir, px.Options(), WindowCenter="2000", WindowWidth="900\\1")
+
+
+@query(f"SELECT vec_id, {tb.digest_sql('y')} FROM (SELECT vec_id, {tb.window_sql('v', 90000.0, 10.0)} AS y FROM ({_Q}))")
+def voi_window_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windowed(spark, sf_dir, px.Options(window_center=90000.0, window_width=10.0))
+
+
+@query(f"SELECT vec_id, {tb.digest_sql('y')} FROM (SELECT vec_id, {tb.window_sql('v', 3000.0, 1500.0)} AS y FROM ({_R}))")
+def modality_lut_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windowed(spark, sf_dir, px.Options(window_center=3000.0, window_width=1500.0), RescaleSlope="2", RescaleIntercept="-1024")
+
+
+@query(f"SELECT vec_id, {tb.digest_sql('y')} FROM (SELECT vec_id, list_transform({tb.window_sql('v', 2000.0, 900.0)}, lambda x: 255 - x) AS y FROM ({_Q}))")
+def monochrome1_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windowed(spark, sf_dir, px.Options(window_center=2000.0, window_width=900.0), photometric="MONOCHROME1")
+
+
+@query(f"SELECT vec_id, {tb.digest_sql('y')} FROM (SELECT vec_id, {tb.window_sql('v', 2000.0, 900.0)} AS y FROM ({_Q}))")
+def window_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same window as Column expressions, without leaving the JVM."""
+    e = tb.read(spark, sf_dir, "embeddings").select("vec_id", F.transform(tb.quantized(), lambda x: x.cast("double")).alias("v"))
+    return e.select("vec_id", cl.window_u8(F.col("v"), 2000.0, 900.0).alias("y")).select("vec_id", *tb.digest(F.col("y")))
+
+
+_S = f"SELECT vec_id, list_transform({tb.quantized_sql()}, lambda x: (CASE WHEN x >= 2048 THEN x - 4096 ELSE x END)::DOUBLE) AS v FROM embeddings"
+
+
+@query(f"SELECT vec_id, {tb.digest_sql('y')} FROM (SELECT vec_id, {tb.normalize_sql('v')} AS y FROM ({_S}))")
+def signed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windowed(spark, sf_dir, px.Options(), PixelRepresentation=1)
+
+
+@query(f"SELECT vec_id, {tb.digest_sql('y')} FROM (SELECT vec_id, list_transform({tb.quantized_sql(1)}, lambda x: CASE WHEN list_min({tb.quantized_sql(1)}) = list_max({tb.quantized_sql(1)}) THEN 0 ELSE x * 255 END) AS y FROM embeddings)")
+def single_bit_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = tb.frame_objects(spark, sf_dir, tb.quantized(1), 8, 8, 1, 1)
+    return tables.pixel_values(o, keep=["vec_id"]).select("vec_id", *tb.digest(F.col("values")))
+
+
+def _table(k: int) -> bytes:
+    return b"".join(((x * (37 + 20 * k) + 11 * k) % 65536).to_bytes(2, "little") for x in range(16))
+
+
+@query(f"SELECT vec_id, {tb.digest_sql('y')} FROM (SELECT vec_id, flatten(list_transform({tb.quantized_sql(255)}, lambda x: list_transform([0, 1, 2], lambda k: ((least(15, greatest(0, x % 24 - 4)) * (37 + 20 * k) + 11 * k) % 65536) * 255 // 65535))) AS y FROM embeddings)")
+def palette_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16-bit palettes of 16 entries that start at 4."""
+    v = F.transform(tb.quantized(255), lambda x: x % 24)
+    more: dict = {f"{c}PaletteColorLookupTableDescriptor": [16, 4, 16] for c in ("Red", "Green", "Blue")} | {f"{c}PaletteColorLookupTableData": _table(k) for k, c in enumerate(("Red", "Green", "Blue"))}
+    o = tb.frame_objects(spark, sf_dir, v, 8, 8, 8, 8, photometric="PALETTE COLOR", **more)
+    return tables.pixel_values(o, keep=["vec_id"]).select("vec_id", *tb.digest(F.col("values")))
+
+
+_P = f"SELECT vec_id, {tb.quantized_sql(255)}[1:63] AS v FROM embeddings"
+
+
+@query(f"SELECT vec_id, {tb.digest_sql('y')} FROM (SELECT vec_id, list_transform(range(0, 63), lambda i: v[(i % 3) * 21 + i // 3 + 1]) AS y FROM ({_P}))")
+def rgb_planar_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes become interleaved samples."""
+    o = tb.frame_objects(spark, sf_dir, F.slice(tb.quantized(255), 1, 63), 3, 7, 8, 8, 3, "RGB", PlanarConfiguration=1)
+    return tables.pixel_values(o, keep=["vec_id"]).select("vec_id", *tb.digest(F.col("values")))
+
+
+@query(f"SELECT vec_id, {tb.digest_sql('y')} FROM (SELECT vec_id, list_transform({tb.quantized_sql()}[1:63], lambda x: trunc(x::DOUBLE / 4095::DOUBLE * 255::DOUBLE)::INT) AS y FROM embeddings)")
+def rgb16_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = tb.frame_objects(spark, sf_dir, F.slice(tb.quantized(), 1, 63), 3, 7, 16, 12, 3, "RGB", PlanarConfiguration=0)
+    return tables.pixel_values(o, keep=["vec_id"]).select("vec_id", *tb.digest(F.col("values")))
+
+
+def _stored(o: DataFrame, n: int, bits: int) -> DataFrame:
+    """Stored values of every frame, read from the native bytes in SQL."""
+    w = bits // 8
+    byte = lambda i: F.conv(F.hex(F.substring(F.col("frame"), i, F.lit(1))), 16, 10).cast("int")
+    value = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: byte(i * w + 1) + (byte(i * w + 2) * 256 if w == 2 else F.lit(0)))
+    return tables.frames(o, keep=["vec_id"]).select("vec_id", "frame_index", value.alias("values"))
+
+
+@query(f"SELECT vec_id, {tb.digest_sql('y')} FROM (SELECT vec_id, list_transform({tb.quantized_sql()}, lambda x, i: CASE WHEN (i - 1) % 8 BETWEEN 2 AND 4 AND (i - 1) // 8 BETWEEN 4 AND 7 OR (i - 1) % 8 >= 7 AND (i - 1) // 8 < 2 THEN (54 * 4095 + 127) // 255 ELSE x END) AS y FROM embeddings)")
+def redact_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two boxes at native depth, back in a deflated file."""
+    o = tb.frame_objects(spark, sf_dir, tb.quantized(), 8, 8).withColumn("content", tables.redact(F.col("content"), ["2,4,3,50%", "-1,0,9,2"], "#FF0000", ts.DEFLATED)["value"])
+    return _stored(o, 64, 16).select("vec_id", *tb.digest(F.col("values")))
+
+
+@query(f"SELECT vec_id, {tb.digest_sql('y')} FROM (SELECT vec_id, list_transform(v, lambda x, i: CASE WHEN (i - 1) % 21 % 7 < 2 AND (i - 1) % 21 // 7 >= 1 THEN [12, 34, 56][(i - 1) // 21 + 1] ELSE x END) AS y FROM ({_P}))")
+def redact_rgb_planar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = tb.frame_objects(spark, sf_dir, F.slice(tb.quantized(255), 1, 63), 3, 7, 8, 8, 3, "RGB", PlanarConfiguration=1).withColumn("content", tables.redact(F.col("content"), ["0,-2,2,10"], "12,34,56")["value"])
+    return _stored(o, 63, 8).select("vec_id", *tb.digest(F.col("values")))
+
+
+_OFFSET = "(CASE WHEN l_linenumber % 5 = 0 THEN -2147483648 ELSE (l_linenumber * 37 - 120) END)"
+_START = f"(CASE WHEN {_OFFSET} = -2147483648 THEN e WHEN {_OFFSET} >= 0 THEN least({_OFFSET}, e) ELSE e - least(-{_OFFSET}, e) END)"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_START}::BIGINT AS begin_at, least({_START} + CASE WHEN l_linenumber % 2 = 0 THEN l_quantity::BIGINT ELSE round(e * least(greatest(l_tax * 1500, 0::DOUBLE), 100::DOUBLE) / 100::DOUBLE)::BIGINT END, e)::BIGINT AS end_at FROM (SELECT *, (l_partkey % 300 + 1)::BIGINT AS e FROM lineitem)")
+def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = tb.read(spark, sf_dir, "lineitem").withColumn("e", F.col("l_partkey") % 300 + 1)
+    off = F.when(F.col("l_linenumber") % 5 == 0, F.lit(-(1 << 31))).otherwise(F.col("l_linenumber") * 37 - 120).cast("bigint")
+    even = F.col("l_linenumber") % 2 == 0
+    pix, pct = F.when(even, F.col("l_quantity").cast("bigint")), F.when(~even, F.col("l_tax") * 1500)
+    return li.select("l_orderkey", "l_linenumber", cl.axis_start(off, F.col("e")).cast("bigint").alias("begin_at"), cl.axis_end(off, pix, pct, F.col("e")).cast("bigint").alias("end_at"))
+
+
+@query("SELECT l_orderkey, l_linenumber, least(255, greatest(0, round(0.2126::DOUBLE * (l_partkey % 256) + 0.7152::DOUBLE * (l_suppkey % 256) + 0.0722::DOUBLE * (l_orderkey % 256))))::INT AS luma, ((l_partkey % 256 * (2 ** (l_linenumber + 8) - 1)::BIGINT + 127) // 255)::INT AS scaled FROM lineitem")
+def luma_and_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = tb.read(spark, sf_dir, "lineitem")
+    m = lambda c: F.col(c) % 256
+    return li.select("l_orderkey", "l_linenumber", cl.luma(m("l_partkey"), m("l_suppkey"), m("l_orderkey")).alias("luma"), cl.scale_to_depth(m("l_partkey"), F.col("l_linenumber") + 8).alias("scaled"))
+
+
+@query("SELECT l_orderkey, l_linenumber, (CASE WHEN w >= h THEN m ELSE greatest(1, round(m::DOUBLE / h * w)) END)::BIGINT AS width, (CASE WHEN w >= h THEN greatest(1, round(m::DOUBLE / w * h)) ELSE m END)::BIGINT AS height FROM (SELECT *, l_quantity::BIGINT AS w, l_partkey % 97 + 1 AS h, l_suppkey % 50 + 1 AS m FROM lineitem)")
+def output_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = tb.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("w"), (F.col("l_partkey") % 97 + 1).alias("h"), (F.col("l_suppkey") % 50 + 1).alias("m"))
+    w, h = cl.scaled_size(F.col("w"), F.col("h"), F.col("m"))
+    return li.select("l_orderkey", "l_linenumber", w.alias("width"), h.alias("height"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN CASE WHEN x > 0 THEN x END WHEN 1 THEN CASE WHEN y > 0 THEN y::DOUBLE END WHEN 2 THEN CASE WHEN x > 0 THEN 1000::DOUBLE / x END ELSE 1000::DOUBLE / ((20::DOUBLE + 40::DOUBLE) / 2) END AS fps FROM (SELECT *, round(value - 50, 2) AS x, (event_id % 60 - 5) AS y FROM events)")
+def frame_rate_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame rates of objects by the chain of attributes."""
+    e = tb.read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).alias("k"), F.round(F.col("value") - 50, 2).alias("x"), (F.col("event_id") % 60 - 5).alias("y"))
+    e = e.select("event_id", F.when(F.col("k") == 0, F.col("x").cast("string")).alias("a"), F.when(F.col("k") == 1, F.col("y").cast("string")).alias("b"), F.when(F.col("k") == 2, F.col("x").cast("string")).alias("c"), F.when(F.col("k") == 3, F.lit("20\\-3\\abc\\40")).alias("d"))
+    o = tables.encode(e, {"CineRate": "b", "FrameTime": "c", "FrameTimeVector": "d", "ImageComments": "a"}, keep=["event_id"])
+    w = tables.wide(o, ["ImageComments", "CineRate", "FrameTime", "FrameTimeVector"])
+    return w.select("event_id", cl.frame_rate(F.col("ImageComments"), F.lit(None).cast("string"), F.col("CineRate"), F.col("FrameTime"), F.col("FrameTimeVector")).alias("fps"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{c.uid}', '{c.name}', {c.encapsulated}, {c.can_transcode_to}, '{c.engine}', {c.claimed_decode}, {c.claimed_encode})" for c in ts.capabilities()) + ") t(uid, name, encapsulated, can_transcode_to, engine, claimed_decode, claimed_encode)")
+def transfer_syntax_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ts.transfer_syntaxes(spark).select("uid", "name", "encapsulated", "can_transcode_to", "engine", "claimed_decode", "claimed_encode")
+
+
+@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'dicom' WHEN 2 THEN 'dicom' WHEN 3 THEN 'json' ELSE NULL END AS kind FROM pages")
+def input_kind_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id") % 5
+    p = tb.read(spark, sf_dir, "pages").select(
+        "page_id",
+        F.when(k == 0, "a/b.JSON").when(k == 1, "x.y/b.Dcm").when(k == 2, "noext").when(k == 3, "pic.png").otherwise("text.txt").alias("path"),
+        F.when(k == 2, F.concat(F.unhex(F.lit("00" * 128)), F.encode(F.concat(F.lit("DICM"), F.col("url")), "UTF-8"))).when(k == 3, F.encode(F.concat(F.lit(" \n[1, "), F.col("url")), "UTF-8")).otherwise(F.encode("html", "UTF-8")).alias("content"),
+    )
+    return p.select("page_id", cl.input_kind(F.col("path"), F.col("content")).alias("kind"))
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, uid: str) -> DataFrame:
+    o = tb.frame_objects(spark, sf_dir, tb.quantized(), 1, 8, frames=8).withColumn("content", tables.transcode(F.col("content"), uid)["value"])
+    kind = tables.wide(o, [], keep=["vec_id"]).select("vec_id", "pixel_kind", F.col("transfer_syntax_uid").alias("syntax"))
+    v = _stored(o, 8, 16)
+    total = v.groupBy("vec_id").agg(F.sum(F.aggregate("values", F.lit(0).cast("bigint"), lambda a, x: a + x) * (F.col("frame_index") + 1)).alias("weighted"), F.count(F.lit(1)).alias("n"))
+    return kind.join(total, "vec_id")
+
+
+def _round_trip_sql(uid: str) -> str:
+    return f"SELECT vec_id, 'encapsulated' AS pixel_kind, '{uid}' AS syntax, list_sum(list_transform({tb.quantized_sql()}, lambda x, i: x::BIGINT * ((i - 1) // 8 + 1)))::BIGINT AS weighted, 8::BIGINT AS n FROM embeddings"
+
+
+@query(_round_trip_sql(ts.ENCAPSULATED_LE))
+def encapsulate_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, ts.ENCAPSULATED_LE)
+
+
+@query(_round_trip_sql(ts.RLE))
+def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round_trip(spark, sf_dir, ts.RLE)
+
+
+@query("SELECT o_orderpriority AS priority, count(*) AS objects, round(sum(o_totalprice), 0) AS price, max(o_custkey) AS last_patient, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)::BIGINT AS open_items FROM orders GROUP BY ALL")
+def elements_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed elements, nested ones too, in ordinary grouping."""
+    e = tables.elements(tb.order_objects(spark, sf_dir)).where(F.col("keyword").isin("StudyDescription", "SelectorFDValue", "PatientID", "CodeValue"))
+    one = lambda k: F.max(F.when(F.col("keyword") == k, F.col("str_values")[0]))
+    o = e.groupBy("o_orderkey").agg(one("StudyDescription").alias("priority"), F.max(F.when(F.col("keyword") == "SelectorFDValue", F.col("num_values")[0])).alias("price"), one("PatientID").cast("bigint").alias("patient"), F.max(F.when(F.col("item_path") == "00400275[0]", F.col("str_values")[0])).alias("status"))
+    return o.groupBy("priority").agg(F.count(F.lit(1)).alias("objects"), F.round(F.sum("price"), 0).alias("price"), F.max("patient").alias("last_patient"), F.sum(F.when(F.col("status") == "O", 1).otherwise(0)).alias("open_items"))
+
+
+@query(f"SELECT vec_id, (i - 1)::INT AS frame_index, list_sum(v[(i - 1) * 8 + 1 : i * 8])::BIGINT AS total FROM (SELECT vec_id, {tb.quantized_sql()} AS v, unnest(range(1, 9)) AS i FROM embeddings)")
+def frame_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = tb.frame_objects(spark, sf_dir, tb.quantized(), 1, 8, frames=8)
+    return _stored(o, 8, 16).select("vec_id", "frame_index", F.aggregate("values", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT tag, tag_hex, keyword, flat_key FROM (VALUES " + ", ".join(f"({t}::BIGINT, '{dd.hex_key(t)}', '{dd.expression(t) if dd.is_group_length(t) else k}', '{dd.flat_key(t)}')" for t, k, _, _ in dd.ENTRIES) + ", (1249296::BIGINT, '00131010', '(0013,1010)', '00131010')) x(tag, tag_hex, keyword, flat_key)")
+def key_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = dd.relation(spark).select("tag").unionByName(spark.range(1).select(F.lit(0x00131010).cast("bigint").alias("tag")))
+    return t.select("tag", cl.hex_key(F.col("tag")).alias("tag_hex"), cl.keyword_of(F.col("tag")).alias("keyword"), cl.flat_key(F.col("tag")).alias("flat_key"))
+
+
+@query("SELECT page_id, 'file://' || replace(replace(url, '%', '%25'), ' ', '%20') AS uri, 'out/x_' || printf('%06d', page_id) || '.png' AS frame_file FROM pages")
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tb.read(spark, sf_dir, "pages").select("page_id", cl.file_uri(F.col("url")).alias("uri"), cl.frame_path(F.lit("out/x.png"), F.col("page_id")).alias("frame_file"))
+
+
+@query()
+def rendered_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PNG renders, resized; a digest of each image."""
+    o = tb.frame_objects(spark, sf_dir, tb.quantized(), 8, 8)
+    r = tables.render(o, options=px.Options(max_size=12, boxes=(px.Box(0, 0, 2, 2),)), keep=["vec_id"])
+    return r.select("vec_id", "frame_index", "width", "height", "format", F.length("bytes").alias("n_bytes"), F.sha2("bytes", 256).alias("sha256"), "error_code")
+
+
+@query(f"SELECT modality, count(*) AS frames, min(list_min(y))::BIGINT AS least, max(list_max(y))::BIGINT AS most, sum(list_sum(y))::BIGINT AS total FROM (SELECT 'M' || label AS modality, {tb.window_sql('v', 2000.0, 900.0)} AS y FROM (SELECT label, list_transform({tb.quantized_sql()}, lambda x: x::DOUBLE) AS v FROM embeddings)) GROUP BY ALL")
+def window_by_modality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: objects written, parsed, windowed, and their pixels grouped by modality."""
+    o = tb.frame_objects(spark, sf_dir, tb.quantized(), 8, 8, WindowCenter="2000", WindowWidth="900")
+    v = tables.pixel_values(o, keep=["vec_id", "label"])
+    v = v.select(F.concat(F.lit("M"), F.col("label")).alias("modality"), F.array_min("values").alias("a"), F.array_max("values").alias("b"), F.aggregate("values", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("t"))
+    return v.groupBy("modality").agg(F.count(F.lit(1)).alias("frames"), F.min("a").cast("bigint").alias("least"), F.max("b").cast("bigint").alias("most"), F.sum("t").alias("total"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_by_modality(spark, sf_dir)

@@ -71,7 +71,7 @@ class Object:
         e = self.get(tag)
         if e is None or e.value is None or isinstance(e.value, bytes | Fragments) or e.vr == "SQ":
             return None
-        return "\\".join(number_text(x) if not isinstance(x, str) else x for x in e.value)
+        return "\\".join(x if isinstance(x, str) else dd.expression(x) if e.vr == "AT" else number_text(x) for x in e.value)
 
     def elements(self) -> Iterator[Element]:
         yield from (self.meta[t] for t in sorted(self.meta))
