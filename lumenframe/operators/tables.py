@@ -276,3 +276,24 @@ def encode(df: DataFrame, attributes: dict[str, str], syntax: str = "1.2.840.100
             yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + [pa.array(out, pa.binary())], names=[*keep, "content"])
 
     return df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(cols)]).mapInArrow(work, _kept(df, keep) + "content binary")
+
+
+def pack(values: Column, bits: int) -> Column:
+    """Little-endian bytes of an array of whole numbers; single bits most significant first."""
+    import numpy as np
+
+    def run(a: pa.Array) -> pa.Array:
+        out = []
+        for x in a.to_pylist():
+            if x is None:
+                out.append(None)
+            elif bits == 1:
+                out.append(np.packbits(np.array(x, np.uint8)).tobytes())
+            else:
+                out.append(np.array(x, np.int64).astype(f"<u{bits // 8}").tobytes())
+        return pa.array(out, pa.binary())
+
+    def one(a: pa.Array) -> pa.Array:
+        return run(a)
+
+    return arrow_udf(one, "binary")(values)
