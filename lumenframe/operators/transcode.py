@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import copy
 from dataclasses import replace
 
 import numpy as np
@@ -17,6 +16,11 @@ from lumenframe.sources.objects import Element, Fragments, Object
 SIDECARS = (0x7FE00001, 0x7FE00002, 0x7FE00003)
 
 
+def clone(o: Object) -> Object:
+    """A copy whose elements may be replaced; elements themselves are never changed."""
+    return Object(dict(o.meta), dict(o.data))
+
+
 def pixel_kind(o: Object) -> str:
     e = o.data.get(ob.PIXELS)
     if e is None or e.vr == "SQ" or e.value is None:
@@ -116,7 +120,7 @@ def transcode(o: Object, target: str, quality: int = 90) -> Object:
     kind = pixel_kind(o)
     if kind != "absent" and not cap.can_encode_pixel_data:
         raise fail("UnsupportedTargetTransferSyntax", f"unsupported target transfer syntax {uid}")
-    o = copy.deepcopy(o)
+    o = clone(o)
     if kind == "encapsulated":
         o = decode(o)
     if kind != "absent" and cap.encapsulated:
@@ -135,7 +139,7 @@ def redact(o: Object, boxes: tuple[px.Box, ...], color: tuple[int, int, int] = (
     cap = ts.capability(uid)
     if cap is None or not cap.can_transcode_to:
         raise fail("UnsupportedTargetTransferSyntax", f"unsupported target transfer syntax {uid}")
-    n = copy.deepcopy(transcode(o, ts.EXPLICIT_LE))
+    n = clone(transcode(o, ts.EXPLICIT_LE))
     m, raw = px.read_meta(n), px.native_bytes(n)
     out = b"".join(px.redact_frame(px.frame_bytes(raw, m, k), m, boxes, color) for k in range(m.frames))
     n.data[ob.PIXELS] = replace(n.data[ob.PIXELS], value=out + raw[len(out) :])
@@ -163,7 +167,7 @@ def render_frames(o: Object, opt: px.Options, every: bool = False) -> list[tuple
 
 def render_object(o: Object, opt: px.Options, target: str) -> Object:
     """All frames rendered to 8 bits and written back; colour renders of palettes become three samples."""
-    n = copy.deepcopy(native(o))
+    n = clone(native(o))
     m = px.read_meta(n)
     plain = replace(opt, width=None, height=None, max_size=None, boxes=())
     frames = [px.render(n, plain, k) for k in range(m.frames)]

@@ -70,14 +70,14 @@ def typed_vr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = tb.read(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_extendedprice", F.col("l_linenumber").cast("string").alias("is_"), F.col("l_partkey"), (-F.col("l_suppkey")).alias("sl"), (-(F.col("l_orderkey") * F.lit(4294967296))).alias("sv"), F.array("l_returnflag", "l_linestatus").alias("cs"), F.lit(0x00100020).alias("at_")
     )
-    o = tables.encode(li, {"SelectorFDValue": "l_extendedprice", "SelectorISValue": "is_", "SelectorUSValue": "l_linenumber", "SelectorULValue": "l_partkey", "SelectorSLValue": "sl", "SelectorSVValue": "sv", "SelectorCSValue": "cs", "SelectorATValue": "at_"}, ts.EXPLICIT_BE, ["l_orderkey", "l_linenumber"])
+    o = tables.encode(tb.spread(li), {"SelectorFDValue": "l_extendedprice", "SelectorISValue": "is_", "SelectorUSValue": "l_linenumber", "SelectorULValue": "l_partkey", "SelectorSLValue": "sl", "SelectorSVValue": "sv", "SelectorCSValue": "cs", "SelectorATValue": "at_"}, ts.EXPLICIT_BE, ["l_orderkey", "l_linenumber"])
     w = tables.wide(o, [x for x in _TYPED if x != "SelectorDS"])
     return w.select("l_orderkey", "l_linenumber", F.col("SelectorFDValue").cast("double").alias("fd"), F.col("SelectorISValue").cast("int").alias("number_is"), F.col("SelectorUSValue").cast("int").alias("number_us"), F.col("SelectorULValue").cast("bigint").alias("ul"), F.col("SelectorSLValue").cast("bigint").alias("sl"), F.col("SelectorSVValue").cast("bigint").alias("sv"), F.col("SelectorCSValue").alias("cs"), F.col("SelectorATValue").alias("at"))
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tb.read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal")
-    return tables.encode(c, {"PatientName": "c_name", "StudyDescription": "c_mktsegment", "SeriesNumber": "c_nationkey", "SelectorFDValue": "c_acctbal", "00131010": "c_name"}, keep=["c_custkey"])
+    return tables.encode(tb.spread(c), {"PatientName": "c_name", "StudyDescription": "c_mktsegment", "SeriesNumber": "c_nationkey", "SelectorFDValue": "c_acctbal", "00131010": "c_name"}, keep=["c_custkey"])
 
 
 def _doc(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
@@ -109,7 +109,7 @@ def standard_json_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_to_object_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows to flat documents to objects to standard documents to objects to columns."""
     e = tb.read(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("StudyDescription"), F.col("user_id").cast("string").alias("PatientID"), F.col("value").alias("SelectorFDValue"), F.regexp_replace("props", r"\\", "/").alias("TextValue"))).alias("doc"))
-    o = e.select("event_id", tables.from_json_doc(F.col("doc"))["value"].alias("content"))
+    o = tb.spread(e).select("event_id", tables.from_json_doc(F.col("doc"))["value"].alias("content"))
     o = o.select("event_id", tables.from_json_doc(tables.to_json_doc(F.col("content"), format="standard")["value"], format="standard")["value"].alias("content"))
     w = tables.wide(o, ["StudyDescription", "PatientID", "SelectorFDValue", "TextValue"])
     return w.select("event_id", F.col("StudyDescription").alias("event_type"), F.col("PatientID").cast("bigint").alias("user_id"), F.col("SelectorFDValue").cast("double").alias("value"), F.col("TextValue").alias("props"))
@@ -119,7 +119,7 @@ def json_to_object_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bulk_inline_or_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as bulk data: small ones inline, others by an address that leads back to the bytes."""
     d = tb.read(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
-    o = tables.encode(d, {"EncapsulatedDocument": "raw"}, keep=["doc_id", "raw"]).withColumn("doc", tables.to_json_doc(F.col("content"), bulk="uri")["value"])
+    o = tables.encode(tb.spread(d), {"EncapsulatedDocument": "raw"}, keep=["doc_id", "raw"]).withColumn("doc", tables.to_json_doc(F.col("content"), bulk="uri")["value"])
     uri = F.get_json_object("doc", "$.EncapsulatedDocument.BulkDataURI")
     back = F.coalesce(F.substring(F.col("content"), cl.bulk_uri_part(uri, "offset").cast("int") + 1, cl.bulk_uri_part(uri, "length").cast("int")), F.try_to_binary(F.get_json_object("doc", "$.EncapsulatedDocument.InlineBinary"), F.lit("base64")))
     return o.select("doc_id", F.when(uri.isNull(), "inline").otherwise("uri").alias("kind"), cl.bulk_uri_part(uri, "length").alias("length"), (F.substring(back, F.lit(1), F.length("raw")) == F.col("raw")).alias("same"))
@@ -282,7 +282,7 @@ def frame_rate_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame rates of objects by the chain of attributes."""
     e = tb.read(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 4).alias("k"), F.round(F.col("value") - 50, 2).alias("x"), (F.col("event_id") % 60 - 5).alias("y"))
     e = e.select("event_id", F.when(F.col("k") == 0, F.col("x").cast("string")).alias("a"), F.when(F.col("k") == 1, F.col("y").cast("string")).alias("b"), F.when(F.col("k") == 2, F.col("x").cast("string")).alias("c"), F.when(F.col("k") == 3, F.lit("20\\-3\\abc\\40")).alias("d"))
-    o = tables.encode(e, {"CineRate": "b", "FrameTime": "c", "FrameTimeVector": "d", "ImageComments": "a"}, keep=["event_id"])
+    o = tables.encode(tb.spread(e), {"CineRate": "b", "FrameTime": "c", "FrameTimeVector": "d", "ImageComments": "a"}, keep=["event_id"])
     w = tables.wide(o, ["ImageComments", "CineRate", "FrameTime", "FrameTimeVector"])
     return w.select("event_id", cl.frame_rate(F.col("ImageComments"), F.lit(None).cast("string"), F.col("CineRate"), F.col("FrameTime"), F.col("FrameTimeVector")).alias("fps"))
 

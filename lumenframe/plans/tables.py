@@ -13,6 +13,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before Python work, if the scan has fewer splits than there are cores.
+
+    A table of any size has more splits, and then nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def order_objects(spark: SparkSession, sf_dir: str, syntax: str = ts.EXPLICIT_LE) -> DataFrame:
     """One metadata object per order."""
     o = read(spark, sf_dir, "orders").select(
@@ -24,7 +33,7 @@ def order_objects(spark: SparkSession, sf_dir: str, syntax: str = ts.EXPLICIT_LE
         F.col("o_totalprice").alias("price"),
         F.array(F.struct(F.col("o_orderstatus").alias("CodeValue"), F.lit("status").alias("CodeMeaning"))).alias("codes"),
     )
-    return tables.encode(o, {"SOPInstanceUID": "uid", "PatientID": "patient", "StudyDate": "date", "StudyDescription": "priority", "SelectorFDValue": "price", "RequestAttributesSequence": "codes"}, syntax, ["o_orderkey"], {"SOPClassUID": "1.2.840.10008.5.1.4.1.1.7", "Modality": "OT"})
+    return tables.encode(spread(o), {"SOPInstanceUID": "uid", "PatientID": "patient", "StudyDate": "date", "StudyDescription": "priority", "SelectorFDValue": "price", "RequestAttributesSequence": "codes"}, syntax, ["o_orderkey"], {"SOPClassUID": "1.2.840.10008.5.1.4.1.1.7", "Modality": "OT"})
 
 
 def quantized(top: int = 4095) -> Column:
@@ -40,7 +49,7 @@ def frame_objects(spark: SparkSession, sf_dir: str, values: Column, rows: int, c
     """One image object per vector."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label", tables.pack(values, bits).alias("pixels"), F.concat(F.lit("M"), F.col("label")).alias("modality"))
     fixed: dict = {"SOPClassUID": "1.2.840.10008.5.1.4.1.1.7", "Rows": rows, "Columns": columns, "SamplesPerPixel": samples, "BitsAllocated": bits, "BitsStored": stored, "HighBit": stored - 1, "PixelRepresentation": 0, "PhotometricInterpretation": photometric, "NumberOfFrames": str(frames)}
-    return tables.encode(e, {"PixelData": "pixels", "Modality": "modality"}, syntax, ["vec_id", "label"], fixed | more)
+    return tables.encode(spread(e), {"PixelData": "pixels", "Modality": "modality"}, syntax, ["vec_id", "label"], fixed | more)
 
 
 def window_sql(v: str, center: float, width: float) -> str:
