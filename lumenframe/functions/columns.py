@@ -139,7 +139,8 @@ def window_u8(values: Column, center: float | None, width: float | None) -> Colu
     if center is None or width is None:
         return normalize_u8(values)
     den = max(width - 1.0, 1.0)
-    lower, upper = center - 0.5 - (width - 1.0) / 2.0, center - 0.5 + (width - 1.0) / 2.0
+    middle, half = center - 0.5, (width - 1.0) / 2.0
+    lower, upper = middle - half, middle + half
     v = F.filter(values, lambda x: ~F.isnan(x))
     lo, hi = F.array_min(v), F.array_max(v)
     overlap = F.greatest(F.lit(0.0), F.least(F.lit(upper), hi) - F.greatest(F.lit(lower), lo)) / F.greatest(hi - lo, F.lit(1.0))

@@ -154,12 +154,17 @@ def normalize(v: np.ndarray) -> np.ndarray:
     return np.trunc(np.clip((v - lo) / (hi - lo) * 255.0, 0, 255)).astype(np.uint8)
 
 
+def window_edges(center: float, width: float) -> tuple[float, float]:
+    middle, half = center - 0.5, (width - 1.0) / 2.0
+    return middle - half, middle + half
+
+
 def window(v: np.ndarray, center: float | None, width: float | None) -> np.ndarray:
     """Intensity window; falls back to the full range if the window misses nearly all values."""
     if center is None or width is None:
         return normalize(v)
     den = max(width - 1.0, 1.0)
-    lower, upper = center - 0.5 - (width - 1.0) / 2.0, center - 0.5 + (width - 1.0) / 2.0
+    lower, upper = window_edges(center, width)
     lo, hi = float(np.nanmin(v)), float(np.nanmax(v))
     overlap = max(0.0, min(upper, hi) - max(lower, lo)) / max(hi - lo, 1.0)
     if upper <= lo or lower >= hi or overlap < 0.05 or int(((v >= lower) & (v <= upper)).sum()) * 100 < v.size:

@@ -17,6 +17,7 @@ from pyspark.sql.functions import arrow_udf
 
 from lumenframe.functions import dictionary as dd
 from lumenframe.functions import documents as docs
+from lumenframe.functions import tsyntax as ts
 from lumenframe.functions.errors import ObjectError
 from lumenframe.operators import pixels as px
 from lumenframe.operators import transcode as tc
@@ -245,7 +246,7 @@ def pixel_values(df: DataFrame, content: str = "content", options: px.Options =
     return _exploded(df, content, keep, mode, schema, [pa.int32()] * 4 + [pa.list_(pa.int32()), pa.string(), pa.string()], f)
 
 
-def encode(df: DataFrame, attributes: dict[str, str], syntax: str = "1.2.840.10008.1.2.1", keep: list[str] | None = None, constants: dict[str, object] | None = None) -> DataFrame:
+def encode(df: DataFrame, attributes: dict[str, str], syntax: str = ts.EXPLICIT_LE, keep: list[str] | None = None, constants: dict[str, object] | None = None) -> DataFrame:
     """Objects from rows: ``attributes`` names the column of each keyword or hexadecimal tag; adds ``content``.
 
     Null leaves an attribute empty. Bulk attributes take binary columns, sequences arrays of

@@ -98,7 +98,7 @@ def flat_json_hex_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("c_custkey", F.when(F.array_contains(keys, "00081030"), "00081030").alias("segment_key"), F.get_json_object("doc", "$.00081030").alias("segment"), F.get_json_object("doc", "$.00100010").alias("name"))
 
 
-@query("SELECT c_custkey, 'PN' AS vr, 'PatientName' AS keyword, 1 AS vm, c_name AS name, 'FD' AS fd_vr, c_acctbal AS balance, '1.2.840.10008.1.2.1' AS syntax FROM customer")
+@query("SELECT c_custkey, 'PN' AS vr, 'PatientName' AS keyword, 1 AS vm, c_name AS name, 'FD' AS fd_vr, c_acctbal AS balance, '" + ts.EXPLICIT_LE + "' AS syntax FROM customer")
 def standard_json_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _doc(spark, sf_dir, format="standard")
     j = lambda p: F.get_json_object("doc", p)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import tsyntax as ts
+from lumenframe.operators import pixels as px
 from lumenframe.operators import tables
 
 
@@ -33,7 +34,7 @@ def order_objects(spark: SparkSession, sf_dir: str, syntax: str = ts.EXPLICIT_LE
         F.col("o_totalprice").alias("price"),
         F.array(F.struct(F.col("o_orderstatus").alias("CodeValue"), F.lit("status").alias("CodeMeaning"))).alias("codes"),
     )
-    return tables.encode(spread(o), {"SOPInstanceUID": "uid", "PatientID": "patient", "StudyDate": "date", "StudyDescription": "priority", "SelectorFDValue": "price", "RequestAttributesSequence": "codes"}, syntax, ["o_orderkey"], {"SOPClassUID": "1.2.840.10008.5.1.4.1.1.7", "Modality": "OT"})
+    return tables.encode(spread(o), {"SOPInstanceUID": "uid", "PatientID": "patient", "StudyDate": "date", "StudyDescription": "priority", "SelectorFDValue": "price", "RequestAttributesSequence": "codes"}, syntax, ["o_orderkey"], {"SOPClassUID": ts.SECONDARY_CAPTURE, "Modality": "OT"})
 
 
 def quantized(top: int = 4095) -> Column:
@@ -48,13 +49,13 @@ def quantized_sql(top: int = 4095) -> str:
 def frame_objects(spark: SparkSession, sf_dir: str, values: Column, rows: int, columns: int, bits: int = 16, stored: int = 12, samples: int = 1, photometric: str = "MONOCHROME2", frames: int = 1, syntax: str = ts.EXPLICIT_LE, **more: object) -> DataFrame:
     """One image object per vector."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label", tables.pack(values, bits).alias("pixels"), F.concat(F.lit("M"), F.col("label")).alias("modality"))
-    fixed: dict = {"SOPClassUID": "1.2.840.10008.5.1.4.1.1.7", "Rows": rows, "Columns": columns, "SamplesPerPixel": samples, "BitsAllocated": bits, "BitsStored": stored, "HighBit": stored - 1, "PixelRepresentation": 0, "PhotometricInterpretation": photometric, "NumberOfFrames": str(frames)}
+    fixed: dict = {"SOPClassUID": ts.SECONDARY_CAPTURE, "Rows": rows, "Columns": columns, "SamplesPerPixel": samples, "BitsAllocated": bits, "BitsStored": stored, "HighBit": stored - 1, "PixelRepresentation": 0, "PhotometricInterpretation": photometric, "NumberOfFrames": str(frames)}
     return tables.encode(spread(e), {"PixelData": "pixels", "Modality": "modality"}, syntax, ["vec_id", "label"], fixed | more)
 
 
 def window_sql(v: str, center: float, width: float) -> str:
     """The intensity window over a list of doubles named ``v``."""
-    den, lower, upper = max(width - 1.0, 1.0), center - 0.5 - (width - 1.0) / 2.0, center - 0.5 + (width - 1.0) / 2.0
+    den, lower, upper = max(width - 1.0, 1.0), *px.window_edges(center, width)
     d = lambda x: f"({x!r})::DOUBLE"
     lo, hi = f"list_min({v})", f"list_max({v})"
     inside = f"len(list_filter({v}, lambda x: x >= {d(lower)} AND x <= {d(upper)}))"

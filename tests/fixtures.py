@@ -12,7 +12,7 @@ def dx(rows=32, columns=40, bits=16, stored=12, **more):
     v = r.integers(0, 1 << stored, rows * columns)
     raw = np.packbits(v.astype(np.uint8)).tobytes() if bits == 1 else v.astype(f"<u{bits // 8}").tobytes()
     base = {
-        "SOPClassUID": "1.2.840.10008.5.1.4.1.1.1.1", "SOPInstanceUID": "2.25.1", "Modality": "DX", "PatientName": "Doe^Jane", "StudyDescription": "CHEST", "Rows": rows, "Columns": columns, "SamplesPerPixel": 1,
+        "SOPClassUID": ts.DIGITAL_XRAY, "SOPInstanceUID": "2.25.1", "Modality": "DX", "PatientName": "Doe^Jane", "StudyDescription": "CHEST", "Rows": rows, "Columns": columns, "SamplesPerPixel": 1,
         "PhotometricInterpretation": "MONOCHROME2", "BitsAllocated": bits, "BitsStored": stored, "HighBit": stored - 1, "PixelRepresentation": 0, "PixelData": raw, 0x00130010: "ACME", 0x00131010: "private text",
     }
     return ob.build(base | more, vrs={0x00131010: "LO"})
