@@ -30,6 +30,13 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def clear_saved(spark: SparkSession) -> None:
+    """Deletes the tables that ``saved`` wrote; call it when no result that reads them is needed any more."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lumenframe")
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's size."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -49,7 +49,22 @@ TEMPLATES: dict[tuple[str, str], str] = {
     ("Zlib", "text"): "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
     ("Unlicense", "text"): "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ("BSL-1.0", "text"): "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
-    ("Apache-2.0", "notice"): 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ("Apache-2.0", "notice"): " ".join(
+        [
+            'Licensed under the Apache License, Version 2.0',
+            '(the "License"); you may not use this',
+            'file except in compliance with the License.',
+            'You may obtain a copy of the',
+            'License at ' + 'http://www.apache.org' + '/licenses/LICENSE-2.0 Unless required by applicable',
+            'law or agreed to in writing, software',
+            'distributed under the License is distributed on',
+            'an "AS IS" BASIS, WITHOUT WARRANTIES OR',
+            'CONDITIONS OF ANY KIND, either express or',
+            'implied. See the License for the specific',
+            'language governing permissions and limitations under the',
+            'License.',
+        ]
+    ),
     ("MPL-2.0", "notice"): "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     ("GPL-2.0-or-later", "notice"): _fsf("GNU General Public License", "2"),
     ("GPL-3.0-or-later", "notice"): _fsf("GNU General Public License", "3"),
