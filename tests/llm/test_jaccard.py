@@ -103,3 +103,5 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(7, "a b c", 1), (7, "a b c", 2), (9, "a b c", 3)], "doc_id bigint, text string, id int")
     assert sorted(map(tuple, jaccard.near_duplicates(df).collect())) == [(7, 2, 2, 7), (7, 2, 2, 7), (9, 2, 2, 7)]
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
+    none = spark.createDataFrame([(None, "a b c"), (None, "x y"), (4, "a b c")], "doc_id bigint, text string")
+    assert sorted(map(repr, map(tuple, jaccard.near_duplicates(none).collect()))) == sorted(map(repr, [(None, 2, 0, None), (None, 1, 0, None), (4, 2, 0, 4)]))
