@@ -10,8 +10,9 @@ Solver: best-fit decreasing gives the first incumbent.  Bin completion then take
 longest remaining piece and tries fillings of its sequence in order of waste, leaving out
 fillings that another one dominates (its parts fit into the other's), and applies each as
 often as the counts allow.  A branch ends when its waste rules out beating the incumbent.
-It stops at the lower bound of Martello and Toth or after ``nodes`` nodes, which bounds
-the search, not the pieces: the best packing found always holds them all.
+It stops at the lower bound of Martello and Toth or after ``nodes`` nodes, and a node
+tries NODE_EFFORT lengths; that bounds the search, not the pieces: the best packing found
+always holds them all.
 
 Defined cases: a null or empty text is the closing id alone; longer texts are cut, with
 the shorter piece first; rows that share an id are packed each on its own.
@@ -34,7 +35,9 @@ from lumenframe.llm import common
 from lumenframe.llm.textvec import runs
 from lumenframe.llm.tokencount import codec, ids_of
 
-CAPACITY, CLOSING, NODES = 2048, 0, 20_000
+CAPACITY, CLOSING, NODES = 2048, 0, 6_000
+NODE_EFFORT = 4_000  # lengths tried at a node of the search; a test of dominance counts as DOMINANCE of them
+DOMINANCE = 40
 
 Plan = list[tuple[tuple[int, ...], int]]  # lengths in a sequence, and how many sequences have them
 
@@ -95,46 +98,59 @@ def _fits(parts: tuple[int, ...], into: tuple[int, ...]) -> bool:
     return False
 
 
-def _exact(total: int, most: int, h: list[int], sizes: list[int], parts: int) -> Iterator[tuple[int, ...]]:
-    """Multisets of at most ``parts`` available lengths up to ``most`` that sum to ``total``, longest first."""
-    if total == 0:
-        yield ()
-        return
+def _exact(total: int, most: int, h: list[int], sizes: list[int], parts: int, effort: list[int]) -> Iterator[tuple[int, ...]]:
+    """Multisets of ``parts`` available lengths up to ``most`` that sum to ``total``, longest first, while effort lasts."""
     if parts == 0:
+        if total == 0:
+            yield ()
         return
     if parts == 1:
-        if total <= most and h[total]:
+        if 0 < total <= most and h[total]:
             yield (total,)
         return
     for s in sizes:
         if s > total or s > most or not h[s]:
             continue
-        if s * parts < total:
+        effort[0] -= 1
+        if s * parts < total or effort[0] < 0:
             return
         h[s] -= 1
         try:
-            for rest in _exact(total - s, s, h, sizes, parts - 1):
+            for rest in _exact(total - s, s, h, sizes, parts - 1, effort):
                 yield (s, *rest)
         finally:
             h[s] += 1
 
 
-def fillings(room: int, waste: int, h: list[int], sizes: list[int], width: int = 6) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of a room, by waste and then by number of parts, at most ``width`` a waste."""
+def fillings(room: int, waste: int, h: list[int], sizes: list[int], effort: int, width: int = 6) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of a room, by waste and then by number of parts, at most ``width`` of a kind.
+
+    If the effort ends before there is one, the best fit, part by part, is given.
+    """
     seen: list[tuple[int, ...]] = []
+    left = [effort]
+    least = sizes[-1] if sizes else room + 1
     for w in range(min(waste, room) + 1):
-        found = 0
-        for parts in range(0 if w == room else 1, 5):
-            for f in _exact(room - w, room, h, sizes, parts):
-                if len(f) != parts or any(_fits(f, g) for g in seen):
-                    continue
-                seen.append(f)
-                yield f
-                found += 1
-                if found >= width:
-                    break
-            if found:
-                break
+        for parts in range(min(5, (room - w) // least + 1)):
+            found = 0
+            for f in _exact(room - w, room, h, sizes, parts, left):
+                left[0] -= DOMINANCE * len(seen)
+                if not any(_fits(f, g) for g in seen):
+                    seen.append(f)
+                    yield f
+                    found += 1
+                    if found >= width:
+                        break
+        if left[0] < 0:
+            break
+    if not seen:
+        f, r = [], room
+        for s in sizes:
+            k = min(h[s], r // s)
+            f += [s] * k
+            r -= s * k
+        if r <= waste:
+            yield tuple(f)
 
 
 def complete(h: np.ndarray, capacity: int, nodes: int = NODES) -> Plan:
@@ -157,7 +173,7 @@ def complete(h: np.ndarray, capacity: int, nodes: int = NODES) -> Plan:
             return False
         left[top] -= 1
         allowed = (count - 1) * capacity - total - wasted
-        stack.append([fillings(capacity - top, max(0, allowed), left, [s for s in sizes if s <= capacity - top and left[s]]), None, 0, 0, top])
+        stack.append([fillings(capacity - top, max(0, allowed), left, [s for s in sizes if s <= capacity - top and left[s]], NODE_EFFORT), None, 0, 0, top])
         left[top] += 1
         return True
 
