@@ -30,12 +30,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
+    """Of each group of linked documents the one with the smallest id stays; of rows that share an id, one."""
     groups = common.saved(jaccard.near_duplicates(docs.select("doc_id", "text")))
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(common.small(gone, 16), "doc_id", "left_anti").select(*docs.columns)
-    repeated = groups.groupBy("doc_id").count().where("count > 1").limit(1).count()  # only an existence check
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()  # only an existence check
+    if not repeated:
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,8 +38,10 @@ def unpack(blob: bytes) -> list[np.ndarray]:
 
 
 def gathered(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
-    """Concatenates unpacked blobs array by array."""
-    return [np.concatenate(x) for x in zip(*parts, strict=True)]
+    """Concatenates unpacked blobs array by array, and empties the list to free them."""
+    out = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    parts.clear()
+    return out
 
 
 def rows(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:

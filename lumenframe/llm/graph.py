@@ -12,30 +12,47 @@ from pyspark.sql import functions as F
 from lumenframe.llm import common
 
 
+LIMIT = 400_000
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star forest with the same components as the edges."""
+    nodes, ids = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, c = ids[: len(u)], ids[len(u) :]
+    root = np.arange(len(nodes))
+    while True:  # min-label hooking with pointer jumping
+        m = np.minimum(root[a], root[c])
+        new = root.copy()
+        np.minimum.at(new, root[a], m)
+        np.minimum.at(new, root[c], m)
+        while True:
+            jump = new[new]
+            if (jump == new).all():
+                break
+            new = jump
+        if (new == root).all():
+            break
+        root = new
+    keep = root != np.arange(len(nodes))
+    return nodes[keep], nodes[root[keep]]
+
+
 def _contract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces a batch's edges by a star forest with the same components."""
+    """Folds a partition's edges into star forests of at most about LIMIT edges each."""
+    u = v = np.zeros(0, np.int64)
     for b in it:
-        u, v = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(u):
-            continue
-        nodes, ids = np.unique(np.concatenate([u, v]), return_inverse=True)
-        a, c = ids[: len(u)], ids[len(u) :]
-        root = np.arange(len(nodes))
-        while True:  # min-label hooking with pointer jumping
-            m = np.minimum(root[a], root[c])
-            new = root.copy()
-            np.minimum.at(new, root[a], m)
-            np.minimum.at(new, root[c], m)
-            while True:
-                jump = new[new]
-                if (jump == new).all():
-                    break
-                new = jump
-            if (new == root).all():
-                break
-            root = new
-        keep = root != np.arange(len(nodes))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(nodes[root[keep]])], names=["u", "v"])
+        u, v = np.concatenate([u, b.column(0).to_numpy()]), np.concatenate([v, b.column(1).to_numpy()])
+        if len(u) > LIMIT:
+            u, v = _forest(u, v)
+            if len(u) > LIMIT // 2:  # it doesn't shrink any more: pass it on
+                yield _edges(u, v)
+                u = v = np.zeros(0, np.int64)
+    if len(u):
+        yield _edges(*_forest(u, v))
+
+
+def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:

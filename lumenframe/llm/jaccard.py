@@ -10,7 +10,8 @@ H = (1 - t) / (1 + t) * (|r| + |s|) elements, t = num / den.
    segments of their own (cheap to index); more frequent ones are hashed into segments
    sized by the set's size band.  Segments have one global order, rarest tier first.
 3. Allocation: a set indexes segments in that order until their values exceed its
-   bound.  A single shingle is worth 1 (subset only); a larger subset is worth 2 and is
+   bound, or only its cheap single shingles if these exceed what it may have alone.  A
+   single shingle is worth 1 (subset only); a larger subset is worth 2 and is
    indexed with its one-deletion neighbourhood.  If the first of two sets to stop has
    spent more than the difference, some indexed segment differs by less than its value,
    and the other set has indexed it too, so the pair meets.
@@ -22,7 +23,8 @@ H = (1 - t) / (1 + t) * (|r| + |s|) elements, t = num / den.
 Equal sets are one class throughout.  Exactness rests on 64-bit hashes not colliding.
 
 Null and empty texts have no set, link with nothing and are their own component.
-Repeated rows with one id count as that many documents.
+Repeated rows with one id count as that many documents. Rows without an id link with
+nothing and have no component.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ HOT_KEEP = 4096  # hot candidates kept by each batch for the corpus-wide count
 HOT_SHARE = 0.002  # a shingle in more than this share of rows is hot
 HOT_LEAST = 256
 LOW_DF = 64  # shingles in at most this many sets are segments of their own
-SKETCH = 6  # least index keys that travel with a set
-BUCKET_BYTES = 24 << 20  # input bytes for which there is one bucket
+SKETCH = 3  # least index keys that travel with a set
+BUCKET_BYTES = 15 << 20  # input bytes for which there is one bucket
 BAND, FILL = 8, 3.0  # sizes of a band differ by this factor; mean shingles in a segment at its top
 
 
@@ -77,8 +79,13 @@ def _members(df: DataFrame, n: int) -> DataFrame:
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids, t = b.column(0), b.column(1)
-            for i, j in runs(t):
-                sets, keys = shingle_sets(t.slice(i, j - i), n)
+            for i, j in runs(t, 8 << 20):
+                sets, keys = [], []
+                for x, y in runs(t.slice(i, j - i)):
+                    part = shingle_sets(t.slice(i + x, y - x), n)
+                    sets += part[0]
+                    keys.append(part[1])
+                keys = np.concatenate(keys)
                 size = np.array([len(s) for s in sets], np.int64)
                 every = np.sort(np.concatenate(sets)) if size.sum() else np.zeros(0, _U)
                 begin = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
@@ -100,7 +107,7 @@ def _count_side(df: DataFrame, n: int, p: int, width: int, hot: np.ndarray) -> D
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             t = b.column(0)
-            for i, j in runs(t, 16 << 20):
+            for i, j in runs(t, 8 << 20):
                 by_key: dict[int, np.ndarray] = {}
                 for x, y in runs(t.slice(i, j - i)):
                     sets, keys = shingle_sets(t.slice(i + x, y - x), n)
@@ -153,9 +160,9 @@ def _tier_side(counted: DataFrame, p: int, width: int, hot: np.ndarray, hot_tier
         s = tok[order]
         head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         df = np.diff(np.append(head, len(s)))
-        each = np.empty(len(s), np.int64)
-        each[order] = np.repeat(df, df)
-        tier = np.ceil(np.log2(np.maximum(each, 1))).astype("u1")
+        tier = np.empty(len(s), "u1")
+        tier[order] = np.repeat(np.ceil(np.log2(df)).astype("u1"), df)
+        del order, s, head, df
         if len(hot6):
             at = np.searchsorted(hot6, tok)
             at[at == len(hot6)] = 0
@@ -183,7 +190,8 @@ def _band(size: int) -> int:
 def signatures(tok: np.ndarray, tier: np.ndarray, size: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Index keys of one set, given its shared shingles, their tiers and its whole size.
 
-    With each key goes the value of the segments before its own in the order.
+    With each key goes twice the value of the segments before its own in the order, plus
+    one for a key of the second sort, which is not a single cheap shingle.
     """
     none = np.zeros(0, _U), np.zeros(0, np.int64)
     unique = size - len(tok)
@@ -196,9 +204,11 @@ def signatures(tok: np.ndarray, tier: np.ndarray, size: int, num: int, den: int)
     cheap = tier <= math.ceil(math.log2(LOW_DF))
     low = tok[cheap]
     low = low[np.lexsort((low, tier[cheap]))]
-    if len(low) > bound:
-        return mix(low[: bound + 1]), np.arange(bound + 1)
-    out, before = [mix(low)], [np.arange(len(low))]
+    # a single shingle's segment differs only if the partner lacks it, so here the one-sided bound counts
+    alone = size - (num * size + den - 1) // den - unique
+    if len(low) > alone:
+        return mix(low[: alone + 1]), np.arange(alone + 1) * 2
+    out, before = [mix(low)], [np.arange(len(low)) * 2]
     spent = len(low)
     rest, rtier = tok[~cheap].astype(_U), tier[~cheap]
     for band in range(_band(size), _band(most) + 1):
@@ -216,17 +226,17 @@ def signatures(tok: np.ndarray, tier: np.ndarray, size: int, num: int, den: int)
             at = (total - value)[:stop]
             k, head = k[:stop], head[:stop]
             out.append(mix(full + mix(g[head])))
-            before.append(at)
+            before.append(at * 2 + 1)
             n = int(k.sum())
             seg_of = np.repeat(np.arange(len(head)), k)
             many = k[seg_of] >= 2
             out.append(mix(full[seg_of][many] - e[:n][many] + mix(g[:n][many])))
-            before.append(at[seg_of][many])
+            before.append(at[seg_of][many] * 2 + 1)
         if not len(total) or total[-1] <= bound:
             # the bound cannot be exceeded: match on a plain prefix among such sets, and by every segment with the others
             prefix = np.lexsort((tok, tier))[: size - (num * size + den - 1) // den + 1 - unique]
             out.append(mix(mix(tok[prefix]) ^ _U(0x0DDBA11)))
-            before.append(np.zeros(len(prefix), np.int64))
+            before.append(np.ones(len(prefix), np.int64))
     sig, at = np.concatenate(out), np.concatenate(before)
     o = np.lexsort((at, sig))
     sig, at = sig[o], at[o]
@@ -234,7 +244,7 @@ def signatures(tok: np.ndarray, tier: np.ndarray, size: int, num: int, den: int)
     return sig[first], at[first]
 
 
-def _signature_side(tiers: DataFrame, p: int, width: int, num: int, den: int) -> DataFrame:
+def _signature_side(tiers: DataFrame, q: int, width: int, num: int, den: int) -> DataFrame:
     def work(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys, size, count, six, tier = blobs.gathered(parts)
         tok = blobs.uncut(six, width)
@@ -259,15 +269,15 @@ def _signature_side(tiers: DataFrame, p: int, width: int, num: int, den: int) ->
         if not sigs:
             return
         sig, at, own = np.concatenate(sigs), np.concatenate(spent), np.concatenate(whose)
-        order, b = blobs.split((sig % _U(p)).astype(np.int64), p)
-        for k in range(p):
+        order, b = blobs.split((sig % _U(q)).astype(np.int64), q)
+        for k in range(q):
             o = order[b[k] : b[k + 1]]
             if len(o):
                 head = np.flatnonzero(np.concatenate([[True], own[o][1:] != own[o][:-1]]))
                 which = own[o][head]
                 yield blobs.rows([k], [blobs.pack(cls[which], blobs.narrow(sizes[which]), blobs.narrow(lone[which]), blobs.narrow(np.diff(np.append(head, len(o)))), sketch[which].ravel(), blobs.narrow(sat[which].ravel()), sig[o], blobs.narrow(at[o]))])
 
-    return blobs.exchange(blobs.by_partition(tiers, work, blobs.SCHEMA), p)
+    return blobs.exchange(blobs.by_partition(tiers, work, blobs.SCHEMA), q)
 
 
 def _pair_side(indexed: DataFrame, p: int, num: int, den: int) -> DataFrame:
@@ -298,19 +308,26 @@ def _pair_side(indexed: DataFrame, p: int, num: int, den: int) -> DataFrame:
         most, i = 2_000_000, 0
         seen = np.zeros(0, _U)
 
-        def bound(a, b):
-            return (den - num) * (size[a] + size[b]) // (den + num) - lone[a] - lone[b]
+        def reached(a, b, at_a, at_b):
+            """Whether both sets spend no more before a key than the pair may differ by."""
+            total = size[a] + size[b]
+            most = (den - num) * total // (den + num) - lone[a] - lone[b]
+            share = -(-num * total // (den + num))
+            one, two = size[a] - share - lone[a], size[b] - share - lone[b]
+            second = (at_a & 1) == 1
+            return (most >= 0) & (at_a // 2 <= np.where(second, most, one)) & (at_b // 2 <= np.where(second, most, two))
 
         def reported(seen) -> pa.RecordBatch:
             xs, ys = [], []
             for k in range(0, len(seen), 500_000):
                 a, b = (seen[k : k + 500_000] >> _U(32)).astype(np.int64), (seen[k : k + 500_000] & _U(0xFFFFFFFF)).astype(np.int64)
-                h = bound(a, b)
                 least = np.full(len(a), ~_U(0))
                 for u in range(SKETCH):
-                    x = sketch[a, u]
-                    hit = ((x[:, None] == sketch[b]) & (sat[b] <= h[:, None])).any(1) & (sat[a, u] <= h)
-                    least = np.where(hit, np.minimum(least, x), least)
+                    for v in range(SKETCH):
+                        x = sketch[a, u]
+                        i = np.flatnonzero((x == sketch[b, v]) & (x < least))
+                        i = i[reached(a[i], b[i], sat[a[i], u], sat[b[i], v])]
+                        least[i] = x[i]
                 mine = ((least == ~_U(0)) | (least % _U(p) == _U(here))) & (key[a] != key[b])
                 x, y = key[a[mine]].view(np.int64), key[b[mine]].view(np.int64)
                 xs.append(np.minimum(x, y))
@@ -323,8 +340,8 @@ def _pair_side(indexed: DataFrame, p: int, num: int, den: int) -> DataFrame:
             x = np.repeat(many[i:j], r)
             y = blobs.ranges(many[i:j] + 1, r)
             a, b = own[x], own[y]
-            h = bound(a, b)
-            ok = (den * size[a] >= num * size[b]) & (at[x] <= h) & (at[y] <= h)
+            ok = np.flatnonzero(den * size[a] >= num * size[b])
+            ok = ok[reached(a[ok], b[ok], at[x[ok]], at[y[ok]])]
             a, b = a[ok].astype(_U), b[ok].astype(_U)
             seen = sorted_distinct(np.concatenate([seen, sorted_distinct((np.minimum(a, b) << _U(32)) | np.maximum(a, b))]))
             if len(seen) > 4 * most:
@@ -340,9 +357,10 @@ def _pair_side(indexed: DataFrame, p: int, num: int, den: int) -> DataFrame:
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, p: int, num: int, den: int) -> DataFrame:
     """The pairs whose whole sets link."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label"))
-    lab = pairs.join(label.select("a", F.col("label").alias("la")), "a").join(label.select(F.col("a").alias("b"), F.col("label").alias("lb")), "b").withColumn("label", F.least("la", "lb"))
-    cuts = lab.groupBy("label").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / 100_000)).alias("cut"))
+    label = common.saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    few = label.count()
+    lab = pairs.join(common.small(label.select("a", F.col("label").alias("la")), 32, few), "a").join(common.small(label.select(F.col("a").alias("b"), F.col("label").alias("lb")), 32, few), "b").withColumn("label", F.least("la", "lb"))
+    cuts = common.small(lab.groupBy("label").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / 100_000)).alias("cut")), 32, few)
     cell = lambda c: F.pmod(F.xxhash64(c), "cut")
     placed = common.saved(lab.join(cuts, "label").select("a", "b", F.xxhash64("label", cell("a"), cell("b")).alias("block")))
     need = placed.select("block", F.col("a").alias("key")).unionByName(placed.select("block", F.col("b").alias("key"))).distinct()
@@ -397,7 +415,8 @@ def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2,
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     both = _members(docs, n)
     members = both.where("kind = 0").select("id", "key", "n")
-    classes = common.saved(members.where("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    docs = docs.where("id is not null")
+    classes = common.saved(members.where("n > 0 and id is not null").groupBy("key").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     total, shingles = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = max(HOT_LEAST, HOT_SHARE * total)
     # at most mean set size / HOT_SHARE shingles can reach the share, so this list is bounded
@@ -410,20 +429,22 @@ def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2,
     # wide enough for the shingles' number: rare false matches only make a shingle look shared
     width = min(8, max(4, -(-(math.ceil(math.log2(max(2, shingles))) + 12) // 8)))
     sent = _count_side(docs, n, p, width, hot)
-    indexed = _signature_side(_tier_side(sent, p, width, hot, tier), p, width, num, den)
-    pairs = common.saved(_pair_side(indexed, p, num, den).distinct())
+    q = max(2, p // 2)  # the index is smaller than the universe, and fewer buckets repeat fewer heads
+    indexed = _signature_side(_tier_side(sent, p, width, hot, tier), q, width, num, den)
+    pairs = common.saved(_pair_side(indexed, q, num, den).distinct())
     return members, classes, _verified(docs, classes, pairs, n, p, num, den)
 
 
 def groups(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Per document: id, n_shingles, n_similar and the smallest id reachable by links."""
     sides = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    other = sides.join(classes.select(F.col("key").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("other")).withColumnRenamed("a", "key")
+    copies = common.small(classes.select(F.col("key").alias("b"), "copies"), 32)
+    other = sides.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("other")).withColumnRenamed("a", "key")
     roots = graph.components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
     c = classes.join(other, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = c.groupBy("root").agg(F.min("rep").alias("component_id"))
     c = common.saved(c.join(least, "root").select("key", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_similar"), "component_id"))
-    return members.join(c, "key", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("n_similar")).otherwise(F.lit(0)).cast("bigint").alias("n_similar"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return members.join(c, "key", "left").select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("n_similar")).otherwise(F.lit(0)).cast("bigint").alias("n_similar"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2, num: int = 60, den: int = 100) -> DataFrame:
