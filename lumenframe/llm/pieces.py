@@ -22,6 +22,7 @@ that aren't UTF-8 decode to U+FFFD.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm import common
 from lumenframe.llm.textvec import runs
 
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 _SEGMENT = re.compile("▁+[^▁]*|[^▁]+")
 
 
@@ -118,6 +119,9 @@ class Model:
         normal = [self.score[i] for i in self.id.values()]
         self.penalty = np.float32(min(normal) - np.float32(10))
         self.raw = [bytes([int(t[3:5], 16)]) if k == self.BYTE else b"" if k == self.CONTROL else " ⁇ ".encode() if k == self.UNKNOWN else t.replace("▁", " ").encode() for t, k in zip(self.text, self.kind, strict=True)]
+        self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.sizes = np.array([len(x) for x in self.raw], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}  # segments met lately, and those met before them
         self.older: dict[str, bytes] = {}
@@ -247,6 +251,36 @@ class Stream:
         return self._path(len(self.window))
 
 
+def _short(m: Model, x: str) -> list[int]:
+    """``Stream`` over a BPE segment that fits its window, so that nothing is committed before the end."""
+    have, pairs, allowed, longest = m.id, m.pairs, m.allowed, m.longest
+    back, last = [0], [""]
+    n = len(x)
+    for i in range(1, n + 1):
+        for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):
+            t = x[j:i]
+            if t in have or j == i - 1:
+                ok = pairs.get((last[j], t))
+                if ok is None:
+                    ok = allowed(last[j], t)
+                if ok:
+                    back.append(j)
+                    last.append(t)
+                    break
+    pieces = []
+    while n:
+        pieces.append(last[n])
+        n = back[n]
+    out = []
+    for p in reversed(pieces):
+        i = have.get(p)
+        if i is None:
+            out += m.ids(p)
+        else:
+            out.append(i)
+    return out
+
+
 def normalized(m: Model, text: str) -> str:
     if not m.identity:
         return m.library.normalize(text)
@@ -276,8 +310,12 @@ def encode(m: Model, text: str | None) -> bytes:
                 m.remember(seg, ids)
                 known = m.known
         if ids is None:
-            s = Stream(m)
-            ids = np.array(s.feed(seg) + s.finish(), "<u4").tobytes()
+            if m.bpe and len(seg) <= 2 * m.longest:
+                found = _short(m, seg)
+            else:
+                s = Stream(m)
+                found = s.feed(seg) + s.finish()
+            ids = struct.pack(f"<{len(found)}I", *found)
             m.remember(seg, ids)
             known = m.known
         out.append(ids)
@@ -292,7 +330,9 @@ def decode(m: Model, ids: bytes) -> str:
     n = np.frombuffer(ids, "<u4")
     if len(n) and int(n.max()) >= len(m.text):
         raise ValueError("id out of range")
-    data = b"".join(map(m.raw.__getitem__, n.tolist()))
+    size = m.sizes[n]
+    begin = np.cumsum(size) - size
+    data = m.flat[np.repeat(m.starts[n] - begin, size) + np.arange(int(size.sum()))].tobytes()
     if m.dummy and data[:1] == b" ":
         data = data[1:]
     return data.decode("utf-8", "replace")
