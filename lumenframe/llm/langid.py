@@ -208,7 +208,7 @@ class Model:
 
     def calibrate(self, h: np.ndarray, n: np.ndarray, truth: np.ndarray) -> None:
         """Temperature of the score; centre, spread and limit of each language's cross-entropy."""
-        best = h.argmin(1) if len(h) else np.zeros(0, int)
+        best = h.argmin(1) if h.size else np.zeros(0, int)
         loss = []
         scale = 2.0 ** np.arange(0, 9)
         for t in scale:
@@ -248,7 +248,7 @@ class Model:
 
 
 def held_out(id_col: Column) -> Column:
-    return F.crc32(id_col.cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> Model:
@@ -271,7 +271,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "
     names = {x: i for i, x in enumerate(model.langs)}
     ok = [x in names for x in t["lang"].to_pylist()]
     t = t.filter(pa.array(ok, pa.bool_()))
-    model.calibrate(np.array(t["h"].to_pylist(), float).reshape(-1, len(names)), t["n"].to_numpy(), np.array([names[x] for x in t["lang"].to_pylist()], int))
+    model.calibrate(np.array(t["h"].to_pylist(), float).reshape(len(t), len(names)), t["n"].to_numpy(), np.array([names[x] for x in t["lang"].to_pylist()], int))
     return model
 
 
