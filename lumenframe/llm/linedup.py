@@ -1,10 +1,11 @@
 """Line dedup: a deletion-neighbourhood join over all lines of a corpus.
 
 A line is its sequence of words (A-Z lowered, white space ignored).  Lines of fewer than
-``min_words`` words are never removed.  Two lines are near if they are equal, or if one
-word edit (replace, insert, delete) turns one into the other and the longer one has at
-least ``edit_words`` words.  A line is removed if a near line stands earlier, in the
-order of (id, line number); the earliest stays.
+``min_words`` words are never removed.  Two lines are near if they are equal, or if as
+many word edits (replace, insert, delete) turn one into the other as the longer one's
+length allows: none under ``edit_words`` words, then one, and one per ``edit_every`` words
+from 2 * edit_every on.  A line is removed if a near line stands earlier, in the order of
+(id, line number); the earliest stays.
 
 1. Every distinct line sends, once per task, its hash with its first place, and hashes
    of its leading and trailing halves.  One edit leaves a half intact, so only lines
@@ -15,6 +16,12 @@ order of (id, line number); the earliest stays.
    earliest line of each key comes from a map-side combined minimum, so no group is
    collected and no pairs are enumerated.
 3. Each line and its earliest partner are fetched and their edit distance is verified.
+4. Lines that may differ by k >= 2 words: an edit touches at most q of a line's windows of
+   q words, so each of two near lines lacks at most kq windows of the other, and the kq + 1
+   least windows (by hash, repeats numbered) of both share one.  Only windows shared by
+   different lines go on.  A line not yet removed is compared with the earliest line of
+   each shared window, then, if it still stands, with the other earlier ones; lengths and
+   word histograms drop most pairs before the lines are fetched and verified.
 
 Defined cases: null and empty texts have no lines; a text whose lines all go is empty;
 rows that share an id share their places and lose the same lines; other columns pass
@@ -34,13 +41,19 @@ from lumenframe.llm import blobs, common
 from lumenframe.llm.textvec import Words, mix, runs
 
 _U = np.uint64
-MIN_WORDS, EDIT_WORDS = 5, 10
+MIN_WORDS, EDIT_WORDS, EDIT_EVERY = 5, 10, 20
+BINS = 16
 #: Keys up to this many are looked up in broadcast sorted arrays; more go through joins.
 LOOKUP_KEYS = 3_000_000
 _ROLL = 0xD1342543DE82EF95
 _ROLL_INV = pow(_ROLL, -1, 1 << 64)
 
 
+def bound(n: np.ndarray, edit_words: int, every: int) -> np.ndarray:
+    """Word edits allowed where the longer line has n words."""
+    return np.where(n >= edit_words, np.maximum(n // every, 1), 0)
+
+
 class Lines:
     """The lines with words of a run of texts: document, number, word range and rolling hashes."""
 
@@ -87,6 +100,33 @@ class Lines:
         tail = self.raw(k + 1, np.full(len(k), b)) * self.p[k - a]
         return mix(head + tail + _U(b - a - 1))
 
+    def far(self, min_words: int, every: int) -> np.ndarray:
+        """Lines that may have a partner more than one edit away."""
+        return np.flatnonzero((self.n >= min_words) & (self.n * every // (every - 1) >= 2 * every))
+
+    def windows(self, at: np.ndarray, every: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the least windows of the given lines, and which of ``at`` each belongs to."""
+        q = max(1, min(5, every // 4))
+        m = self.n[at] - q + 1
+        a = blobs.ranges(self.lo[at], m)
+        h, who = self.part(a, a + q), np.repeat(np.arange(len(at)), m)
+        o = np.lexsort((h, who))
+        h = h[o]
+        k = np.arange(len(h))
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
+        again = k - np.maximum.accumulate(np.where(new, k, 0))
+        # the longest partner has n * every // (every - 1) words
+        most = self.n[at] * every // (every - 1) // every * q + 1
+        pick = k - np.repeat(np.cumsum(m) - m, m) < most[who]
+        return mix(h[pick] + again[pick].astype(_U) * _U(_ROLL)) ^ _U(0x3C3C), who[pick]
+
+    def histograms(self, at: np.ndarray) -> np.ndarray:
+        """Counts of words by hash; a word edit changes them by 2 at most."""
+        w = blobs.ranges(self.lo[at], self.n[at])
+        cell = np.repeat(np.arange(len(at)), self.n[at]) * BINS + (self.words.hash[w] >> _U(60)).astype(np.int64)
+        return np.minimum(np.bincount(cell, minlength=len(at) * BINS), 255).astype("u1").reshape(-1, BINS)
+
 
 def _earliest(key, doc, line, full):
     """First place of each key."""
@@ -105,21 +145,29 @@ def _spread(key, one, two):
     return k[head], one[o][head] if len(k) else one, np.maximum.reduceat(two[o], head) if len(k) else two
 
 
-def _first_side(docs: DataFrame, p: int, min_words: int, edit_words: int) -> DataFrame:
+def _first_side(docs: DataFrame, p: int, min_words: int, edit_words: int, every: int) -> DataFrame:
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact: list = []
         half: list = []
+        wide: list = []
         size = 0
 
         def sent() -> pa.RecordBatch:
             key, doc, line, n = _earliest(*(np.concatenate(x) for x in zip(*exact, strict=True)))
             hk, lo, hi = _spread(*(np.concatenate(x) for x in zip(*half, strict=True)))
+            wk, wl = (np.concatenate(x) for x in zip(*wide, strict=True))
+            o = np.lexsort((wl, wk))
+            wk, wl = wk[o], wl[o]
+            new = np.ones(len(wk), bool)
+            new[1:] = (wk[1:] != wk[:-1]) | (wl[1:] != wl[:-1])
+            wk, wl = wk[new], wl[new]
+            o3, b3 = blobs.split((wk % _U(p)).astype(np.int64), p)
             o1, b1 = blobs.split((key % _U(p)).astype(np.int64), p)
             o2, b2 = blobs.split((hk % _U(p)).astype(np.int64), p)
             out = []
             for k in range(p):
-                x, y = o1[b1[k] : b1[k + 1]], o2[b2[k] : b2[k + 1]]
-                out.append(blobs.pack(key[x], doc[x], line[x].astype("<u4"), np.minimum(n[x], 2).astype("u1"), hk[y], lo[y], hi[y]))
+                x, y, z = o1[b1[k] : b1[k + 1]], o2[b2[k] : b2[k + 1]], o3[b3[k] : b3[k + 1]]
+                out.append(blobs.pack(key[x], doc[x], line[x].astype("<u4"), np.minimum(n[x], 2).astype("u1"), hk[y], lo[y], hi[y], wk[z], wl[z]))
             return blobs.rows(list(range(p)), out)
 
         for b in it:
@@ -131,10 +179,13 @@ def _first_side(docs: DataFrame, p: int, min_words: int, edit_words: int) -> Dat
                 ok = np.flatnonzero(ln.n >= max(edit_words - 1, min_words))
                 h = ln.halves(ok)
                 half.append((np.concatenate(h), np.tile(ln.full[ok], len(h)), np.tile(ln.full[ok], len(h))))
-                size += len(h[0]) * 5
+                ok = ln.far(min_words, every)
+                key, who = ln.windows(ok, every)
+                wide.append((key, ln.full[ok][who]))
+                size += len(h[0]) * 5 + len(key)
                 if size > 1_500_000:
                     yield sent()
-                    exact, half, size = [], [], 0
+                    exact, half, wide, size = [], [], [], 0
         if exact:
             yield sent()
 
@@ -142,28 +193,31 @@ def _first_side(docs: DataFrame, p: int, min_words: int, edit_words: int) -> Dat
 
 
 def _second_side(sent: DataFrame) -> DataFrame:
-    """kind 0: a repeated line with its first place; kind 1: a half of two or more different lines."""
+    """kind 0: a repeated line with its first place; kinds 1 and 4: a half, a window of two or more different lines."""
 
     def work(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, doc, line, n, hk, lo, hi = blobs.gathered(parts)
+        key, doc, line, n, hk, lo, hi, wk, wl = blobs.gathered(parts)
         k1, d1, l1, m = _earliest(key, doc, line.astype(np.int64), None)
         many = np.unique(key[n > 1])
         keep = (m > 1) | np.isin(k1, many)
         k2, a, b = _spread(hk, lo, hi)
         k2 = k2[a != b]
+        k3, a, b = _spread(wk, wl, wl)
+        k3 = k3[a != b]
         z = int(keep.sum())
-        kind = np.repeat([0, 1], [z, len(k2)]).astype(np.int32)
-        pad = np.zeros(len(k2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([k1[keep], k2]).view(np.int64)), pa.array(np.concatenate([d1[keep], pad])), pa.array(np.concatenate([l1[keep], pad]).astype(np.int32))], names=["kind", "key", "doc", "line"])
+        kind = np.repeat([0, 1, 4], [z, len(k2), len(k3)]).astype(np.int32)
+        pad = np.zeros(len(k2) + len(k3), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([k1[keep], k2, k3]).view(np.int64)), pa.array(np.concatenate([d1[keep], pad])), pa.array(np.concatenate([l1[keep], pad]).astype(np.int32))], names=["kind", "key", "doc", "line"])
 
     return common.saved(blobs.by_partition(sent, work, "kind int, key bigint, doc bigint, line int"))
 
 
-_RECORD = "kind int, key bigint, pos int, doc bigint, line int, full bigint"
+_RECORD = "kind int, key bigint, pos int, doc bigint, line int, full bigint, bins binary"
 
 
-def _record(kind, key, pos, doc, line, full) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int32)), pa.array(np.asarray(key, _U).view(np.int64)), pa.array(np.asarray(pos, np.int32)), pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(line, np.int32)), pa.array(np.asarray(full, _U).view(np.int64))], names=["kind", "key", "pos", "doc", "line", "full"])
+def _record(kind, key, pos, doc, line, full, bins=None) -> pa.RecordBatch:
+    bins = pa.nulls(len(kind), pa.binary()) if bins is None else pa.array([x.tobytes() for x in bins], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int32)), pa.array(np.asarray(key, _U).view(np.int64)), pa.array(np.asarray(pos, np.int32)), pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(line, np.int32)), pa.array(np.asarray(full, _U).view(np.int64)), bins], names=["kind", "key", "pos", "doc", "line", "full", "bins"])
 
 
 def _emit(ln: Lines, ids: np.ndarray, at: np.ndarray, edit_words: int) -> Iterator[pa.RecordBatch]:
@@ -183,15 +237,27 @@ def _emit(ln: Lines, ids: np.ndarray, at: np.ndarray, edit_words: int) -> Iterat
         yield _record(np.full(len(w), 2), np.concatenate(key), np.concatenate(pos), ids[ln.doc[w]], ln.number[w], ln.full[w])
 
 
-def _looked_up(docs: DataFrame, found: DataFrame, min_words: int, edit_words: int) -> DataFrame:
-    """Removed equal lines (kind 0) and the records of lines that share a half (kind 2), by broadcast arrays."""
+def _far(ln: Lines, ids: np.ndarray, at: np.ndarray, every: int, shared=None) -> Iterator[pa.RecordBatch]:
+    """kind 4: the windows of the given lines (pos: number of words)."""
+    key, who = ln.windows(at, every)
+    if shared is not None:
+        ok = shared(key)
+        key, who = key[ok], who[ok]
+    if len(key):
+        mine, who = np.unique(who, return_inverse=True)
+        w = at[mine][who]
+        yield _record(np.full(len(w), 4), key, ln.n[w], ids[ln.doc[w]], ln.number[w], ln.full[w], ln.histograms(at[mine])[who])
+
+
+def _looked_up(docs: DataFrame, found: DataFrame, min_words: int, edit_words: int, every: int) -> DataFrame:
+    """Removed equal lines (kind 0) and the records of lines that share a half (kind 2) or a window (kind 4), by broadcast arrays."""
     sc = docs.sparkSession.sparkContext
     t = found.orderBy("kind", "key").toArrow()
     kind = t["kind"].to_numpy()
     key = t["key"].to_numpy().view(_U)
     eq, hf = kind == 0, kind == 1
     o = np.argsort(key[eq])
-    shared = sc.broadcast((key[eq][o], t["doc"].to_numpy()[eq][o], t["line"].to_numpy()[eq][o], np.sort(key[hf])))
+    shared = sc.broadcast((key[eq][o], t["doc"].to_numpy()[eq][o], t["line"].to_numpy()[eq][o], np.sort(key[hf]), np.sort(key[kind == 4])))
 
     def has(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
         if not len(sorted_keys):
@@ -201,7 +267,7 @@ def _looked_up(docs: DataFrame, found: DataFrame, min_words: int, edit_words: in
         return sorted_keys[at] == x
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ek, ed, el, hk = shared.value
+        ek, ed, el, hk, wk = shared.value
         for b in it:
             allids, t = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1)
             for i, j in runs(t):
@@ -220,11 +286,14 @@ def _looked_up(docs: DataFrame, found: DataFrame, min_words: int, edit_words: in
                     for h in ln.halves(at):
                         near |= has(hk, h)
                     yield from _emit(ln, ids, at[near], edit_words)
+                at = ln.far(min_words, every)
+                if len(wk):
+                    yield from _far(ln, ids, at[~gone[at]], every, lambda x: has(wk, x))
 
     return docs.mapInArrow(work, _RECORD)
 
 
-def _joined(docs: DataFrame, found: DataFrame, min_words: int, edit_words: int) -> DataFrame:
+def _joined(docs: DataFrame, found: DataFrame, min_words: int, edit_words: int, every: int) -> DataFrame:
     """The same records through joins, for key lists of any size."""
 
     def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,10 +306,11 @@ def _joined(docs: DataFrame, found: DataFrame, min_words: int, edit_words: int)
                 ok = np.flatnonzero(ln.n >= max(edit_words - 1, min_words))
                 for h in ln.halves(ok):
                     yield _record(np.ones(len(ok)), h, np.full(len(ok), -2), ids[ln.doc[ok]], ln.number[ok], ln.full[ok])
+                yield from _far(ln, ids, ln.far(min_words, every), every)
 
     rows = docs.mapInArrow(keys, _RECORD)
     firsts = found.where("kind = 0").select("key", F.col("doc").alias("d0"), F.col("line").alias("l0"))
-    gone = common.saved(rows.where("kind = 0").join(firsts, "key").where("doc <> d0 or line <> l0").select(*[F.col(c) for c in ("kind", "key", "pos", "doc", "line", "full")]))
+    gone = common.saved(rows.where("kind = 0").join(firsts, "key").where("doc <> d0 or line <> l0").select(*[F.col(c) for c in ("kind", "key", "pos", "doc", "line", "full", "bins")]))
     near = rows.where("kind = 1").join(found.where("kind = 1").select("key"), "key", "left_semi").select("doc", "line").distinct().join(gone.select("doc", "line"), ["doc", "line"], "left_anti")
     by_doc = near.groupBy(F.col("doc").alias("d")).agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
@@ -253,7 +323,8 @@ def _joined(docs: DataFrame, found: DataFrame, min_words: int, edit_words: int)
                 at = [begin[d] + x for d, xs in enumerate(want.slice(i, j - i).to_pylist()) for x in xs if x < begin[d + 1] - begin[d]]
                 yield from _emit(ln, allids[i:j], np.array(at, np.int64), edit_words)
 
-    return gone.unionByName(docs.join(by_doc, F.col("id") == F.col("d")).select("id", "text", "lines").mapInArrow(variants, _RECORD))
+    far = rows.where("kind = 4").join(found.where("kind = 4").select("key"), "key", "left_semi").join(gone.select("doc", "line").distinct(), ["doc", "line"], "left_anti")
+    return gone.unionByName(far).unionByName(docs.join(by_doc, F.col("id") == F.col("d")).select("id", "text", "lines").mapInArrow(variants, _RECORD))
 
 
 def _partners(rec: DataFrame) -> DataFrame:
@@ -266,22 +337,97 @@ def _partners(rec: DataFrame) -> DataFrame:
     return got.groupBy("doc", "line", "full").agg(F.min("cand").alias("c")).select("doc", "line", "full", F.col("c.doc").alias("pdoc"), F.col("c.line").alias("pline"))
 
 
-def within_one(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether one edit turns one sequence into the other."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    n = len(a)
-    diff = np.flatnonzero(a != b[:n])
-    if not len(diff):
-        return True
-    i = diff[0]
-    return bool((a[i + 1 :] == b[i + 1 :]).all()) if len(a) == len(b) else bool((a[i:] == b[i + 1 :]).all())
-
+def _pairs(rec: DataFrame, done: DataFrame, first: bool, edit_words: int, every: int) -> DataFrame:
+    """Lines not done with earlier lines that share a window with them and may be near: the earliest of each window, or all others."""
+    flag = done.select("doc", "line").distinct().withColumn("done", F.lit(True))
+    t = rec.join(common.small(flag, 16), ["doc", "line"], "left").select("key", "pos", "doc", "line", "full", "bins", F.col("done").isNotNull().alias("done"))
+
+    def pairs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        key, n, doc, line, full = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+        bins = np.frombuffer(b"".join(b.column(5).to_pylist()), "u1").reshape(-1, BINS)
+        k = np.arange(len(key))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        head = np.maximum.accumulate(np.where(new, k, 0))
+        todo = np.flatnonzero(~b.column(6).to_numpy(zero_copy_only=False) & (k - head > (not first)))
+        start, count = (head[todo], np.ones(len(todo), np.int64)) if first else (head[todo] + 1, (k - head)[todo] - 1)
+        total = np.cumsum(count)
+        i = 0
+        while i < len(todo):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + 1_000_000, "right")))
+            x, y = np.repeat(todo[i:j], count[i:j]), blobs.ranges(start[i:j], count[i:j])
+            most = np.maximum(n[x], n[y])
+            allowed = bound(most, edit_words, every)
+            ok = (most >= 2 * every) & (np.abs(n[x] - n[y]) <= allowed) & ((doc[x] != doc[y]) | (line[x] != line[y]))
+            x, y, allowed = x[ok], y[ok], allowed[ok]
+            ok = np.abs(bins[x].astype(np.int16) - bins[y]).sum(1) <= 2 * allowed
+            x, y = x[ok], y[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[x], line[x], full[x], doc[y], line[y])], names=["doc", "line", "full", "pdoc", "pline"])
+            i = j
 
-def _check(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose fetched lines are one edit apart."""
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        for b in it:  # rows come by key; the last key's wait for the next batch
+            key = b.column(0).to_numpy(zero_copy_only=False)
+            if not len(key):
+                continue
+            cut = int(np.searchsorted(key, key[-1]))
+            if kept and (cut or kept[0].column(0)[0].as_py() != key[0]):
+                whole = pa.Table.from_batches([*kept, b.slice(0, cut)]).combine_chunks().to_batches()
+                yield from pairs(whole[0])
+                kept = []
+            elif cut:
+                yield from pairs(b.slice(0, cut))
+            kept.append(b.slice(cut))
+        if kept:
+            yield from pairs(pa.Table.from_batches(kept).combine_chunks().to_batches()[0])
+
+    return t.repartition("key").sortWithinPartitions("key", "doc", "line").mapInArrow(work, "doc bigint, line int, full bigint, pdoc bigint, pline int").distinct()
+
+
+def _flat(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = np.array([len(v) for v in x], np.int64)
+    return np.concatenate([*x, np.zeros(1, _U)]), np.cumsum(n) - n, n
+
+
+def within(a: list[np.ndarray], b: list[np.ndarray], k: int) -> np.ndarray:
+    """Whether at most k edits turn one sequence into the other, for each pair: furthest places on 2k + 1 diagonals."""
+    aw, a0, na = _flat(a)
+    bw, b0, nb = _flat(b)
+    d = np.arange(-k - 1, k + 2)
+    most = np.minimum(na[:, None], nb[:, None] - d)
+    out = np.zeros(len(a), bool)
+    none = np.iinfo(np.int64).min // 2
+    f = np.full(most.shape, none)
+    f[:, k + 1] = 0
+    rest = np.flatnonzero(np.abs(na - nb) <= k)
+    f, most = f[rest], most[rest]
+    for e in range(k + 1):
+        if e:
+            g = f.copy()
+            g[:, 1:-1] = np.maximum(np.maximum(f[:, 1:-1], f[:, 2:]) + 1, f[:, :-2])
+            g = np.minimum(g, most)
+            g[(g < 0) | (g + d < 0)] = none
+            g[:, [0, -1]] = none
+            f = g
+        p, c = np.nonzero((f >= 0) & (f < most))
+        while len(p):
+            i = f[p, c]
+            same = aw[a0[rest[p]] + i] == bw[b0[rest[p]] + i + d[c]]
+            p, c = p[same], c[same]
+            f[p, c] += 1
+            more = f[p, c] < most[p, c]
+            p, c = p[more], c[more]
+        done = f[np.arange(len(rest)), k + 1 + (nb - na)[rest]] >= na[rest]
+        out[rest[done]] = True
+        rest, f, most = rest[~done], f[~done], most[~done]
+        if not len(rest):
+            break
+    return out
+
+
+def _check(docs: DataFrame, pairs: DataFrame, edit_words: int, every: int) -> DataFrame:
+    """The pairs whose fetched lines are near."""
     need = pairs.select("doc", "line").unionByName(pairs.select(F.col("pdoc").alias("doc"), F.col("pline").alias("line"))).distinct()
     need = common.saved(need.groupBy(F.col("doc").alias("d")).agg(F.collect_list("line").alias("lines")))
 
@@ -305,19 +451,33 @@ def _check(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ok = [within_one(np.frombuffer(x, _U), np.frombuffer(y, _U)) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            x, y = ([np.frombuffer(v, _U) for v in b.column(c).to_pylist()] for c in (3, 4))
+            allowed = bound(np.array([max(len(u), len(v)) for u, v in zip(x, y, strict=True)], np.int64), edit_words, every)
+            ok = np.zeros(len(x), bool)
+            for k in np.unique(allowed).tolist():
+                at = np.flatnonzero(allowed == k)
+                step = max(1, 500_000 // (2 * k + 3))
+                for i in range(0, len(at), step):
+                    part = at[i : i + step]
+                    ok[part] = within([x[v] for v in part], [y[v] for v in part], k)
             yield b.filter(pa.array(ok, pa.bool_())).select(["doc", "line", "full"])
 
     return j.select("doc", "line", "full", "words", "pwords").mapInArrow(verify, "doc bigint, line int, full bigint").distinct()
 
 
-def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS, lookup_keys: int = LOOKUP_KEYS) -> DataFrame:
+def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS, lookup_keys: int = LOOKUP_KEYS, edit_every: int = EDIT_EVERY) -> DataFrame:
     """One row per document with removed lines: d, gone (array of line number and line hash)."""
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null and id is not null")
     p = common.buckets_for(df, 24 << 20)
-    found = _second_side(_first_side(docs, p, min_words, edit_words))
-    rec = common.saved((_looked_up if found.count() <= lookup_keys else _joined)(docs, found, min_words, edit_words))
-    near = _check(docs, common.saved(_partners(rec.where("kind = 2").drop("kind"))))
+    found = _second_side(_first_side(docs, p, min_words, edit_words, edit_every))
+    rec = common.saved((_looked_up if found.count() <= lookup_keys else _joined)(docs, found, min_words, edit_words, edit_every))
+    near = _check(docs, common.saved(_partners(rec.where("kind = 2").drop("kind", "bins"))), edit_words, edit_every)
+    far = rec.where("kind = 4")
+    if far.limit(1).count():  # only an existence check
+        near = common.saved(near)
+        for first in (True, False):
+            pairs = common.saved(_pairs(far, near, first, edit_words, edit_every))
+            near = common.saved(near.unionByName(_check(docs, pairs, edit_words, edit_every)))
     gone = rec.where("kind = 0").select("doc", "line", "full").unionByName(near)
     return common.saved(gone.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("line", "full")).alias("gone")))
 

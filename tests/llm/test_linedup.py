@@ -76,3 +76,47 @@ def test_rebuilds_texts_and_keeps_other_columns(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert linedup.dedup_lines(df).collect() == []
+
+
+def brute_bound(rows, edit_words, every):
+    lines = sorted(((i, k), x.split()) for i, t in rows for k, x in enumerate(t.split("\n")))
+    out = {}
+    for n, (at, w) in enumerate(lines):
+        for _, v in lines[:n]:
+            m = max(len(v), len(w))
+            if v == w or (m >= edit_words and edits(v, w) <= max(1, m // every)):
+                out.setdefault(at[0], set()).add(at[1])
+                break
+    return out
+
+
+@pytest.mark.parametrize("lookup", [1_000_000, 0])
+@pytest.mark.parametrize("every", [4, 20])
+def test_bound_grows_with_the_line(spark, lookup, every):
+    r = random.Random(7)
+    base = [[r.choice(["a", "a", "b", "c", f"w{r.randint(0, 30)}"]) for _ in range(r.randint(3, 90))] for _ in range(9)] + [["a"] * 60]
+    rows = []
+    for i in range(70):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, max(2, len(w) // every + 1))):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 1)] = [] if r.random() < 0.3 and len(w) > 3 else [r.choice(["a", "b", f"w{r.randint(0, 30)}"])]
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {x.d: {y.line for y in x.gone} for x in linedup.removals(df, min_words=1, edit_words=10, lookup_keys=lookup, edit_every=every).collect()}
+    assert got == brute_bound(rows, 10, every)
+
+
+def test_two_edits_in_a_long_line_by_default(spark):
+    w = [f"w{k}" for k in range(80)]
+    v = [*w[:20], "x", *w[21:60], "y", *w[60:]]
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(v))], "doc_id bigint, text string")
+    assert [x.d for x in linedup.removals(df).collect()] == [2]
+
+
+def test_within_is_the_edit_distance():
+    r = random.Random(3)
+    a = [linedup.np.array([r.randint(0, 2) for _ in range(r.randint(0, 9))], "u8") for _ in range(300)]
+    b = [linedup.np.array([r.randint(0, 2) for _ in range(r.randint(0, 9))], "u8") for _ in range(300)]
+    for k in range(5):
+        assert linedup.within(a, b, k).tolist() == [edits(list(x), list(y)) <= k for x, y in zip(a, b, strict=True)]
