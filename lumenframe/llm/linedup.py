@@ -41,7 +41,7 @@ from lumenframe.llm import blobs, common
 from lumenframe.llm.textvec import Words, mix, runs
 
 _U = np.uint64
-MIN_WORDS, EDIT_WORDS, EDIT_EVERY = 5, 10, 20
+MIN_WORDS, EDIT_WORDS, EDIT_EVERY = 1, 10, 20
 BINS = 16
 #: Keys up to this many are looked up in broadcast sorted arrays; more go through joins.
 LOOKUP_KEYS = 3_000_000

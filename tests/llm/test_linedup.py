@@ -120,3 +120,9 @@ def test_within_is_the_edit_distance():
     b = [linedup.np.array([r.randint(0, 2) for _ in range(r.randint(0, 9))], "u8") for _ in range(300)]
     for k in range(5):
         assert linedup.within(a, b, k).tolist() == [edits(list(x), list(y)) <= k for x, y in zip(a, b, strict=True)]
+
+
+def test_short_lines_repeat_exactly(spark):
+    rows = [(1, "Read more\n\nok"), (2, "read  MORE\nread less"), (3, "\nok\n ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {x.d: [y.line for y in x.gone] for x in linedup.removals(df).collect()} == {2: [0], 3: [1]}
