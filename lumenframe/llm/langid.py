@@ -6,7 +6,9 @@ run of other characters is one space.  Contexts at the start of a text are space
 and may be broadcast.  Counting covers all training texts: tasks send sorted keys with
 counts in packed blobs, which buckets of the key space add up.  The probabilities of all
 4-grams seen in any language lie in one array sorted by key, a column a language, so one
-binary search a character scores every language; the rest backs off to trigrams.
+binary search a character scores every language; the rest backs off to trigrams.  More than
+``MAX_LANGUAGES`` languages are scored in groups of so many: the texts go through one
+group's broadcast after another, and their cross-entropies are put side by side.
 
 The language with the lowest cross-entropy per character is chosen.  A bounded sample of
 training rows (``calibration_rows``, about) sets the temperature of the score and, per
@@ -137,8 +139,6 @@ def count(train: DataFrame, lang: str, text: str) -> dict[str, tuple[np.ndarray,
     out: dict[str, list] = {}
     for r in blobs.exchange(rows.mapInArrow(work, blobs.SCHEMA), PARTS).mapInArrow(add, "lang string, blob binary").collect():
         out.setdefault(r.lang, []).append(blobs.unpack(bytes(r.blob)))
-    if len(out) > MAX_LANGUAGES:
-        raise ValueError(f"{len(out)} languages; at most {MAX_LANGUAGES} fit the broadcast bound")
     return {k: _summed(np.concatenate([p[0] for p in v]), np.concatenate([p[1] for p in v])) for k, v in sorted(out.items()) if any(len(p[0]) for p in v)}
 
 
@@ -237,7 +237,9 @@ class Model:
 
     def predict(self, arr: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy and rejection of each text."""
-        h, n, letter = self.entropies(arr)
+        return self.decide(*self.entropies(arr))
+
+    def decide(self, h: np.ndarray, n: np.ndarray, letter: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         if not self.langs:
             return ["und"] * len(n), np.zeros(len(n)), np.zeros(len(n)), ~letter
         best = h.argmin(1)
@@ -247,17 +249,60 @@ class Model:
         return [self.langs[b] if x else "und" for b, x in zip(best, letter, strict=True)], score, least, ~letter | ((z > self.limit[best]) & (least > (self.centre[best] + BITS) / 2))
 
 
+class Grouped(Model):
+    """Models of more languages than one broadcast holds; each group's is built when it is needed."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], most: int):
+        self.langs, self.counts, self.most = list(counts), counts, most
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "counts"}
+
+    def groups(self) -> Iterator[Model]:
+        for i in range(0, len(self.langs), self.most):
+            yield Model({x: self.counts[x] for x in self.langs[i : i + self.most]})
+
+    def entropies(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = [m.entropies(arr) for m in self.groups()]
+        return np.concatenate([h for h, _, _ in got], 1), *got[0][1:]
+
+    def scored(self, df: DataFrame) -> DataFrame:
+        """The rows with __n, __letter and __h, one cross-entropy a language; the last column is the text."""
+        k = len(df.columns)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", `__n` bigint, `__letter` boolean, `__h` array<double>"
+        for m in self.groups():
+            shared = df.sparkSession.sparkContext.broadcast(m)
+
+            def work(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                for b in it:
+                    for i, j in runs(b.column(k - 1)):
+                        part = b.slice(i, j - i)
+                        h, n, letter = shared.value.entropies(part.column(k - 1))
+                        if part.num_columns > k:
+                            h = np.concatenate([part.column(k + 2).flatten().to_numpy().reshape(len(n), -1), h], 1)
+                        h = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * h.shape[1], h.ravel())
+                        yield pa.RecordBatch.from_arrays([*part.columns[:k], pa.array(n, pa.int64()), pa.array(letter), h], names=[*part.schema.names[:k], "__n", "__letter", "__h"])
+
+            # written, so that no worker holds two groups
+            df = common.saved(df.mapInArrow(work, schema))
+            shared.unpersist()
+        return df
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS) -> Model:
+def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS, most: int | None = None) -> Model:
     """Trains on all rows with a language and a text; about ``calibration_rows`` of them, by a hash, calibrate."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("lang is not null and text is not null")
-    model = Model(count(rows, "lang", "text"))
+    counts = count(rows, "lang", "text")
+    most = most or MAX_LANGUAGES
+    grouped = len(counts) > most
+    model = Grouped(counts, most) if grouped else Model(counts)
     total = rows.count()
     share = min(1.0, calibration_rows / max(total, 1))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = None if grouped else df.sparkSession.sparkContext.broadcast(model)
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -267,7 +312,10 @@ def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).filter(ok), pa.array(n[letter], pa.int64()), pa.array(list(h[letter]), pa.list_(pa.float64()))], names=["lang", "n", "h"])
 
     picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("lang", "text")
-    t = picked.mapInArrow(work, "lang string, n bigint, h array<double>").toArrow()
+    if grouped:
+        t = model.scored(picked).where("__letter").select("lang", F.col("__n").alias("n"), F.col("__h").alias("h")).toArrow()
+    else:
+        t = picked.mapInArrow(work, "lang string, n bigint, h array<double>").toArrow()
     names = {x: i for i, x in enumerate(model.langs)}
     ok = [x in names for x in t["lang"].to_pylist()]
     t = t.filter(pa.array(ok, pa.bool_()))
@@ -276,7 +324,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "
 
 
 def predictions(df: DataFrame, model: Model, text: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with lang_pred, score, cross_entropy and rejected; map-only."""
+    """The columns ``keep`` with lang_pred, score, cross_entropy and rejected; map-only but for groups of languages."""
+    grouped = isinstance(model, Grouped)
     shared = df.sparkSession.sparkContext.broadcast(model)
     k = len(keep)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*[F.col(f"`{c}`") for c in keep]).schema) + "`__lang_pred` string, `__score` double, `__entropy` double, `__rejected` boolean"
@@ -284,10 +333,16 @@ def predictions(df: DataFrame, model: Model, text: str, keep: list[str]) -> Data
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for i, j in runs(b.column(k)):
-                lang, score, h, gone = shared.value.predict(b.column(k).slice(i, j - i))
+                part = b.slice(i, j - i)
+                if grouped:
+                    h = part.column(k + 3).flatten().to_numpy().reshape(j - i, -1)
+                    lang, score, h, gone = shared.value.decide(h, *(part.column(c).to_numpy(zero_copy_only=False) for c in (k + 1, k + 2)))
+                else:
+                    lang, score, h, gone = shared.value.predict(part.column(k))
                 yield pa.RecordBatch.from_arrays([b.column(x).slice(i, j - i) for x in range(k)] + [pa.array(lang, pa.string()), pa.array(score), pa.array(h), pa.array(gone)], names=[*keep, "__lang_pred", "__score", "__entropy", "__rejected"])
 
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(work, schema)
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    return (model.scored(rows) if grouped else rows).mapInArrow(work, schema)
 
 
 def keep_documents(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -136,6 +136,14 @@ def test_no_training_text(spark):
     assert got == {1: ("und", False), 2: ("und", True)}
 
 
+def test_more_languages_than_one_broadcast_holds(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(120), SCHEMA)
+    one = {tuple(r) for r in langid.predictions(df, langid.fit(df), "text", ["doc_id"]).collect()}
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    assert {tuple(r) for r in langid.predictions(df, langid.fit(df), "text", ["doc_id"]).collect()} == one
+    assert langid.keep_documents(df).count() == 120
+
+
 # --- packing ---------------------------------------------------------------------------
 
 
