@@ -6,6 +6,8 @@ The fingerprints of a text are the least hashes of every ``WINDOW`` neighbouring
 template always shares a fingerprint.  The templates' fingerprints form an inverted index
 of fixed size that every task holds.  Hits of a template on nearby diagonals are one
 candidate; a local alignment in a band around them counts equal words and gives the span.
+What is left and right of a span is aligned again, and diagonals half a template apart are
+never one candidate, so that short statements on neighbouring lines stay apart.
 
 Defined cases: null and empty texts match nothing; a template that occurs several times
 is reported each time; matches with equal span prefer the higher coverage, then the name.
@@ -115,6 +117,7 @@ class Index:
         self.names = list(templates)
         w = Words(pa.array(list(templates.values())), lower=True, inside=WORD)
         self.words = [w.hash[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+        self.size = np.diff(w.first)
         at, h = winnow(w)
         o = np.lexsort((at, h))
         self.print = h[o]
@@ -135,7 +138,8 @@ class Index:
         diag = who - w.first[doc] - self.place[e]
         o = np.lexsort((diag, self.owner[e], doc))
         doc, own, diag = doc[o], self.owner[e][o], diag[o]
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (diag[1:] - diag[:-1] > BAND)])
+        gap = np.minimum(BAND, (self.size[own] - 1) // 2)
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (diag[1:] - diag[:-1] > gap[1:])])
         head = np.flatnonzero(new)
         for a, b in zip(head, np.append(head[1:], len(doc)), strict=True):
             yield int(doc[a]), int(own[a]), int(diag[a]), int(diag[b - 1])
@@ -178,18 +182,27 @@ def matches(index: Index, arr: pa.Array, least: float = LEAST) -> list[tuple[int
         a = int(w.first[d])
         text = w.hash[a : int(w.first[d + 1])]
         n = len(index.words[k])
-        begin, end = max(0, low - BAND), min(len(text), high + n + BAND)
-        equal, i, j = align(text[begin:end], index.words[k], low - begin, high - begin)
-        if equal >= max(1, least * n):
-            base = int(w.off[d])
-            lead = lambda x, base=base: int(((w.buf[base:x] & 0xC0) != 0x80).sum())
-            found.append((d, *index.names[k], equal, equal / n, lead(int(w.start[a + begin + i])), lead(int(w.end[a + begin + j - 1]))))
+        todo = [(max(0, low - BAND), min(len(text), high + n + BAND))]
+        while todo:
+            begin, end = todo.pop()
+            if end - begin < max(1, least * n):
+                continue
+            equal, i, j = align(text[begin:end], index.words[k], low - begin, high - begin)
+            if equal >= max(1, least * n):
+                found.append((d, *index.names[k], equal, equal / n, int(w.start[a + begin + i]), int(w.end[a + begin + j - 1])))
+                todo += [(begin, begin + i), (begin + j, end)]
+    lead = np.concatenate([[0], np.cumsum((w.buf & 0xC0) != 0x80)]) if found else None
+    found = [(*x[:5], *(int(lead[y] - lead[w.off[x[0]]]) for y in x[5:])) for x in set(found)]
     # one report a span: a statement inside a fuller match, or two versions of one notice, give way
-    found.sort(key=lambda x: (x[0], -(x[3]), -x[4], x[1], x[2]))
+    found.sort(key=lambda x: (x[0], -(x[3]), -x[4], x[1], x[2], x[5], x[6]))
     kept: list = []
+    near: dict[tuple[int, int], list] = {}  # the kept spans that reach into a stretch of 256 code points
     for x in found:
-        if not any(y[0] == x[0] and min(y[6], x[6]) - max(y[5], x[5]) > 0.5 * (x[6] - x[5]) for y in kept):
+        cells = [(x[0], c) for c in range(x[5] >> 8, (x[6] >> 8) + 1)]
+        if not any(min(y[6], x[6]) - max(y[5], x[5]) > 0.5 * (x[6] - x[5]) for c in cells for y in near.get(c, ())):
             kept.append(x)
+            for c in cells:
+                near.setdefault(c, []).append(x)
     return sorted(kept, key=lambda x: (x[0], x[5]))
 
 

@@ -2,6 +2,7 @@ import random
 import re
 
 import pyarrow as pa
+import pytest
 
 from lumenframe.llm import licenses as li
 
@@ -50,3 +51,11 @@ def test_clean_text_and_repeats(spark):
     df = spark.createDataFrame([(1, f"{one}\nabc def\n" + "x y z " * 50 + one, 3), (2, "the license of the software under which we live", 4), (3, None, 5), (4, "", 6)], "doc_id bigint, text string, kind int")
     rows = sorted((r.doc_id, r.license, r.begin, r.end) for r in li.scan(df).collect())
     assert rows == [(1, "MIT", 0, 30), (1, "MIT", 340, 370)]
+
+
+@pytest.mark.parametrize("line", ["Released under the MIT License", "Licensed under the Apache License, Version 2.0", "Licensed under CC BY-NC 4.0"])
+@pytest.mark.parametrize("between", ["\n", "\nfoo ", "\nname of a package: "])
+def test_statements_on_neighbouring_lines(line, between):
+    text = between.join([line] * 30)
+    got = li.matches(li.Index(), pa.array([text]))
+    assert [text[x[5] : x[6]] for x in got] == [line] * 30
