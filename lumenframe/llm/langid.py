@@ -11,8 +11,11 @@ binary search a character scores every language; the rest backs off to trigrams.
 group's broadcast after another, and their cross-entropies are put side by side.
 
 The language with the lowest cross-entropy per character is chosen.  A bounded sample of
-training rows (``calibration_rows``, about) sets the temperature of the score and, per
+the training rows of each language (about ``calibration_rows`` shared out evenly, or
+``LEAST_ROWS``, as far as there are so many) sets the temperature of the score and, per
 language, the cross-entropy beyond which a text is rejected, wider for short texts.
+Languages with fewer than 20 rightly predicted rows take spread and limit from the rows of
+all; if these are fewer than 20 too, nothing with letters is rejected.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0 and
 rejected; without any training text every text is ``und``, and only those are rejected;
@@ -36,6 +39,8 @@ ORDER, BITS = 4, 6
 CLASSES = 1 << BITS
 MAX_LANGUAGES = 128
 CALIBRATION_ROWS = 20_000
+LEAST_ROWS = 200
+SCALE = 2.0 ** np.arange(0, 9)
 PARTS = 16
 #: A text is rejected beyond this quantile of the calibration rows' standardised cross-entropy, times the margin,
 #: if its cross-entropy is also nearer to that of evenly drawn characters than to the language's own.
@@ -206,24 +211,29 @@ class Model:
         h[some] = -np.add.reduceat(lp, bound[:-1][some], axis=0, dtype=np.float64) / n[some, None]
         return h, n, letter
 
-    def calibrate(self, h: np.ndarray, n: np.ndarray, truth: np.ndarray) -> None:
+    def judge(self, h: np.ndarray, n: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy under the true language, whether it is the least, and the loss at each temperature."""
+        at = np.arange(len(h))
+        loss = np.stack([-np.log(np.maximum(self._score(h, n, t)[at, truth], 1e-12)) for t in SCALE], 1)
+        return h[at, truth], h.argmin(1) == truth, loss
+
+    def calibrate(self, own: np.ndarray, right: np.ndarray, loss: np.ndarray, n: np.ndarray, truth: np.ndarray) -> None:
         """Temperature of the score; centre, spread and limit of each language's cross-entropy."""
-        best = h.argmin(1) if h.size else np.zeros(0, int)
-        loss = []
-        scale = 2.0 ** np.arange(0, 9)
-        for t in scale:
-            loss.append(-np.log(np.maximum(self._score(h, n, t)[np.arange(len(h)), truth], 1e-12)).mean() if len(h) else 0.0)
-        self.temperature = float(scale[int(np.argmin(loss))])
+        self.temperature = float(SCALE[int(np.argmin(loss.mean(0)))]) if len(own) else 1.0
         k = len(self.langs)
         self.centre, self.spread, self.limit = np.zeros(k), np.ones(k), np.full(k, np.inf)
+        if right.sum() < 20:
+            return
+        own, n, truth = own[right], n[right], truth[right]
+        self.centre[:] = np.median(own)
+        for i in np.unique(truth):
+            self.centre[i] = np.median(own[truth == i])
+        dev = (own - self.centre[truth]) / self._width(n)
         for i in range(k):
-            mine = (truth == i) & (best == i)
-            if mine.sum() >= 20:
-                x = h[mine, i]
-                self.centre[i] = np.median(x)
-                dev = (x - self.centre[i]) / self._width(n[mine])
-                self.spread[i] = max(np.median(np.abs(dev)) * 1.4826, 1e-3)
-                self.limit[i] = MARGIN * max(np.quantile(dev / self.spread[i], QUANTILE), 6.0)
+            mine = truth == i
+            x = dev[mine] if mine.sum() >= 20 else dev
+            self.spread[i] = max(np.median(np.abs(x)) * 1.4826, 1e-3)
+            self.limit[i] = MARGIN * max(np.quantile(x / self.spread[i], QUANTILE), 6.0)
 
     @staticmethod
     def _width(n: np.ndarray) -> np.ndarray:
@@ -294,32 +304,37 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS, most: int | None = None) -> Model:
-    """Trains on all rows with a language and a text; about ``calibration_rows`` of them, by a hash, calibrate."""
+    """Trains on all rows with a language and a text; a bounded number of each language's, by a hash, calibrate."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("lang is not null and text is not null")
     counts = count(rows, "lang", "text")
     most = most or MAX_LANGUAGES
     grouped = len(counts) > most
     model = Grouped(counts, most) if grouped else Model(counts)
-    total = rows.count()
-    share = min(1.0, calibration_rows / max(total, 1))
-    shared = None if grouped else df.sparkSession.sparkContext.broadcast(model)
+    bound = max(calibration_rows // max(len(model.langs), 1), LEAST_ROWS)
+    share = [(r["lang"], -int(-min(1.0, bound / r["count"]) * (1 << 40) // 1)) for r in rows.groupBy("lang").count().collect() if r["lang"] in counts]
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        names = {x: i for i, x in enumerate(model.langs)}
         for b in it:
             for i, j in runs(b.column(1)):
-                h, n, letter = shared.value.entropies(b.column(1).slice(i, j - i))
-                ok = pa.array(letter)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).filter(ok), pa.array(n[letter], pa.int64()), pa.array(list(h[letter]), pa.list_(pa.float64()))], names=["lang", "n", "h"])
-
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("lang", "text")
-    if grouped:
-        t = model.scored(picked).where("__letter").select("lang", F.col("__n").alias("n"), F.col("__h").alias("h")).toArrow()
-    else:
-        t = picked.mapInArrow(work, "lang string, n bigint, h array<double>").toArrow()
-    names = {x: i for i, x in enumerate(model.langs)}
-    ok = [x in names for x in t["lang"].to_pylist()]
-    t = t.filter(pa.array(ok, pa.bool_()))
-    model.calibrate(np.array(t["h"].to_pylist(), float).reshape(len(t), len(names)), t["n"].to_numpy(), np.array([names[x] for x in t["lang"].to_pylist()], int))
+                part = b.slice(i, j - i)
+                if grouped:
+                    h = part.column(4).flatten().to_numpy().reshape(j - i, -1)
+                    n, letter = (part.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+                else:
+                    h, n, letter = model.entropies(part.column(1))
+                truth = np.array([names[x] for x in part.column(0).to_pylist()])[letter]
+                own, right, loss = model.judge(h[letter], n[letter], truth)
+                yield pa.RecordBatch.from_arrays([pa.array(truth, pa.int32()), pa.array(n[letter], pa.int64()), pa.array(own), pa.array(right), pa.array(list(loss), pa.list_(pa.float64()))], names=["truth", "n", "own", "right", "loss"])
+
+    parts = df.sparkSession.createDataFrame(share, "lang string, share bigint")
+    hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    picked = rows.join(common.small(parts, 64, rows=len(share)), "lang").where(hashed < F.col("share")).select("lang", "text")
+    t = (model.scored(picked) if grouped else picked).mapInArrow(work, "truth int, n bigint, own double, right boolean, loss array<double>").toArrow()
+    own, right, n, truth = (t[c].to_numpy() for c in ("own", "right", "n", "truth"))
+    model.calibrate(own, right.astype(bool), np.array(t["loss"].to_pylist(), float).reshape(len(t), len(SCALE)), n, truth)
     return model
 
 

@@ -144,6 +144,21 @@ def test_more_languages_than_one_broadcast_holds(spark, monkeypatch):
     assert langid.keep_documents(df).count() == 120
 
 
+def test_each_language_is_calibrated_on_its_own_rows(spark):
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    assert np.isfinite(langid.fit(df, calibration_rows=40).limit).all()
+
+
+def test_rare_language_still_rejects(spark):
+    r = random.Random(2)
+    rare = ["дом", "река", "яблоко", "ребёнок", "светлый", "улица"]
+    rows = [*corpus(), *((900 + i, " ".join(r.choice(rare) for _ in range(300)), "ru", "a", 0) for i in range(6)), (990, " ".join(r.choice(rare) for _ in range(300)), None, "a", 0), (991, " ".join("".join(r.choice("абвгдежзиклмнопрстуфхцчшщэюя") for _ in range(6)) for _ in range(300)), None, "a", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {x.doc_id: (x["__lang_pred"], x["__rejected"]) for x in langid.predictions(df, langid.fit(df), "text", ["doc_id"]).collect()}
+    assert got[991] == ("ru", True) and all(got[i] == ("ru", False) for i in [*range(900, 906), 990])
+    assert not any(got[i][1] for i in range(240))
+
+
 # --- packing ---------------------------------------------------------------------------
 
 
