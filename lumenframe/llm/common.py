@@ -27,14 +27,30 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/lumenframe/{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _WRITTEN.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
-def clear_saved(spark: SparkSession) -> None:
-    """Deletes the tables that ``saved`` wrote; call it when no result that reads them is needed any more."""
+_WRITTEN: list[str] = []  # tables that ``saved`` wrote and nobody deleted
+
+
+def written() -> int:
+    """A mark for ``clear_saved``."""
+    return len(_WRITTEN)
+
+
+def clear_saved(spark: SparkSession, since: int | None = None, keep: int = 0) -> None:
+    """Deletes the tables that ``saved`` wrote since a mark, but for the last ``keep``; without a mark the whole folder.
+
+    Call it when no result that reads them is needed any more.
+    """
     sc = spark.sparkContext
-    at = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lumenframe")
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    end = len(_WRITTEN) - keep
+    gone = [f"{shared_dir(spark)}/lumenframe"] if since is None else _WRITTEN[since:end]
+    del _WRITTEN[since or 0 : end]
+    for x in gone:
+        at = sc._jvm.org.apache.hadoop.fs.Path(x)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def input_bytes(df: DataFrame) -> int:

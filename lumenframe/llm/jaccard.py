@@ -3,9 +3,9 @@
 Two sets link when den * |r & s| >= num * |r | s|; then their difference has at most
 H = (1 - t) / (1 + t) * (|r| + |s|) elements, t = num / den.
 
-1. Universe: distinct shingles are counted over all sets through a columnar shuffle.
-   A shingle of one set is in every difference of that set, so u of them lower its
-   bound to H - u; sets with too few shared shingles end here.
+1. Universe: distinct shingles are counted over all sets through a columnar shuffle of
+   sorted, delta-coded hashes.  A shingle of one set is in every difference of that set,
+   so u of them lower its bound to H - u; sets with too few shared shingles end here.
 2. Partition: the shared universe falls into segments.  Shingles of few sets are
    segments of their own (cheap to index); more frequent ones are hashed into segments
    sized by the set's size band.  Segments have one global order, rarest tier first.
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +46,12 @@ HOT_KEEP = 4096  # hot candidates kept by each batch for the corpus-wide count
 HOT_SHARE = 0.002  # a shingle in more than this share of rows is hot
 HOT_LEAST = 256
 LOW_DF = 64  # shingles in at most this many sets are segments of their own
-SKETCH = 3  # least index keys that travel with a set
-BUCKET_BYTES = 15 << 20  # input bytes for which there is one bucket
+TOP_TIER = 60
+SKETCH = 2  # least index keys that travel with a set
+RUN = 4096  # sets that share a key and are compared in one task
+SLICE = 4 << 20  # text bytes of a slice
+BUCKET_SHINGLES = 2_000_000
+SHARES = 10_000
 BAND, FILL = 8, 3.0  # sizes of a band differ by this factor; mean shingles in a segment at its top
 
 
@@ -79,7 +84,7 @@ def _members(df: DataFrame, n: int) -> DataFrame:
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids, t = b.column(0), b.column(1)
-            for i, j in runs(t, 8 << 20):
+            for i, j in runs(t, SLICE):
                 sets, keys = [], []
                 for x, y in runs(t.slice(i, j - i)):
                     part = shingle_sets(t.slice(i + x, y - x), n)
@@ -101,13 +106,48 @@ def _members(df: DataFrame, n: int) -> DataFrame:
     return common.saved(df.select("id", "text").mapInArrow(work, "kind int, id bigint, key bigint, n bigint"))
 
 
+def _coded(y: np.ndarray, owner: np.ndarray, bits: int, base: int) -> np.ndarray:
+    """Ascending numbers, as steps from ``base``, with their owners in the low ``bits`` bits, in as few bytes as the largest needs."""
+    step = np.diff(y, prepend=_U(base))
+    return _bytes((step << _U(bits)) | owner.astype(_U))
+
+
+def _bytes(v: np.ndarray) -> np.ndarray:
+    width = max(1, -(-int(v.max()).bit_length() // 8)) if len(v) else 1
+    return blobs.cut(v << _U(64 - 8 * width), width)
+
+
+def _number(v: np.ndarray) -> np.ndarray:
+    width = v.dtype.itemsize
+    return blobs.uncut(v, width) >> _U(64 - 8 * width)
+
+
+def _decoded(v: np.ndarray, bits: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    x = _number(v)
+    return _U(base) + np.cumsum(x >> _U(bits), dtype=_U), (x & _U((1 << bits) - 1)).astype(np.int64)
+
+
+def _starts(p: int, width: int) -> np.ndarray:
+    """First number of each of p ranges of the ``width``-bit numbers."""
+    return np.array([-(-(k << width) // p) for k in range(p)], _U)
+
+
 def _count_side(df: DataFrame, n: int, p: int, width: int, hot: np.ndarray) -> DataFrame:
-    """Every set's shingles to the shingles' buckets; hot ones, whose count is known, to a bucket of the set's."""
+    """The distinct sets of each slice of texts, their shingles by ranges of the hash.
+
+    A slice sends a range its shingles in ascending order, each with its set's number in
+    the slice, so a shingle costs the same few bytes whatever the number of ranges.  Sets'
+    keys go along, by their hash, so that of equal sets in several slices one is chosen.
+    What the slice needs again (keys, sizes, hot shingles) passes through one range to it.
+    A slice is known by a hash of its sets and its place.
+    """
+    starts = _starts(p, width)
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, nth = TaskContext.get().partitionId(), 0
         for b in it:
             t = b.column(0)
-            for i, j in runs(t, 8 << 20):
+            for i, j in runs(t, SLICE):
                 by_key: dict[int, np.ndarray] = {}
                 for x, y in runs(t.slice(i, j - i)):
                     sets, keys = shingle_sets(t.slice(i + x, y - x), n)
@@ -117,68 +157,72 @@ def _count_side(df: DataFrame, n: int, p: int, width: int, hot: np.ndarray) -> D
                 keys = np.fromiter(by_key, _U, len(by_key))
                 size = np.array([len(s) for s in by_key.values()], np.int64)
                 tok = np.concatenate(list(by_key.values()))
-                owner = np.repeat(np.arange(len(keys)), size)
-                to = (tok >> _U(64 - 8 * width)) % _U(p)
+                by_key = {}
+                owner = np.repeat(np.arange(len(keys), dtype="<u4"), size)
+                hot_owner = hot_at = np.zeros(0, np.int64)
                 if len(hot):
                     at = np.searchsorted(hot, tok)
                     at[at == len(hot)] = 0
-                    to = np.where(hot[at] == tok, mix(keys)[owner] % _U(p), to)
-                order, bounds = blobs.split(to.astype(np.int64), p)
+                    known = hot[at] == tok
+                    hot_owner, hot_at = owner[known], at[known]
+                    tok, owner = tok[~known], owner[~known]
+                bits = max(1, int(len(keys) - 1).bit_length())
+                x = ((tok >> _U(64 - width)) << _U(bits)) | owner
+                del tok, owner
+                x.sort()
+                bounds = np.append(np.searchsorted(x, starts << _U(bits)), len(x))
+                own, x = x & _U((1 << bits) - 1), x >> _U(bits)
+                name = mix_int(int(mix(keys).sum(dtype=_U)) ^ mix_int(task << 32 | nth))
+                nth += 1
+                home = name % p
+                korder, kb = blobs.split((mix(keys) % _U(p)).astype(np.int64), p)
                 out, bucket = [], []
                 for k in range(p):
-                    o = order[bounds[k] : bounds[k + 1]]
-                    if len(o):
-                        own = owner[o]
-                        head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                        which = own[head]
-                        out.append(blobs.pack(keys[which], blobs.narrow(size[which]), blobs.narrow(np.diff(np.append(head, len(o)))), blobs.cut(tok[o], width)))
+                    o, h = slice(bounds[k], bounds[k + 1]), korder[kb[k] : kb[k + 1]]
+                    if bounds[k + 1] > bounds[k] or len(h) or k == home:
+                        mine = (keys, blobs.narrow(size), blobs.narrow(hot_owner), blobs.narrow(hot_at)) if k == home else (keys[:0], keys[:0], keys[:0], keys[:0])
+                        out.append(blobs.pack(np.array([name, bits, starts[k]], _U), _coded(x[o], own[o], bits, int(starts[k])), keys[h], blobs.narrow(h), *mine))
                         bucket.append(k)
                 yield blobs.rows(bucket, out)
 
     return blobs.exchange(df.select("text").mapInArrow(work, blobs.SCHEMA), p)
 
 
-def _classes(keys, size, count, *per_token):
-    """One copy of each class out of rows that several batches may have sent."""
-    first = np.unique(keys, return_index=True)[1]
-    if len(first) == len(keys):
-        return keys, size, count, *per_token
-    keep = np.zeros(len(keys), bool)
-    keep[first] = True
-    tokens = np.repeat(keep, count)
-    return keys[keep], size[keep], count[keep], *(x[tokens] for x in per_token)
-
-
 def _tier_side(counted: DataFrame, p: int, width: int, hot: np.ndarray, hot_tier: np.ndarray) -> DataFrame:
-    """Counts sets by shingle and returns the shared shingles, with a cost tier, to the sets' buckets."""
-    hot6 = blobs.uncut(blobs.cut(hot, width), width)
+    """Counts sets by shingle and returns to each slice its shared shingles, with a cost tier, and which of its sets another slice has too.
+
+    Copies of a set in several slices count each: tiers only order shingles, and a shingle
+    that one class alone has then merely looks shared.
+    """
+    short = hot >> _U(64 - width)
 
     def work(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        keys, size, count, six = _classes(*blobs.gathered(parts))
-        tok = blobs.uncut(six, width)
-        order = np.argsort(tok)
-        s = tok[order]
-        head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        df = np.diff(np.append(head, len(s)))
-        tier = np.empty(len(s), "u1")
-        tier[order] = np.repeat(np.ceil(np.log2(df)).astype("u1"), df)
-        del order, s, head, df
-        if len(hot6):
-            at = np.searchsorted(hot6, tok)
-            at[at == len(hot6)] = 0
-            tier = np.where(hot6[at] == tok, hot_tier[at], tier).astype("u1")
-        owner = np.repeat(np.arange(len(keys)), count)
-        shared = tier > 0
-        left = np.bincount(owner[shared], minlength=len(keys))
-        tok6, tier = six[shared], tier[shared]
-        start = np.concatenate([[0], np.cumsum(left)])
-        to = (mix(keys) % _U(p)).astype(np.int64)
-        order, bounds = blobs.split(to, p)
-        for k in range(p):
-            o = order[bounds[k] : bounds[k + 1]]
-            if len(o):
-                take = blobs.ranges(start[o], left[o])
-                yield blobs.rows([k], [blobs.pack(keys[o], blobs.narrow(size[o]), blobs.narrow(left[o]), tok6[take], tier[take])])
+        every = np.concatenate([_decoded(x[1], int(x[0][1]), int(x[0][2]))[0] for x in parts])
+        every.sort()
+        head = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+        df = np.diff(np.append(head, len(every)))
+        shared = every[head]
+        del every, head
+        tier = np.minimum(np.ceil(np.log2(np.maximum(df, 1))), TOP_TIER).astype("u1")
+        if len(short) and len(shared):
+            at = np.searchsorted(short, shared)
+            at[at == len(short)] = 0
+            tier = np.where(short[at] == shared, hot_tier[at], tier).astype("u1")
+        shared, tier = shared[tier > 0], tier[tier > 0]
+        key = np.concatenate([x[2] for x in parts])
+        whose = np.repeat(np.arange(len(parts)), [len(x[2]) for x in parts])
+        slices = np.array([x[0][0] for x in parts], _U)
+        o = np.lexsort((slices[whose], key))
+        again = np.zeros(len(key), bool)
+        again[o[1:]] = key[o[1:]] == key[o[:-1]]
+        first = np.concatenate([[0], np.cumsum([len(x[2]) for x in parts])])
+        for i, x in enumerate(parts):
+            name, bits, base = (int(v) for v in x[0])
+            tok, own = _decoded(x[1], bits, base)
+            at = np.searchsorted(shared, tok)
+            at[at == len(shared)] = 0
+            ok = np.flatnonzero(shared[at] == tok) if len(shared) else np.zeros(0, np.int64)
+            yield blobs.rows([name % p], [blobs.pack(np.array([name, bits, base, len(tok)], _U), _coded(tok[ok], own[ok], bits, base), tier[at[ok]] if len(ok) else tier[:0], x[3][again[first[i] : first[i + 1]]], *x[4:])])
 
     return blobs.exchange(blobs.by_partition(counted, work, blobs.SCHEMA), p)
 
@@ -244,114 +288,209 @@ def signatures(tok: np.ndarray, tier: np.ndarray, size: int, num: int, den: int)
     return sig[first], at[first]
 
 
-def _signature_side(tiers: DataFrame, q: int, width: int, num: int, den: int) -> DataFrame:
-    def work(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        keys, size, count, six, tier = blobs.gathered(parts)
-        tok = blobs.uncut(six, width)
-        owner = np.repeat(np.arange(len(keys)), count)
-        cls, which = np.unique(keys, return_inverse=True)
-        order = np.argsort(which[owner], kind="stable")
+def _signature_side(tiers: DataFrame, q: int, width: int, reach: int, hot: np.ndarray, hot_tier: np.ndarray, num: int, den: int) -> DataFrame:
+    """The index: ``reach``-bit keys in ascending order by ranges, each with its set."""
+    starts = _starts(q, reach)
+    short = hot >> _U(64 - width)
+    most = (1 << reach) - 1
+
+    def entries(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """The index entries of one slice's sets."""
+        mine = [x for x in parts if len(x[4])]
+        if len(mine) != 1:
+            raise RuntimeError("a slice's sets did not arrive")
+        keys, size, hot_owner, hot_at = mine[0][4], mine[0][5].astype(np.int64), mine[0][6].astype(np.int64), mine[0][7].astype(np.int64)
+        if sum(int(x[0][3]) for x in parts) + len(hot_owner) != size.sum():
+            raise RuntimeError("a slice's shingles did not arrive")
+        got = [_decoded(x[1], int(x[0][1]), int(x[0][2])) for x in parts]
+        tok = np.concatenate([short[hot_at], *(g[0] for g in got)])
+        own = np.concatenate([hot_owner, *(g[1] for g in got)]).astype("<u4")
+        tier = np.concatenate([hot_tier[hot_at], *(x[2] for x in parts)])
+        del got
+        order = np.argsort(own, kind="stable")
         tok, tier = tok[order], tier[order]
-        bounds = np.searchsorted(which[owner][order], np.arange(len(cls) + 1))
-        sizes = np.zeros(len(cls), np.int64)
-        sizes[which] = size
-        lone = sizes - np.diff(bounds)
+        bounds = np.searchsorted(own[order], np.arange(len(keys) + 1))
+        del own, order
+        lone = size - np.diff(bounds)
+        todo = np.diff(bounds) * den >= num * size
+        for x in parts:
+            todo[x[3]] = False
         sigs, spent, whose = [], [], []
-        sketch, sat = np.full((len(cls), SKETCH), ~_U(0)), np.zeros((len(cls), SKETCH), np.int64)
-        for c in np.flatnonzero(np.diff(bounds) * den >= num * sizes):
-            s, at = signatures(tok[bounds[c] : bounds[c + 1]], tier[bounds[c] : bounds[c + 1]], int(sizes[c]), num, den)
+        sketch, sat = np.full((len(keys), SKETCH), _U(most)), np.zeros((len(keys), SKETCH), np.int64)
+        for c in np.flatnonzero(todo):
+            s, at = signatures(tok[bounds[c] : bounds[c + 1]], tier[bounds[c] : bounds[c + 1]], int(size[c]), num, den)
             if len(s):
-                least = np.argsort(s)[:SKETCH]
-                sketch[c, : len(least)], sat[c, : len(least)] = s[least], at[least]
+                s = s >> _U(64 - reach)
+                new = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                if len(new) < len(s):
+                    s, at = s[new], np.minimum.reduceat(at, new)
+                sketch[c, : min(len(s), SKETCH)], sat[c, : min(len(s), SKETCH)] = s[:SKETCH], at[:SKETCH]
                 sigs.append(s)
                 spent.append(at)
-                whose.append(np.full(len(s), c))
+                whose.append(np.full(len(s), c, "<u4"))
         if not sigs:
             return
         sig, at, own = np.concatenate(sigs), np.concatenate(spent), np.concatenate(whose)
-        order, b = blobs.split((sig % _U(q)).astype(np.int64), q)
+        order = np.argsort(sig)
+        sig, at, own = sig[order], at[order], own[order]
+        b = np.append(np.searchsorted(sig, starts), len(sig))
         for k in range(q):
-            o = order[b[k] : b[k + 1]]
-            if len(o):
-                head = np.flatnonzero(np.concatenate([[True], own[o][1:] != own[o][:-1]]))
-                which = own[o][head]
-                yield blobs.rows([k], [blobs.pack(cls[which], blobs.narrow(sizes[which]), blobs.narrow(lone[which]), blobs.narrow(np.diff(np.append(head, len(o)))), sketch[which].ravel(), blobs.narrow(sat[which].ravel()), sig[o], blobs.narrow(at[o]))])
+            o = slice(b[k], b[k + 1])
+            if b[k + 1] > b[k]:
+                which, here = np.unique(own[o], return_inverse=True)
+                bits = max(1, int(len(which) - 1).bit_length())
+                yield blobs.rows([k], [blobs.pack(np.array([bits, starts[k], k], _U), _coded(sig[o], here, bits, int(starts[k])), blobs.narrow(at[o]), keys[which], blobs.narrow(size[which]), blobs.narrow(lone[which]), _bytes(sketch[which].ravel()), blobs.narrow(sat[which].ravel()))])
+
+    def work(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list] = {}
+        for x in parts:
+            by.setdefault(int(x[0][0]), []).append(x)
+        parts.clear()
+        for name in sorted(by):
+            yield from entries(by.pop(name))
 
     return blobs.exchange(blobs.by_partition(tiers, work, blobs.SCHEMA), q)
 
 
-def _pair_side(indexed: DataFrame, p: int, num: int, den: int) -> DataFrame:
+class _Heads:
+    """The sets that an index range knows, and the rules by which two of them are a pair to verify."""
+
+    def __init__(self, key, size, lone, sketch, sat, here: int, q: int, reach: int, num: int, den: int):
+        self.key, self.size, self.lone = key, size.astype(np.int64), lone.astype(np.int64)
+        self.sketch, self.sat = sketch.reshape(-1, SKETCH), sat.reshape(-1, SKETCH).astype(np.int64)
+        self.here, self.q, self.reach, self.num, self.den = here, q, reach, num, den
+
+    def reached(self, a, b, at_a, at_b):
+        """Whether both sets spend no more before a key than the pair may differ by."""
+        num, den, total = self.num, self.den, self.size[a] + self.size[b]
+        most = (den - num) * total // (den + num) - self.lone[a] - self.lone[b]
+        share = -(-num * total // (den + num))
+        one, two = self.size[a] - share - self.lone[a], self.size[b] - share - self.lone[b]
+        second = (at_a & 1) == 1
+        return (most >= 0) & (at_a // 2 <= np.where(second, most, one)) & (at_b // 2 <= np.where(second, most, two))
+
+    def met(self, a, b, at_a, at_b) -> np.ndarray:
+        """Pairs that may link, as sorted distinct numbers."""
+        ok = np.flatnonzero((self.den * np.minimum(self.size[a], self.size[b]) >= self.num * np.maximum(self.size[a], self.size[b])) & (a != b))
+        ok = ok[self.reached(a[ok], b[ok], at_a[ok], at_b[ok])]
+        a, b = a[ok].astype(_U), b[ok].astype(_U)
+        return sorted_distinct((np.minimum(a, b) << _U(32)) | np.maximum(a, b))
+
+    def reported(self, seen: np.ndarray) -> pa.RecordBatch:
+        xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        none = _U((1 << self.reach) - 1)
+        for k in range(0, len(seen), 500_000):
+            a, b = (seen[k : k + 500_000] >> _U(32)).astype(np.int64), (seen[k : k + 500_000] & _U(0xFFFFFFFF)).astype(np.int64)
+            least = np.full(len(a), none)
+            for u in range(SKETCH):
+                for v in range(SKETCH):
+                    x = self.sketch[a, u]
+                    i = np.flatnonzero((x == self.sketch[b, v]) & (x < least))
+                    i = i[self.reached(a[i], b[i], self.sat[a[i], u], self.sat[b[i], v])]
+                    least[i] = x[i]
+            mine = (least == none) | ((least * _U(self.q)) >> _U(self.reach) == _U(self.here))
+            x, y = self.key[a[mine]].view(np.int64), self.key[b[mine]].view(np.int64)
+            xs.append(np.minimum(x, y))
+            ys.append(np.maximum(x, y))
+        return _found(np.concatenate(xs), np.concatenate(ys))
+
+
+_FOUND = "a bigint, b bigint, bucket int, blob binary"
+
+
+def _found(a, b, bucket=(), blob=()) -> pa.RecordBatch:
+    """Pairs, then blocks of pairs that other tasks compare."""
+    n, m = len(a), len(bucket)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(m, pa.int64())]) for x in (a, b)] + [pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(bucket, pa.int32())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(blob, pa.binary())])], names=["a", "b", "bucket", "blob"])
+
+
+def _pair_side(indexed: DataFrame, q: int, reach: int, num: int, den: int) -> DataFrame:
     """Pairs of classes that meet in the index and whose sizes allow a link.
 
     Two sizes fix the pair's own bound, less the shingles that each set has alone; a key
     counts only if both sets reach it within that bound.  Similar sets meet in many
-    buckets: each carries its SKETCH least keys, and if two share one that counts, only
-    the bucket of the least such key reports the pair.
+    ranges: each carries its SKETCH least keys, and if two share one that counts, only
+    the range of the least such key reports the pair.  A key that more than RUN sets share
+    is not compared here: blocks of two parts of the sets go to tasks of their own.
     """
 
+    run = RUN
+
     def work(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        key, size, lone, count, sketch, sat, sig, at = blobs.gathered(parts)
-        here = int(sig[0] % _U(p))
-        size, lone, at = size.astype(np.int64), lone.astype(np.int64), at.astype(np.int64)
-        sketch, sat = sketch.reshape(-1, SKETCH), sat.reshape(-1, SKETCH).astype(np.int64)
-        own = np.repeat(np.arange(len(key)), count)
-        order = np.lexsort((size[own], sig))
-        sig, own, at = sig[order], own[order], at[order]
+        here = int(parts[0][0][2])
+        sig, own, at, before = [], [], [], 0
+        for x in parts:
+            s, o = _decoded(x[1], int(x[0][0]), int(x[0][1]))
+            sig.append(s)
+            own.append((o + before).astype("<u4"))
+            at.append(x[2].astype("<u4"))
+            before += len(x[3])
+        heads = _Heads(*(np.concatenate([f(x[k]) for x in parts]) for k, f in ((3, np.asarray), (4, np.asarray), (5, np.asarray), (6, _number), (7, np.asarray))), here, q, reach, num, den)
+        parts.clear()
+        sig, own, at = np.concatenate(sig), np.concatenate(own), np.concatenate(at)
+        order = np.lexsort((heads.size[own], sig))
+        sig, own, at = sig[order], own[order].astype(np.int64), at[order].astype(np.int64)
+        del order
         head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         n = np.diff(np.append(head, len(sig)))
-        end = np.repeat(head + n, n)
-        many = np.flatnonzero(end - np.arange(len(sig)) > 1)
+        for h, k in zip(head[n > run].tolist(), n[n > run].tolist(), strict=True):
+            yield from _blocks(heads, own[h : h + k], at[h : h + k], int(sig[h]), run // 2)
+        end = np.repeat(head + n, np.where(n > run, 0, n))
+        some = np.flatnonzero(np.repeat(n <= run, n))
+        many = some[end - some > 1]
         if not len(many):
             return
-        reach = end[many] - many - 1
-        cum = np.cumsum(reach)
-        most, i = 2_000_000, 0
+        reach_ = end[end - some > 1] - many - 1
+        cum = np.cumsum(reach_)
+        most, i = 1_000_000, 0
         seen = np.zeros(0, _U)
-
-        def reached(a, b, at_a, at_b):
-            """Whether both sets spend no more before a key than the pair may differ by."""
-            total = size[a] + size[b]
-            most = (den - num) * total // (den + num) - lone[a] - lone[b]
-            share = -(-num * total // (den + num))
-            one, two = size[a] - share - lone[a], size[b] - share - lone[b]
-            second = (at_a & 1) == 1
-            return (most >= 0) & (at_a // 2 <= np.where(second, most, one)) & (at_b // 2 <= np.where(second, most, two))
-
-        def reported(seen) -> pa.RecordBatch:
-            xs, ys = [], []
-            for k in range(0, len(seen), 500_000):
-                a, b = (seen[k : k + 500_000] >> _U(32)).astype(np.int64), (seen[k : k + 500_000] & _U(0xFFFFFFFF)).astype(np.int64)
-                least = np.full(len(a), ~_U(0))
-                for u in range(SKETCH):
-                    for v in range(SKETCH):
-                        x = sketch[a, u]
-                        i = np.flatnonzero((x == sketch[b, v]) & (x < least))
-                        i = i[reached(a[i], b[i], sat[a[i], u], sat[b[i], v])]
-                        least[i] = x[i]
-                mine = ((least == ~_U(0)) | (least % _U(p) == _U(here))) & (key[a] != key[b])
-                x, y = key[a[mine]].view(np.int64), key[b[mine]].view(np.int64)
-                xs.append(np.minimum(x, y))
-                ys.append(np.maximum(x, y))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["a", "b"])
-
-        while i < len(many):  # blocks of about ``most`` pairs, so a large run is never held at once
+        while i < len(many):  # about ``most`` pairs at a time
             j = max(i + 1, int(np.searchsorted(cum, (cum[i - 1] if i else 0) + most, "right")))
-            r = reach[i:j]
-            x = np.repeat(many[i:j], r)
-            y = blobs.ranges(many[i:j] + 1, r)
-            a, b = own[x], own[y]
-            ok = np.flatnonzero(den * size[a] >= num * size[b])
-            ok = ok[reached(a[ok], b[ok], at[x[ok]], at[y[ok]])]
-            a, b = a[ok].astype(_U), b[ok].astype(_U)
-            seen = sorted_distinct(np.concatenate([seen, sorted_distinct((np.minimum(a, b) << _U(32)) | np.maximum(a, b))]))
+            r = reach_[i:j]
+            x, y = np.repeat(many[i:j], r), blobs.ranges(many[i:j] + 1, r)
+            seen = sorted_distinct(np.concatenate([seen, heads.met(own[x], own[y], at[x], at[y])]))
             if len(seen) > 4 * most:
-                yield reported(seen)
+                yield heads.reported(seen)
                 seen = seen[:0]
             i = j
         if len(seen):
-            yield reported(seen)
+            yield heads.reported(seen)
 
-    return blobs.by_partition(indexed, work, "a bigint, b bigint")
+    return blobs.by_partition(indexed, work, _FOUND)
+
+
+def _blocks(heads: _Heads, own: np.ndarray, at: np.ndarray, sig: int, step: int) -> Iterator[pa.RecordBatch]:
+    """The sets of one key, by size, in parts of ``step``: every two parts whose sizes allow a link."""
+    cuts = range(0, len(own), step)
+    size = heads.size[own]
+    for i in cuts:
+        for j in cuts:
+            if i <= j and heads.den * int(size[min(i + step, len(own)) - 1]) >= heads.num * int(size[j]):
+                o = np.concatenate([np.arange(i, min(i + step, len(own))), np.arange(j, min(j + step, len(own))) if j > i else np.zeros(0, np.int64)])
+                w = own[o]
+                blob = blobs.pack(np.array([heads.here, min(i + step, len(own)) - i], _U), blobs.narrow(at[o]), heads.key[w], blobs.narrow(heads.size[w]), blobs.narrow(heads.lone[w]), heads.sketch[w].ravel(), blobs.narrow(heads.sat[w].ravel()))
+                yield _found((), (), [mix_int(sig ^ mix_int(i * 0x10001 + j)) % heads.q], [blob])
+
+
+def _block_side(blocks: DataFrame, q: int, reach: int, num: int, den: int) -> DataFrame:
+    """The pairs of all blocks, a block at a time."""
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for blob in b.column(1):
+                (here, half), at, *rest = blobs.unpack(blob.as_py())
+                heads = _Heads(*rest, int(here), q, reach, num, den)
+                at, n, half = at.astype(np.int64), len(at), int(half)
+                for i in range(0, half, 256):
+                    x, y = np.meshgrid(np.arange(i, min(i + 256, half)), np.arange(half, n) if n > half else np.arange(n), indexing="ij")
+                    x, y = x.ravel(), y.ravel()
+                    if n == half:
+                        x, y = x[x < y], y[x < y]
+                    seen = heads.met(x, y, at[x], at[y])
+                    if len(seen):
+                        yield heads.reported(seen)
+
+    return blobs.exchange(blocks.select("bucket", "blob"), q).mapInArrow(work, _FOUND).select("a", "b")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, p: int, num: int, den: int) -> DataFrame:
@@ -422,16 +561,21 @@ def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2,
     # at most mean set size / HOT_SHARE shingles can reach the share, so this list is bounded
     found = both.where("kind = 1").groupBy("key").agg(F.sum("n").alias("c")).where(F.col("c") >= least).orderBy("key").toArrow()
     hot = found["key"].to_numpy().view(_U)
-    tier = np.ceil(np.log2(np.maximum(found["c"].to_numpy(), 2))).astype("u1")
+    tier = np.minimum(np.ceil(np.log2(np.maximum(found["c"].to_numpy(), 2))), TOP_TIER).astype("u1")
     o = np.argsort(hot)
     hot, tier = hot[o], tier[o]
-    p = common.buckets_for(df, BUCKET_BYTES)
-    # wide enough for the shingles' number: rare false matches only make a shingle look shared
-    width = min(8, max(4, -(-(math.ceil(math.log2(max(2, shingles))) + 12) // 8)))
+    p = max(4, -(-int(shingles) // BUCKET_SHINGLES))
+    # wide enough for the shingles' number: rare false matches only make a shingle look shared, or two keys one
+    need = math.ceil(math.log2(max(2, shingles)))
+    width, reach = min(44, max(24, need + 9)), min(44, max(24, need + 11))
     sent = _count_side(docs, n, p, width, hot)
-    q = max(2, p // 2)  # the index is smaller than the universe, and fewer buckets repeat fewer heads
-    indexed = _signature_side(_tier_side(sent, p, width, hot, tier), q, width, num, den)
-    pairs = common.saved(_pair_side(indexed, q, num, den).distinct())
+    q = max(2, p // 2)
+    indexed = _signature_side(_tier_side(sent, p, width, hot, tier), q, width, reach, hot, tier, num, den)
+    met = common.saved(_pair_side(indexed, q, reach, num, den).distinct())
+    pairs = met.where("a is not null").select("a", "b")
+    blocks = met.where("blob is not null")
+    if blocks.limit(1).count():  # only an existence check
+        pairs = common.saved(pairs.unionByName(_block_side(blocks, q, reach, num, den)).distinct())
     return members, classes, _verified(docs, classes, pairs, n, p, num, den)
 
 
@@ -443,8 +587,14 @@ def groups(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFram
     roots = graph.components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
     c = classes.join(other, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = c.groupBy("root").agg(F.min("rep").alias("component_id"))
-    c = common.saved(c.join(least, "root").select("key", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_similar"), "component_id"))
-    return members.join(c, "key", "left").select("id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("n_similar")).otherwise(F.lit(0)).cast("bigint").alias("n_similar"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    c = common.saved(c.join(least, "root").select("key", "copies", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_similar"), "component_id"))
+    # a class with a large share of all rows is looked up in a list of at most SHARES classes, so its rows stay where they are
+    large = F.broadcast(c.where(F.col("copies") * SHARES > F.lit(members.count())).select("key", "n_similar", "component_id"))
+    some = members.where("n > 0 and id is not null")
+    rest = c.select("key", "n_similar", "component_id")
+    linked = some.join(large, "key").unionByName(some.join(large.select("key"), "key", "left_anti").join(rest, "key"))
+    alone = members.where("not (n > 0 and id is not null)").select("key", "id", "n", F.lit(0).alias("n_similar"), F.col("id").alias("component_id"))
+    return linked.unionByName(alone).select("id", F.col("n").alias("n_shingles"), F.col("n_similar").cast("bigint").alias("n_similar"), "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2, num: int = 60, den: int = 100) -> DataFrame:

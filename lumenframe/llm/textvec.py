@@ -47,17 +47,17 @@ _LOWER[65:91] = _TABLE[97:123]
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
-_powers: dict[str, np.ndarray] = {"p": np.ones(1, dtype=_U), "q": np.ones(1, dtype=_U)}
+#: Hashes of spans come from prefix sums over blocks of so many bytes; a longer span is summed block by block.
+BLOCK = 1 << 16
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["p"]) < n:
-        m = max(n, 1 << 16)
-        for k, b in (("p", _BASE), ("q", _BASE_INV)):
-            a = np.full(m, _U(b), dtype=_U)
-            a[0] = 1
-            _powers[k] = np.multiply.accumulate(a)
-    return _powers["p"][:n], _powers["q"][:n]
+def _powers(base: int) -> np.ndarray:
+    a = np.full(BLOCK + 1, _U(base), dtype=_U)
+    a[0] = 1
+    return np.multiply.accumulate(a)
+
+
+_POWER, _INVERSE = _powers(_BASE), _powers(_BASE_INV)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -112,19 +112,35 @@ class Words:
         self.start = np.flatnonzero(w & (~prev | edge[:n]))
         self.end = np.flatnonzero(w & (~nxt | edge[1:])) + 1
         self.first = np.searchsorted(self.start, self.off)
-        self._sums: dict[bool, np.ndarray] = {}
         self.hash = self.spans(self.start, self.end, lower)
 
     def spans(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-        """Hashes of byte spans."""
-        n = len(self.buf)
-        p, q = _pow(n + 1)
-        if lower not in self._sums:
-            c = np.zeros(n + 1, dtype=_U)
-            np.cumsum((_LOWER if lower else _TABLE)[self.buf] * p[:n], out=c[1:])
-            self._sums[lower] = c
-        c = self._sums[lower]
-        return mix((c[end] - c[start]) * q[start] + (end - start).astype(_U) * _U(0xA0761D6478BD642F))
+        """Hashes of byte spans, whose starts and ends ascend."""
+        table = _LOWER if lower else _TABLE
+        out = np.empty(len(start), _U)
+        i = 0
+        while i < len(start):
+            lo = int(start[i])
+            j = int(np.searchsorted(end, lo + BLOCK, "right"))
+            if j <= i:
+                out[i] = _U(self._long(table, lo, int(end[i])))
+                i += 1
+                continue
+            hi = int(end[j - 1])
+            c = np.zeros(hi - lo + 1, dtype=_U)
+            np.cumsum(table[self.buf[lo:hi]] * _POWER[: hi - lo], out=c[1:])
+            a = start[i:j] - lo
+            out[i:j] = (c[end[i:j] - lo] - c[a]) * _INVERSE[a]
+            i = j
+        return mix(out + (end - start).astype(_U) * _U(0xA0761D6478BD642F))
+
+    def _long(self, table: np.ndarray, start: int, end: int) -> int:
+        total, power = 0, 1
+        for at in range(start, end, BLOCK):
+            part = table[self.buf[at : min(at + BLOCK, end)]]
+            total += power * int((part * _POWER[: len(part)]).sum(dtype=_U))
+            power = power * int(_POWER[BLOCK]) & 0xFFFFFFFFFFFFFFFF
+        return total & 0xFFFFFFFFFFFFFFFF
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """Sums of a per-byte array over each document."""

@@ -41,10 +41,11 @@ def corpus(seed, vocab, docs):
     return [*rows, (2, None), (4, ""), (6, " \n"), (8, "lone"), (10, "LONE"), (12, "lone word")]
 
 
-@pytest.mark.parametrize("seed,vocab,docs,low,hot", [(1, 4, 150, 64, 256), (2, 300, 250, 64, 256), (3, 12, 200, 2, 8), (4, 40, 200, 1, 4)])
-def test_matches_brute_force(spark, monkeypatch, seed, vocab, docs, low, hot):
-    """Small tiers and hot lists bring every kind of segment into play."""
+@pytest.mark.parametrize("seed,vocab,docs,low,hot,run", [(1, 4, 150, 64, 256, 4096), (2, 300, 250, 64, 256, 4096), (3, 12, 200, 2, 8, 4), (4, 40, 200, 1, 4, 8)])
+def test_matches_brute_force(spark, monkeypatch, seed, vocab, docs, low, hot, run):
+    """Small tiers, hot lists and runs bring every kind of segment and block into play."""
     monkeypatch.setattr(jaccard, "HOT_LEAST", hot)
+    monkeypatch.setattr(jaccard, "RUN", run)
     rows = corpus(seed, vocab, docs)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.n_similar, r.component_id) for r in jaccard.near_duplicates(df, num=60).collect()}
