@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 SCHEMA = "bucket int, blob binary"
@@ -17,23 +18,47 @@ _NAMES = ["bucket", "blob"]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays with their types and lengths in one byte string."""
-    head = np.array([len(arrays), *(x for a in arrays for x in (_CODES[a.dtype.str], len(a)))], dtype=np.int64)
-    return head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-
-
+    """Arrays with their types and lengths in one byte string.
+
+    Longer arrays go byte plane by byte plane, each compressed where that saves room: the
+    high bytes of steps, small counts and tiers do, hashes don't.
+    """
+    head, body = [len(arrays)], []
+    for a in arrays:
+        size = a.dtype.itemsize
+        head += [_CODES[a.dtype.str], len(a)]
+        if len(a) < PLANES:
+            body.append(np.ascontiguousarray(a).tobytes())
+            continue
+        for x in np.ascontiguousarray(a).view("u1").reshape(-1, size).T:
+            raw = x.tobytes()
+            small = _squeeze.compress(raw)
+            body += [len(small).to_bytes(4, "little"), small] if len(small) < 0.97 * len(raw) else [b"\0\0\0\0", raw]
+    return np.array(head, np.int64).tobytes() + b"".join(body)
+
+
+PLANES = 512  # least items of an array that goes by planes
 _TYPES = ["|u1", "<u2", "<u4", "<u8", "<i8", *(f"|S{k}" for k in range(1, 9))]
 _CODES = {t: i for i, t in enumerate(_TYPES)}
+_squeeze, _expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     k = int(np.frombuffer(blob, np.int64, 1)[0])
     head = np.frombuffer(blob, np.int64, 2 * k, 8)
     at, out = 8 + 16 * k, []
-    for code, n in head.reshape(-1, 2):
+    for code, n in head.reshape(-1, 2).tolist():
         t = np.dtype(_TYPES[code])
-        out.append(np.frombuffer(blob, t, n, at))
-        at += t.itemsize * int(n)
+        if n < PLANES:
+            out.append(np.frombuffer(blob, t, n, at))
+            at += t.itemsize * n
+            continue
+        a = np.empty((n, t.itemsize), "u1")
+        for i in range(t.itemsize):
+            m = int.from_bytes(blob[at : at + 4], "little")
+            a[:, i] = np.frombuffer(_expand.decompress(blob[at + 4 : at + 4 + m], n) if m else blob[at + 4 : at + 4 + n], "u1")
+            at += 4 + (m or n)
+        out.append(a.view(t).ravel())
     return out
 
 

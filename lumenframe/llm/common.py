@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,12 @@ def clear_saved(spark: SparkSession, since: int | None = None, keep: int = 0) ->
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and broadcasts that nothing refers to any more; else they stay until the driver's next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of a plan's size."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

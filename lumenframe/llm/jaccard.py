@@ -47,7 +47,7 @@ HOT_SHARE = 0.002  # a shingle in more than this share of rows is hot
 HOT_LEAST = 256
 LOW_DF = 64  # shingles in at most this many sets are segments of their own
 TOP_TIER = 60
-SKETCH = 2  # least index keys that travel with a set
+SKETCH = 3  # least index keys that travel with a set
 RUN = 4096  # sets that share a key and are compared in one task
 SLICE = 4 << 20  # text bytes of a slice
 BUCKET_SHINGLES = 2_000_000
@@ -567,11 +567,13 @@ def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2,
     p = max(4, -(-int(shingles) // BUCKET_SHINGLES))
     # wide enough for the shingles' number: rare false matches only make a shingle look shared, or two keys one
     need = math.ceil(math.log2(max(2, shingles)))
-    width, reach = min(44, max(24, need + 9)), min(44, max(24, need + 11))
+    width, reach = min(44, max(24, need + 7)), min(44, max(24, need + 10))
     sent = _count_side(docs, n, p, width, hot)
     q = max(2, p // 2)
     indexed = _signature_side(_tier_side(sent, p, width, hot, tier), q, width, reach, hot, tier, num, den)
     met = common.saved(_pair_side(indexed, q, reach, num, den).distinct())
+    del sent, indexed
+    common.release(df.sparkSession)
     pairs = met.where("a is not null").select("a", "b")
     blocks = met.where("blob is not null")
     if blocks.limit(1).count():  # only an existence check
