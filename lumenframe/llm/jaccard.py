@@ -20,7 +20,8 @@ H = (1 - t) / (1 + t) * (|r| + |s|) elements, t = num / den.
 5. Verification compares whole sets.  Pairs go to blocks around a shared neighbour, a
    large block is cut in two dimensions, and a set is sent to each block once.
 
-Equal sets are one class throughout.  Exactness rests on 64-bit hashes not colliding.
+Equal sets are one class throughout.  Exactness rests on 64-bit hashes not colliding, and
+in a pair to verify on hashes of 22 bits more than number all shingles.
 
 Null and empty texts have no set, link with nothing and are their own component.
 Repeated rows with one id count as that many documents. Rows without an id link with
@@ -493,8 +494,8 @@ def _block_side(blocks: DataFrame, q: int, reach: int, num: int, den: int) -> Da
     return blobs.exchange(blocks.select("bucket", "blob"), q).mapInArrow(work, _FOUND).select("a", "b")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, p: int, num: int, den: int) -> DataFrame:
-    """The pairs whose whole sets link."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, p: int, width: int, num: int, den: int) -> DataFrame:
+    """The pairs whose whole sets link; ``width`` bits tell the shingles of two sets apart."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     label = common.saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")))
     few = label.count()
@@ -511,7 +512,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, p:
             t = b.column(2)
             for i, j in runs(t):
                 s, keys = shingle_sets(t.slice(i, j - i), n)
-                out = [(blk, int(k), x.tobytes()) for blks, k, x in zip(b.column(1).slice(i, j - i).to_pylist(), keys.view(np.int64), s, strict=True) for blk in blks]
+                out = [(blk, int(k), blobs.pack(_bytes(np.diff(x >> _U(64 - width), prepend=_U(0))))) for blks, k, x in zip(b.column(1).slice(i, j - i).to_pylist(), keys.view(np.int64), s, strict=True) for blk in blks]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.nulls(len(out), pa.int64()), pa.array([o[2] for o in out], pa.binary())], names=["block", "a", "b", "s"])
 
     wanted = common.small(need.select("rep", "key", "blocks"), 64, rows)
@@ -527,7 +528,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, p:
             isset = s.is_valid().to_numpy(zero_copy_only=False)
             a = b.column(1).to_numpy()
             for i in np.flatnonzero(isset):
-                have[int(a[i])] = np.frombuffer(s[int(i)].as_buffer(), _U)
+                have[int(a[i])] = np.cumsum(_number(blobs.unpack(s[int(i)].as_py())[0]), dtype=_U)
             if not isset.all():
                 ask.append((a[~isset], b.column(2).filter(pa.array(~isset)).to_numpy()))
         good = ([], [])
@@ -569,7 +570,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2,
     need = math.ceil(math.log2(max(2, shingles)))
     width, reach = min(44, max(24, need + 7)), min(44, max(24, need + 10))
     sent = _count_side(docs, n, p, width, hot)
-    q = max(2, p // 2)
+    q = max(2, p // 4)  # fewer ranges report a pair of similar sets less often
     indexed = _signature_side(_tier_side(sent, p, width, hot, tier), q, width, reach, hot, tier, num, den)
     met = common.saved(_pair_side(indexed, q, reach, num, den).distinct())
     del sent, indexed
@@ -578,7 +579,7 @@ def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2,
     blocks = met.where("blob is not null")
     if blocks.limit(1).count():  # only an existence check
         pairs = common.saved(pairs.unionByName(_block_side(blocks, q, reach, num, den)).distinct())
-    return members, classes, _verified(docs, classes, pairs, n, p, num, den)
+    return members, classes, _verified(docs, classes, pairs, n, p, min(64, need + 22), num, den)
 
 
 def groups(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
