@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ from lumenframe.llm.textvec import Words, mix, runs
 _U = np.uint64
 MIN_WORDS, EDIT_WORDS, EDIT_EVERY = 1, 10, 20
 BINS = 16
+HASH = 44  # bits of a window; a run of texts has fewer than 2**20 long lines, a longer text fewer by its words
 #: Keys up to this many are looked up in broadcast sorted arrays; more go through joins.
 LOOKUP_KEYS = 3_000_000
 _ROLL = 0xD1342543DE82EF95
@@ -109,9 +111,10 @@ class Lines:
         q = max(1, min(5, every // 4))
         m = self.n[at] - q + 1
         a = blobs.ranges(self.lo[at], m)
-        h, who = self.part(a, a + q), np.repeat(np.arange(len(at)), m)
-        o = np.lexsort((h, who))
-        h = h[o]
+        # a line's windows by hash: one sort of numbers with the line on top; hashes of HASH bits only cost false candidates
+        h = (np.repeat(np.arange(len(at), dtype=_U), m) << _U(HASH)) | (self.part(a, a + q) >> _U(64 - HASH))
+        h.sort()
+        who, h = (h >> _U(HASH)).astype(np.int64), h & _U((1 << HASH) - 1)
         k = np.arange(len(h))
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (who[1:] != who[:-1])
@@ -220,21 +223,37 @@ def _record(kind, key, pos, doc, line, full, bins=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int32)), pa.array(np.asarray(key, _U).view(np.int64)), pa.array(np.asarray(pos, np.int32)), pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(line, np.int32)), pa.array(np.asarray(full, _U).view(np.int64)), bins], names=["kind", "key", "pos", "doc", "line", "full", "bins"])
 
 
-def _emit(ln: Lines, ids: np.ndarray, at: np.ndarray, edit_words: int) -> Iterator[pa.RecordBatch]:
-    """kind 2: the variants (pos from 0) and the line itself (pos -1) of the given lines."""
-    key, pos, who = [], [], []
-    for i in at.tolist():
-        if ln.n[i] >= edit_words:
+class _Variants:
+    """kind 2: the variants (pos from 1) and the line itself (pos 0) of lines, packed by ranges of their keys."""
+
+    def __init__(self, p: int, edit_words: int):
+        self.p, self.edit_words, self.size = p, edit_words, 0
+        self.have: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, ln: Lines, ids: np.ndarray, at: np.ndarray) -> None:
+        if not len(at):
+            return
+        key, who = [ln.full[at]], [at]
+        pos = [np.zeros(len(at), np.int64)]
+        for i in at[ln.n[at] >= self.edit_words].tolist():
             v = ln.variants(i)
             key.append(v)
-            pos.append(np.arange(len(v)))
+            pos.append(np.arange(1, len(v) + 1))
             who.append(np.full(len(v), i))
-        key.append(ln.full[i : i + 1])
-        pos.append(np.array([-1]))
-        who.append(np.array([i]))
-    if key:
         w = np.concatenate(who)
-        yield _record(np.full(len(w), 2), np.concatenate(key), np.concatenate(pos), ids[ln.doc[w]], ln.number[w], ln.full[w])
+        self.have.append((np.concatenate(key), np.concatenate(pos), ids[ln.doc[w]], ln.number[w], ln.full[w]))
+        self.size += len(w)
+
+    def sent(self, least: int) -> Iterator[pa.RecordBatch]:
+        if self.size <= least:
+            return
+        key, pos, doc, line, full = (np.concatenate(x) for x in zip(*self.have, strict=True))
+        self.have, self.size = [], 0
+        order, b = blobs.split((key % _U(self.p)).astype(np.int64), self.p)
+        out = [(k, order[b[k] : b[k + 1]]) for k in range(self.p) if b[k + 1] > b[k]]
+        n = len(out)
+        packed = [blobs.pack(key[o], blobs.narrow(pos[o]), doc[o], blobs.narrow(line[o]), full[o]) for _, o in out]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.nulls(n, pa.int64()), pa.array([k for k, _ in out], pa.int32()), *(pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64())), pa.array(packed, pa.binary())], names=["kind", "key", "pos", "doc", "line", "full", "bins"])
 
 
 def _far(ln: Lines, ids: np.ndarray, at: np.ndarray, every: int, shared=None) -> Iterator[pa.RecordBatch]:
@@ -249,7 +268,7 @@ def _far(ln: Lines, ids: np.ndarray, at: np.ndarray, every: int, shared=None) ->
         yield _record(np.full(len(w), 4), key, ln.n[w], ids[ln.doc[w]], ln.number[w], ln.full[w], ln.histograms(at[mine])[who])
 
 
-def _looked_up(docs: DataFrame, found: DataFrame, min_words: int, edit_words: int, every: int) -> DataFrame:
+def _looked_up(docs: DataFrame, found: DataFrame, p: int, min_words: int, edit_words: int, every: int) -> DataFrame:
     """Removed equal lines (kind 0) and the records of lines that share a half (kind 2) or a window (kind 4), by broadcast arrays."""
     sc = docs.sparkSession.sparkContext
     t = found.orderBy("kind", "key").toArrow()
@@ -268,6 +287,7 @@ def _looked_up(docs: DataFrame, found: DataFrame, min_words: int, edit_words: in
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ek, ed, el, hk, wk = shared.value
+        variants = _Variants(p, edit_words)
         for b in it:
             allids, t = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1)
             for i, j in runs(t):
@@ -285,15 +305,17 @@ def _looked_up(docs: DataFrame, found: DataFrame, min_words: int, edit_words: in
                     near = np.zeros(len(at), bool)
                     for h in ln.halves(at):
                         near |= has(hk, h)
-                    yield from _emit(ln, ids, at[near], edit_words)
+                    variants.add(ln, ids, at[near])
+                    yield from variants.sent(500_000)
                 at = ln.far(min_words, every)
                 if len(wk):
                     yield from _far(ln, ids, at[~gone[at]], every, lambda x: has(wk, x))
+        yield from variants.sent(0)
 
     return docs.mapInArrow(work, _RECORD)
 
 
-def _joined(docs: DataFrame, found: DataFrame, min_words: int, edit_words: int, every: int) -> DataFrame:
+def _joined(docs: DataFrame, found: DataFrame, p: int, min_words: int, edit_words: int, every: int) -> DataFrame:
     """The same records through joins, for key lists of any size."""
 
     def keys(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,26 +337,56 @@ def _joined(docs: DataFrame, found: DataFrame, min_words: int, edit_words: int,
     by_doc = near.groupBy(F.col("doc").alias("d")).agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
     def variants(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Variants(p, edit_words)
         for b in it:
             allids, t, want = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1), b.column(2)
             for i, j in runs(t):
                 ln = Lines(t.slice(i, j - i))
                 begin = np.searchsorted(ln.doc, np.arange(j - i + 1))
                 at = [begin[d] + x for d, xs in enumerate(want.slice(i, j - i).to_pylist()) for x in xs if x < begin[d + 1] - begin[d]]
-                yield from _emit(ln, allids[i:j], np.array(at, np.int64), edit_words)
+                out.add(ln, allids[i:j], np.array(at, np.int64))
+                yield from out.sent(500_000)
+        yield from out.sent(0)
 
     far = rows.where("kind = 4").join(found.where("kind = 4").select("key"), "key", "left_semi").join(gone.select("doc", "line").distinct(), ["doc", "line"], "left_anti")
     return gone.unionByName(far).unionByName(docs.join(by_doc, F.col("id") == F.col("d")).select("id", "text", "lines").mapInArrow(variants, _RECORD))
 
 
-def _partners(rec: DataFrame) -> DataFrame:
+def _partners(rec: DataFrame, p: int) -> DataFrame:
     """For each line its earliest near line, if that is earlier: (doc, line, full, pdoc, pline)."""
-    place = F.struct("doc", "line")
-    g = rec.groupBy("key", "pos").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    per = g.groupBy("key").agg(F.min("first").alias("all"), F.min(F.when(F.col("pos") == -1, F.col("first"))).alias("own"), F.sum("n").alias("total")).where("total > 1")
-    g = g.join(per, "key").select("key", "pos", F.when(F.col("pos") == -1, F.col("all")).otherwise(F.least("first", "own")).alias("cand"))
-    got = rec.join(g, ["key", "pos"]).where(F.col("cand") < place)
-    return got.groupBy("doc", "line", "full").agg(F.min("cand").alias("c")).select("doc", "line", "full", F.col("c.doc").alias("pdoc"), F.col("c.line").alias("pline"))
+    shape = "doc bigint, line int, full bigint, pdoc bigint, pline int"
+
+    def work(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, pos, doc, line, full = blobs.gathered(parts)
+        o = np.lexsort((line, doc))
+        d, n = doc[o], line[o].astype(np.int64)
+        new = np.ones(len(o), bool)
+        new[1:] = (d[1:] != d[:-1]) | (n[1:] != n[:-1])
+        rank = np.empty(len(o), np.int64)
+        rank[o] = np.cumsum(new) - 1
+        places = o[new]  # a record of each place
+        del d, n, new
+        o = np.lexsort((rank, pos, key))
+        key, pos, rank = key[o], pos[o], rank[o]
+        by_key = np.ones(len(o), bool)
+        by_key[1:] = key[1:] != key[:-1]
+        by_pos = by_key.copy()
+        by_pos[1:] |= pos[1:] != pos[:-1]
+        of_key, of_pos = np.cumsum(by_key) - 1, np.cumsum(by_pos) - 1
+        head = np.flatnonzero(by_key)
+        least, first = np.minimum.reduceat(rank, head), rank[by_pos]
+        own = np.where(pos[head] == 0, rank[head], len(places))
+        cand = np.where(pos == 0, least[of_key], np.minimum(first[of_pos], own[of_key]))
+        ok = np.flatnonzero(cand < rank)
+        ok = ok[np.lexsort((cand[ok], rank[ok]))]
+        r = rank[ok]
+        ok = ok[np.concatenate([[True], r[1:] != r[:-1]])] if len(ok) else ok
+        mine, other = places[rank[ok]], places[cand[ok]]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[mine]), pa.array(line[mine].astype(np.int32)), pa.array(full[mine].view(np.int64)), pa.array(doc[other]), pa.array(line[other].astype(np.int32))], names=["doc", "line", "full", "pdoc", "pline"])
+
+    sent = blobs.exchange(rec.select(F.col("pos").alias("bucket"), F.col("bins").alias("blob")), p)
+    got = blobs.by_partition(sent, work, shape)
+    return got.groupBy("doc", "line", "full").agg(F.min(F.struct("pdoc", "pline")).alias("c")).select("doc", "line", "full", "c.pdoc", "c.pline")
 
 
 def _pairs(rec: DataFrame, done: DataFrame, first: bool, edit_words: int, every: int) -> DataFrame:
@@ -470,8 +522,8 @@ def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_word
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null and id is not null")
     p = common.buckets_for(df, 24 << 20)
     found = _second_side(_first_side(docs, p, min_words, edit_words, edit_every))
-    rec = common.saved((_looked_up if found.count() <= lookup_keys else _joined)(docs, found, min_words, edit_words, edit_every))
-    near = _check(docs, common.saved(_partners(rec.where("kind = 2").drop("kind", "bins"))), edit_words, edit_every)
+    rec = common.saved((_looked_up if found.count() <= lookup_keys else _joined)(docs, found, p, min_words, edit_words, edit_every))
+    near = _check(docs, common.saved(_partners(rec.where("kind = 2"), p)), edit_words, edit_every)
     far = rec.where("kind = 4")
     if far.limit(1).count():  # only an existence check
         near = common.saved(near)
@@ -493,27 +545,26 @@ def _rebuilt(df: DataFrame, id_col: str, text: str, gone: DataFrame, schema: str
         for b in it:
             t, g = b.column(own + 1), b.column(b.num_columns - 1)
             for i, j in runs(t):
-                part = t.slice(i, j - i)
-                ln = Lines(part)
-                begin = np.searchsorted(ln.doc, np.arange(j - i + 1))
-                drop = np.zeros(len(ln.n), bool)
-                full = ln.full.view(np.int64)
-                for d, xs in enumerate(g.slice(i, j - i).to_pylist()):
-                    for x in xs or ():
-                        k = begin[d] + x["line"]
-                        if k < begin[d + 1] and full[k] == x["full"]:
-                            drop[k] = True
-                yield make(b.slice(i, j - i), part, ln, begin, drop)
+                part, gone = t.slice(i, j - i), g.slice(i, j - i)
+                some = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
+                count = np.where(pc.fill_null(pc.binary_length(part), 0).to_numpy() > 0, pc.fill_null(pc.count_substring(part, "\n"), 0).to_numpy() + 1, 0)
+                lost: dict[int, list[int]] = {}
+                if len(some):  # only texts that lose lines are read
+                    ln = Lines(part.take(pa.array(some)))
+                    begin = np.searchsorted(ln.doc, np.arange(len(some) + 1))
+                    full = ln.full.view(np.int64)
+                    for k, d in enumerate(some.tolist()):
+                        lines = sorted(x["line"] for x in gone[d].as_py() if begin[k] + x["line"] < begin[k + 1] and full[begin[k] + x["line"]] == x["full"])
+                        if lines:
+                            lost[d] = lines
+                yield make(b.slice(i, j - i), part, count, lost)
 
     return j.mapInArrow(work, schema)
 
 
-def _texts(part: pa.Array, ln: Lines, begin: np.ndarray, drop: np.ndarray) -> list[str | None]:
-    texts = part.to_pylist()
-    for d in np.unique(ln.doc[drop]).tolist():
-        keep = ~drop[begin[d] : begin[d + 1]]
-        texts[d] = "\n".join(x for x, k in zip(texts[d].split("\n"), keep, strict=True) if k)
-    return texts
+def _without(text: str, lines: list[int]) -> str:
+    drop = set(lines)
+    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", drop_empty: bool = False, **options) -> DataFrame:
@@ -522,14 +573,16 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", drop_
     at = df.columns.index(text)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
-    def make(b, part, ln, begin, drop):
+    def make(b, part, count, lost):
         arrays = [b.column(k) for k in range(len(df_columns))]
-        arrays[at] = pa.array(_texts(part, ln, begin, drop), pa.string())
+        changed = np.zeros(len(part), bool)
+        changed[list(lost)] = True
+        arrays[at] = pc.replace_with_mask(part, pa.array(changed), pa.array([_without(part[d].as_py(), lost[d]) for d in sorted(lost)], pa.string())) if lost else part
         out = pa.RecordBatch.from_arrays(arrays, names=df_columns)
-        if drop_empty:
-            lost = np.add.reduceat(np.append(drop, False).astype(np.int64), np.minimum(begin[:-1], len(drop))) if len(drop) else np.zeros(len(begin) - 1)
-            n = np.diff(begin)
-            out = out.filter(pa.array(~((n > 0) & (lost == n))))
+        if drop_empty and lost:
+            n = np.zeros(len(part), np.int64)
+            n[list(lost)] = [len(x) for x in lost.values()]
+            out = out.filter(pa.array((n == 0) | (n < count)))
         return out
 
     df_columns = list(df.columns)
@@ -541,9 +594,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = common.documents(spark, sf_dir).select("doc_id", "text")
     gone = removals(df)
 
-    def make(b, part, ln, begin, drop):
-        kept = [len(x) if x is not None else 0 for x in _texts(part, ln, begin, drop)]
-        lost = [np.flatnonzero(drop[begin[d] : begin[d + 1]]).tolist() for d in range(len(part))]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(begin), pa.int64()), pa.array(lost, pa.list_(pa.int32())), pa.array(kept, pa.int64())], names=["doc_id", "n_lines", "removed", "n_kept_chars"])
+    def make(b, part, count, lost):
+        kept = pc.fill_null(pc.utf8_length(part), 0).cast(pa.int64()).to_numpy().copy()
+        for d, lines in lost.items():
+            kept[d] = len(_without(part[d].as_py(), lines))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(count.astype(np.int64)), pa.array([lost.get(d, []) for d in range(len(part))], pa.list_(pa.int32())), pa.array(kept)], names=["doc_id", "n_lines", "removed", "n_kept_chars"])
 
     return _rebuilt(df, "doc_id", "text", gone, "doc_id bigint, n_lines bigint, removed array<int>, n_kept_chars bigint", make)
