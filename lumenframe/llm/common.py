@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: Sides up to this many estimated bytes are broadcast; larger ones go through a shuffle.
 BROADCAST_BYTES = 48 << 20
+BATCH_ROWS = 1500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,5 +84,13 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None, items: str | N
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, where the session has Spark's default of 10,000: of texts these are tens of megabytes on both sides of every task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

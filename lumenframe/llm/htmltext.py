@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm import common
 from lumenframe.llm.textvec import runs
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
@@ -326,5 +327,6 @@ def extract(df: DataFrame, html_col: str, keep: list[str]) -> DataFrame:
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.text_batches(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return extract(pages, "html", ["page_id", "url"]).select("page_id", "url", F.col("__text").alias("text"), F.col("__n_chars").alias("n_chars"))

@@ -583,26 +583,62 @@ def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2,
 
 
 def groups(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Per document: id, n_shingles, n_similar and the smallest id reachable by links."""
+    """Per document: id, key and root of its set, n_shingles, n_similar and the smallest id reachable by links."""
     sides = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = common.small(classes.select(F.col("key").alias("b"), "copies"), 32)
     other = sides.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("other")).withColumnRenamed("a", "key")
     roots = graph.components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
     c = classes.join(other, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = c.groupBy("root").agg(F.min("rep").alias("component_id"))
-    c = common.saved(c.join(least, "root").select("key", "copies", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_similar"), "component_id"))
+    c = common.saved(c.join(least, "root").select("key", "root", "copies", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_similar"), "component_id"))
     # a class with a large share of all rows is looked up in a list of at most SHARES classes, so its rows stay where they are
-    large = F.broadcast(c.where(F.col("copies") * SHARES > F.lit(members.count())).select("key", "n_similar", "component_id"))
+    large = F.broadcast(c.where(F.col("copies") * SHARES > F.lit(members.count())).select("key", "root", "n_similar", "component_id"))
     some = members.where("n > 0 and id is not null")
-    rest = c.select("key", "n_similar", "component_id")
+    rest = c.select("key", "root", "n_similar", "component_id")
     linked = some.join(large, "key").unionByName(some.join(large.select("key"), "key", "left_anti").join(rest, "key"))
-    alone = members.where("not (n > 0 and id is not null)").select("key", "id", "n", F.lit(0).alias("n_similar"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone).select("id", F.col("n").alias("n_shingles"), F.col("n_similar").cast("bigint").alias("n_similar"), "component_id")
+    alone = members.where("not (n > 0 and id is not null)").select("key", "id", "n", F.col("key").alias("root"), F.lit(0).alias("n_similar"), F.col("id").alias("component_id"))
+    return linked.unionByName(alone).select("id", "key", "root", F.col("n").alias("n_shingles"), F.col("n_similar").cast("bigint").alias("n_similar"), "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2, num: int = 60, den: int = 100) -> DataFrame:
     """One row per document: id, n_shingles, n_similar, component_id."""
-    return groups(*links(df, id_col, text, n, num, den)).withColumnRenamed("id", id_col)
+    return groups(*links(df, id_col, text, n, num, den)).drop("key", "root").withColumnRenamed("id", id_col)
+
+
+def _keyed(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    """The rows, their columns named by place, with ``id``, ``key`` and ``n`` of their sets."""
+    k = len(df.columns)
+    rows = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)], F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+    schema = "".join(f"c{i} {t}, " for i, (_, t) in enumerate(df.dtypes)) + "id bigint, key bigint, n bigint"
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i, j in runs(b.column(k + 1)):
+                part = b.slice(i, j - i)
+                sets, keys = shingle_sets(part.column(k + 1), n)
+                yield pa.RecordBatch.from_arrays([*part.columns[: k + 1], pa.array(keys.view(np.int64)), pa.array([len(s) for s in sets], pa.int64())], names=[*part.schema.names[: k + 1], "key", "n"])
+
+    return rows.mapInArrow(work, schema)
+
+
+def keep_representatives(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2, num: int = 60, den: int = 100) -> DataFrame:
+    """One row of each group of linked documents, the one of the smallest id (then set key); its own columns only.
+
+    Rows without words or without an id are linked with nothing and stay.  Where rows share an
+    id, id and set tell them apart, so rows of one id and different texts are judged each on
+    its own; of rows with equal id and equal set one stays.
+    """
+    g = common.saved(groups(*links(df, id_col, text, n, num, den)))
+    linked = g.where("n_shingles > 0 and id is not null")
+    if not linked.groupBy("id").count().where("count > 1").limit(1).count():  # only an existence check
+        gone = linked.where("component_id <> id").select(F.col("id").alias("__gone"))
+        return df.join(common.small(gone, 16), F.col(f"`{id_col}`").cast("bigint") == F.col("__gone"), "left_anti")
+    first = linked.groupBy("root").agg(F.min(F.struct("id", "key")).alias("f")).select("f.id", "f.key")
+    rows = _keyed(df, id_col, text, n)
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]
+    loose = F.col("id").isNull() | (F.col("n") == 0)
+    kept = rows.where(~loose).join(first, ["id", "key"], "left_semi").dropDuplicates(["id", "key"])
+    return rows.where(loose).select(*own).unionByName(kept.select(*own))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,19 +8,12 @@ hashes from prefix sums, so no Python loop touches single words.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Arrays of a megabyte and more go back to the system when they are freed, so that a
-# worker's memory is that of its present task; other C libraries than glibc do without.
-if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
-    _libc.mallopt(-3, 1 << 20)
-    pa.set_memory_pool(pa.system_memory_pool())
-
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)

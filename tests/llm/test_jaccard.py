@@ -106,3 +106,24 @@ def test_empty_and_repeated_rows(spark):
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
     none = spark.createDataFrame([(None, "a b c"), (None, "x y"), (4, "a b c")], "doc_id bigint, text string")
     assert sorted(map(repr, map(tuple, jaccard.near_duplicates(none).collect()))) == sorted(map(repr, [(None, 2, 0, None), (None, 1, 0, None), (4, 2, 0, 4)]))
+
+
+def test_representatives_of_rows_that_share_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a, "p"), (1, b, "q"), (1, a, "r"), (2, a + " tail", "s"), (3, c, "t"), (3, b, "u"), (4, None, "v"), (4, "", "w"), (None, a, "x"), (None, a, "y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, key string")
+    got = sorted(r["key"] for r in jaccard.keep_representatives(df).collect())
+    assert got in (["p", "q", "t", "v", "w", "x", "y"], ["q", "r", "t", "v", "w", "x", "y"])
+    assert jaccard.keep_representatives(df).columns == df.columns
+    unique = spark.createDataFrame([(5, a, "p"), (6, a, "q"), (7, b, "r"), (8, "", "s")], "doc_id bigint, text string, root string")
+    assert sorted(r.doc_id for r in jaccard.keep_representatives(unique).collect()) == [5, 7, 8]
+    assert jaccard.keep_representatives(unique.limit(0)).count() == 0
+
+
+def test_large_family_of_different_texts(spark, monkeypatch):
+    """Every two of many different near texts link, and their keys are compared in blocks."""
+    monkeypatch.setattr(jaccard, "RUN", 64)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(base[: i % 100 + 10] + [f"x{i}"] + base[i % 100 + 10 :])) for i in range(600)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
+    assert {(r.n_similar, r.component_id) for r in got} == {(599, 0)}
