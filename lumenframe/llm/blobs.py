@@ -13,6 +13,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from lumenframe.llm.textvec import tidy
+
 SCHEMA = "bucket int, blob binary"
 _NAMES = ["bucket", "blob"]
 
@@ -114,5 +116,6 @@ def by_partition(df: DataFrame, work: Callable[[list[list[np.ndarray]]], Iterato
         parts = [unpack(x) for b in it for x in b.column(1).to_pylist()]
         if parts:
             yield from work(parts)
+        tidy()
 
     return df.mapInArrow(run, schema)

@@ -186,7 +186,7 @@ def _first_side(docs: DataFrame, p: int, min_words: int, edit_words: int, every:
                 key, who = ln.windows(ok, every)
                 wide.append((key, ln.full[ok][who]))
                 size += len(h[0]) * 5 + len(key)
-                if size > 1_500_000:
+                if size > 500_000:
                     yield sent()
                     exact, half, wide, size = [], [], [], 0
         if exact:
@@ -306,7 +306,7 @@ def _looked_up(docs: DataFrame, found: DataFrame, p: int, min_words: int, edit_w
                     for h in ln.halves(at):
                         near |= has(hk, h)
                     variants.add(ln, ids, at[near])
-                    yield from variants.sent(500_000)
+                    yield from variants.sent(300_000)
                 at = ln.far(min_words, every)
                 if len(wk):
                     yield from _far(ln, ids, at[~gone[at]], every, lambda x: has(wk, x))
@@ -345,7 +345,7 @@ def _joined(docs: DataFrame, found: DataFrame, p: int, min_words: int, edit_word
                 begin = np.searchsorted(ln.doc, np.arange(j - i + 1))
                 at = [begin[d] + x for d, xs in enumerate(want.slice(i, j - i).to_pylist()) for x in xs if x < begin[d + 1] - begin[d]]
                 out.add(ln, allids[i:j], np.array(at, np.int64))
-                yield from out.sent(500_000)
+                yield from out.sent(300_000)
         yield from out.sent(0)
 
     far = rows.where("kind = 4").join(found.where("kind = 4").select("key"), "key", "left_semi").join(gone.select("doc", "line").distinct(), ["doc", "line"], "left_anti")
@@ -520,7 +520,7 @@ def _check(docs: DataFrame, pairs: DataFrame, edit_words: int, every: int) -> Da
 def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, edit_words: int = EDIT_WORDS, lookup_keys: int = LOOKUP_KEYS, edit_every: int = EDIT_EVERY) -> DataFrame:
     """One row per document with removed lines: d, gone (array of line number and line hash)."""
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null and id is not null")
-    p = common.buckets_for(df, 24 << 20)
+    p = common.buckets_for(df, 12 << 20)
     found = _second_side(_first_side(docs, p, min_words, edit_words, edit_every))
     rec = common.saved((_looked_up if found.count() <= lookup_keys else _joined)(docs, found, p, min_words, edit_words, edit_every))
     near = _check(docs, common.saved(_partners(rec.where("kind = 2"), p)), edit_words, edit_every)

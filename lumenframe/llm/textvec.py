@@ -8,6 +8,7 @@ hashes from prefix sums, so no Python loop touches single words.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: Rows are handled in runs of about this many text bytes; a longer text is a run of its own.
 SLICE_BYTES = 1 << 20
+TIDY_BYTES = 8 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,6 +81,22 @@ def runs(arr: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         j = max(i + 1, int(np.searchsorted(o, o[i] + most, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+    tidy(int(o[-1]))
+
+
+_libc = ctypes.CDLL(None)
+_since = 0
+
+
+def tidy(done: int = TIDY_BYTES) -> None:
+    """After every TIDY_BYTES of text: freed memory goes back to the system, so that a worker between tasks is small."""
+    global _since
+    _since += done
+    if _since >= TIDY_BYTES:
+        _since = 0
+        pa.default_memory_pool().release_unused()
+        if hasattr(_libc, "malloc_trim"):  # glibc
+            _libc.malloc_trim(0)
 
 
 class Words:
