@@ -6,18 +6,23 @@ hidden parts and reader comments are cut by element, role and the words of class
 unless that part holds most of the page's paragraphs.  Each paragraph then passes points
 for its length and commas to its ancestors, in full to the parent, half to the
 grandparent and less further up; a container's points are discounted by its link density.
-The best container and its siblings that qualify are kept, without inner parts that are
-mostly links.
+The best container and its siblings that qualify are kept; without inner parts that are
+mostly links, within article elements without bare rows of links only.
+
+Scanning is linear in the page: quotes end a search for a tag's end, and names of elements
+that are not open are known without a walk.
 
 Defined cases: null and empty pages give an empty text; text outside any element counts
 as a paragraph of the page; an unfinished tag at the end is dropped; any nesting depth
-works; white space includes no-break spaces.
+works; white space includes no-break spaces; of containers with equal points the first
+scored stays; repeated pages and clashing column names are handled row by row.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +32,9 @@ from pyspark.sql import functions as F
 from lumenframe.llm import common
 from lumenframe.llm.textvec import runs
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+_EDGE = re.compile("[>\"']")
+LONG_TAG = 1 << 16  # a tag whose quotes do not end within so many characters ends at its first >
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,6 +49,7 @@ CUT_WORDS = frozenset(
     "sidebar sidebars aside widget widgets rail footer foot colophon masthead topbar toolbar cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription "
     "signup signin login comment comments commentlist respond disqus discussion replies reply share sharing social related recommended recommendations trending form search skip hidden".split()
 )
+PLAIN_WORDS = frozenset("area bar block body bottom box button buttons card cards col column container content element footer form frame group grid head header heading icon icons inline inner item items label left line link links list main media message module news outer page panel policy post posts primary region right row secondary section side site slot small space strip tag target text thread title tools top unit user view wrap wrapper zone js the of for by".split())
 HEADER_WORDS = frozenset(["header", "head"])
 KEEP_WORDS = frozenset("article body content entry main page post story text prose column".split())
 PARAGRAPH = frozenset("p pre td th blockquote li dd dt div section article main body figcaption h1 h2 h3 h4 h5 h6 #root".split())
@@ -68,20 +76,35 @@ def tree(page: str) -> Node:
         if x:
             here.kids.append(html.unescape(x) if "&" in x else x)
 
+    def close(x: Node) -> None:
+        """Ends all elements up to x."""
+        nonlocal here
+        while here is not x:
+            open_[here.tag] -= 1
+            here = here.parent
+
+    open_: Counter = Counter()  # elements that are open, by name; spares walks that would find nothing
     while at < n:
-        m = _TAG.search(page, at)
+        m = _OPEN.search(page, at)
         if m is None:
-            rest = page[at:]
-            open_ = re.search(r"<[a-zA-Z/!?]", rest)
-            text(rest[: open_.start()] if open_ else rest)
+            text(page[at:])
             break
         text(page[at : m.start()])
-        at = m.end()
-        end, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if m[1]:
+            stop = page.find("-->", m.end())
+            at = stop + 3 if stop >= 0 else n
+            continue
+        stop = _tag_end(page, m.end()) if m[3] else page.find(">", m.end())
+        if stop < 0:  # an unfinished tag
+            break
+        at = stop + 1
+        end, name, attrs = m[2], m[3], page[m.end() : stop]
         if name is None:
             continue
         name = name.lower()
         if end:
+            if not open_[name]:
+                continue
             x = here
             while x is not root and x.tag != name:
                 if x.tag in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
@@ -89,23 +112,23 @@ def tree(page: str) -> Node:
                     break
                 x = x.parent
             if x is not root:
-                here = x.parent
+                close(x.parent)
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             if not attrs.rstrip().endswith("/") or name not in ("svg", "math"):
-                at = page.find(">", close.end()) + 1 if close else n
+                stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
+                at = page.find(">", stop.end()) + 1 if stop else n
                 at = at or n
             continue
-        if name in CLOSES_P:
+        if name in CLOSES_P and open_["p"]:
             x = here
             while x is not root and x.tag != "p" and x.tag not in ("td", "th", "table", "button"):
                 if x.tag in BLOCK:
                     break
                 x = x.parent
             if x.tag == "p":
-                here = x.parent
-        if name in ENDS:
+                close(x.parent)
+        if name in ENDS and any(open_[k] for k in ENDS[name][0]):
             closes, scope = ENDS[name]
             x, last = here, None
             while x is not root and x.tag not in scope:
@@ -113,12 +136,12 @@ def tree(page: str) -> Node:
                     last = x
                 x = x.parent
             if last is not None:
-                here = last.parent
-        if name == "a":  # links don't nest
+                close(last.parent)
+        if name == "a" and open_["a"]:  # links don't nest
             x = here
             while x is not root and x.tag not in BLOCK:
                 if x.tag == "a":
-                    here = x.parent
+                    close(x.parent)
                     break
                 x = x.parent
         if name in ("html", "body") and attrs == "" and here is not root and name == "body" and here.tag == "body":
@@ -126,10 +149,23 @@ def tree(page: str) -> Node:
         x = Node(name, attrs, here)
         here.kids.append(x)
         if name not in VOID:
+            open_[name] += 1
             here = x
     return root
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Place of the > that ends a tag, outside quotes; -1 if there is none."""
+    k, most = at, at + LONG_TAG
+    while m := _EDGE.search(page, k, most):
+        if m[0] == ">":
+            return m.start()
+        k = page.find(m[0], m.end(), most) + 1
+        if not k:
+            break
+    return page.find(">", at)
+
+
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(raw)}
 
@@ -147,6 +183,9 @@ def unwanted(x: Node) -> bool:
     if x.tag in ("article", "main", "p", "h1"):
         words = {w.lower() for w in _WORD.findall(a.get("class", "") + " " + a.get("id", ""))}
         return bool(words & {"comment", "ad", "advert", "advertisement", "sponsored"})
+    if x.inside:  # in an article a name must speak of nothing but such a part: "share-bar", not "form-factor"
+        names = [[w.lower() for w in _WORD.findall(t)] for t in (a.get("class", "") + " " + a.get("id", "")).split()]
+        return any(CUT_WORDS.intersection(t) and all(w in CUT_WORDS or w in PLAIN_WORDS or w.isdigit() for w in t) for t in names)
     words = {w.lower() for w in _WORD.findall(a.get("class", "") + " " + a.get("id", ""))}
     return bool(words & CUT_WORDS) or (not x.inside and bool(words & HEADER_WORDS) and not words & KEEP_WORDS)
 
@@ -244,7 +283,12 @@ def _score(root: Node) -> list[Node]:
 
 
 def _linky(x: Node) -> bool:
-    return x.tag in ("ul", "ol", "dl", "table", "div", "section") and x.links >= 2 and x.link > 0.6 * x.size
+    """Mostly links; within an article only a bare row of links, as lists there are the article's."""
+    if x.links < 2 or x.link <= 0.6 * x.size:
+        return False
+    if x.inside:
+        return x.tag in ("div", "section") and any(isinstance(k, Node) and k.tag == "a" for k in x.kids)
+    return x.tag in ("ul", "ol", "dl", "table", "div", "section")
 
 
 def blocks(kept: list[Node | str]) -> list[str]:

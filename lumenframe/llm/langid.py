@@ -11,8 +11,8 @@ binary search a character scores every language; the rest backs off to trigrams.
 group's broadcast after another, and their cross-entropies are put side by side.
 
 The language with the lowest cross-entropy per character is chosen.  A bounded sample of
-the training rows of each language (about ``calibration_rows`` shared out evenly, or
-``LEAST_ROWS``, as far as there are so many) sets the temperature of the score and, per
+the labelled rows of each language (about ``calibration_rows`` shared out evenly, or
+``LEAST_ROWS``, but a fifth of its rows at most), which is not counted for the models, sets the temperature of the score and, per
 language, the cross-entropy beyond which a text is rejected, wider for short texts.
 Languages with fewer than 20 rightly predicted rows take spread and limit from the rows of
 all; if these are fewer than 20 too, nothing with letters is rejected.
@@ -42,9 +42,9 @@ CALIBRATION_ROWS = 20_000
 LEAST_ROWS = 200
 SCALE = 2.0 ** np.arange(0, 9)
 PARTS = 16
-#: A text is rejected beyond this quantile of the calibration rows' standardised cross-entropy, times the margin,
-#: if its cross-entropy is also nearer to that of evenly drawn characters than to the language's own.
-QUANTILE, MARGIN = 0.999, 4.0
+#: A text is rejected beyond this quantile of the calibration rows' standardised cross-entropy, times the margin.
+QUANTILE, MARGIN = 0.999, 2.0
+CALIBRATION_SHARE = 0.2  # of a language's rows at most
 
 
 @cache
@@ -121,10 +121,10 @@ def count(train: DataFrame, lang: str, text: str) -> dict[str, tuple[np.ndarray,
                     if len(head):
                         have.setdefault(name, []).append((mine[head], np.diff(np.append(head, len(mine))).astype(np.int64)))
                         size += len(head)
-                if size > 3_000_000:
+                if size > 800_000:
                     have = {k: [_summed(np.concatenate([p[0] for p in v]), np.concatenate([p[1] for p in v]))] for k, v in have.items()}
                     size = sum(len(v[0][0]) for v in have.values())
-                    if size > 2_000_000:
+                    if size > 500_000:
                         yield from sent()
                         have, size = {}, 0
         yield from sent()
@@ -256,7 +256,7 @@ class Model:
         least = h[np.arange(len(h)), best]
         score = np.where(letter, self._score(h, n, self.temperature)[np.arange(len(h)), best], 0.0)
         z = (least - self.centre[best]) / self._width(n) / self.spread[best]
-        return [self.langs[b] if x else "und" for b, x in zip(best, letter, strict=True)], score, least, ~letter | ((z > self.limit[best]) & (least > (self.centre[best] + BITS) / 2))
+        return [self.langs[b] if x else "und" for b, x in zip(best, letter, strict=True)], score, least, ~letter | (z > self.limit[best])
 
 
 class Grouped(Model):
@@ -304,14 +304,17 @@ def held_out(id_col: Column) -> Column:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", calibration_rows: int = CALIBRATION_ROWS, most: int | None = None) -> Model:
-    """Trains on all rows with a language and a text; a bounded number of each language's, by a hash, calibrate."""
+    """Trains on the rows with a language and a text, but for a bounded number of each language's that, by a hash, calibrate."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = count(rows, "lang", "text")
+    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    bound = max(calibration_rows // max(len(per), 1), LEAST_ROWS)
+    share = [(k, int(min(CALIBRATION_SHARE, bound / n) * (1 << 40))) for k, n in per.items()]
+    hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
+    split = rows.join(common.small(df.sparkSession.createDataFrame(share, "lang string, share bigint"), 64, rows=len(share)), "lang").withColumn("calibrates", F.coalesce(hashed < F.col("share"), F.lit(False)))
+    counts = count(split.where("not calibrates"), "lang", "text")
     most = most or MAX_LANGUAGES
     grouped = len(counts) > most
     model = Grouped(counts, most) if grouped else Model(counts)
-    bound = max(calibration_rows // max(len(model.langs), 1), LEAST_ROWS)
-    share = [(r["lang"], -int(-min(1.0, bound / r["count"]) * (1 << 40) // 1)) for r in rows.groupBy("lang").count().collect() if r["lang"] in counts]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,11 +332,10 @@ def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "
                 own, right, loss = model.judge(h[letter], n[letter], truth)
                 yield pa.RecordBatch.from_arrays([pa.array(truth, pa.int32()), pa.array(n[letter], pa.int64()), pa.array(own), pa.array(right), pa.array(list(loss), pa.list_(pa.float64()))], names=["truth", "n", "own", "right", "loss"])
 
-    parts = df.sparkSession.createDataFrame(share, "lang string, share bigint")
-    hashed = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
-    picked = rows.join(common.small(parts, 64, rows=len(share)), "lang").where(hashed < F.col("share")).select("lang", "text")
+    picked = split.where("calibrates").where(F.col("lang").isin(model.langs)).select("lang", "text")
     t = (model.scored(picked) if grouped else picked).mapInArrow(work, "truth int, n bigint, own double, right boolean, loss array<double>").toArrow()
     own, right, n, truth = (t[c].to_numpy() for c in ("own", "right", "n", "truth"))
+    shared.destroy()
     model.calibrate(own, right.astype(bool), np.array(t["loss"].to_pylist(), float).reshape(len(t), len(SCALE)), n, truth)
     return model
 

@@ -11,8 +11,9 @@ text of any length needs memory only for its unresolved end.
   allowed only if merging the previous piece and its own gives just these two; every
   place then has exactly one allowed path, which is the merge result of its prefix.
 
-No piece spans a word start (this is checked when a model is loaded), so paths always
-meet there; the ids between two such boundaries are remembered in a bounded table.
+Every text goes through one stream.  Where no piece spans a word start (this is checked when
+a model is loaded), all paths meet there and the stream commits its window; the ids between
+two such boundaries are remembered in tables of bounded memory.
 Unknown characters become byte pieces if the model has them, else the unknown id.
 
 Defined cases: null and empty texts have no ids; ids out of range raise; byte pieces
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm import common
 from lumenframe.llm.textvec import runs
 
-REMEMBERED = 400_000
+MEMO_BYTES = 96 << 20  # about this much memory holds segments met before, and a third of it pairs of pieces
+_ENTRY = 200  # bytes of an entry besides its characters and ids
 _SEGMENT = re.compile("▁+[^▁]*|[^▁]+")
 
 
@@ -122,15 +124,27 @@ class Model:
         self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
         self.sizes = np.array([len(x) for x in self.raw], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.after: dict[str, dict[str, bool]] = {}  # whether the second piece may follow the first
+        self.pairs = 0
         self.known: dict[str, bytes] = {}  # segments met lately, and those met before them
         self.older: dict[str, bytes] = {}
+        self.size = 0
 
     def remember(self, segment: str, ids: bytes) -> None:
         if len(segment) <= 64:
-            if len(self.known) >= REMEMBERED:
-                self.known, self.older = {}, self.known
             self.known[segment] = ids
+            self.size += _ENTRY + len(segment) + len(ids)
+            if self.size > MEMO_BYTES // 2:
+                self.older, self.size = dict(self.known), 0
+                self.known.clear()
+
+    def recall(self, segment: str) -> bytes | None:
+        ids = self.known.get(segment)
+        if ids is None:
+            ids = self.older.get(segment)
+            if ids is not None:
+                self.remember(segment, ids)
+        return ids
 
     def merge(self, text: str) -> list[str]:
         """Merges by rank, the leftmost of the best pair first."""
@@ -145,13 +159,18 @@ class Model:
                 return s
             s[at : at + 2] = [s[at] + s[at + 1]]
 
-    def allowed(self, before: str, piece: str) -> bool:
-        k = (before, piece)
-        x = self.pairs.get(k)
+    def follows(self, before: str) -> dict[str, bool]:
+        x = self.after.get(before)
         if x is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            x = self.pairs[k] = self.merge(before + piece) == ([before, piece] if before else [piece])
+            x = self.after[before] = {}
+        return x
+
+    def allowed(self, before: str, piece: str) -> bool:
+        self.pairs += 1
+        if self.pairs * _ENTRY > MEMO_BYTES // 3:
+            self.after.clear()
+            self.pairs = 0
+        x = self.follows(before)[piece] = self.merge(before + piece) == ([before, piece] if before else [piece])
         return x
 
     def ids(self, piece: str) -> list[int]:
@@ -162,27 +181,85 @@ class Model:
 
 
 class Stream:
-    """Feeds characters and commits ids; ``finish`` gives the rest."""
+    """Feeds characters and commits ids, as bytes; ``finish`` gives the rest.
+
+    A word start ends every surviving path, as no piece spans it: there the whole window is
+    committed at once.  Within a word the paths are followed back to the boundary they share.
+    """
 
     def __init__(self, model: Model):
         self.m = model
+        self.most = self.commits = 0  # greatest window and number of commits so far
+        self._restart()
+
+    def _restart(self) -> None:
         self.window = ""  # characters from the last committed boundary on
         self.back: list[int] = [0]  # start of the best edge into each place; the first is the boundary
         self.best: list[np.float32 | None] = [np.float32(0)]
+        self.next = [self.m.follows("")]  # of each place, what may follow its piece
         self.last = [""]  # piece of that edge, and before the boundary the last committed piece
-        self.most = 0  # greatest window so far
+        self.cut = False  # whether part of the word is committed
 
     def feed(self, text: str) -> list[int]:
-        step, out = 2 * self.m.longest, []
+        return np.frombuffer(self.put(text), "<u4").tolist()
+
+    def finish(self) -> list[int]:
+        return np.frombuffer(self.end(), "<u4").tolist()
+
+    def put(self, text: str) -> bytes:
+        """Ids, as bytes, that are sure now."""
+        if not self.m.apart:
+            return self._word(text)
+        words = _SEGMENT.findall(text)
+        if not words:
+            return b""
+        out = []
+        if self.window and words[0][0] == "▁" and self.window[-1] != "▁":
+            out.append(self.end())
+        if self.window and len(words) > 1:
+            out += [self._word(words.pop(0)), self.end()]
+        known, older = self.m.known.get, self.m.older.get
+        for x in words[:-1]:  # whole words; the last may go on
+            ids = known(x)
+            if ids is None:
+                ids = older(x)
+                if ids is None:
+                    ids = self._word(x) + self.end()
+                else:
+                    self.m.remember(x, ids)
+                older = self.m.older.get
+            out.append(ids)
+        self.commits += len(words) - 1
+        out.append(self._word(words[-1]))
+        return b"".join(out)
+
+    def end(self) -> bytes:
+        """The ids of the window: all paths pass its end."""
+        if not self.window:
+            return b""
+        ids = self._path(len(self.window))
+        self.commits += 1
+        if self.m.apart and not self.cut:
+            self.m.remember(self.window, ids)
+        self._restart()
+        return ids
+
+    def _word(self, text: str) -> bytes:
+        step = 2 * self.m.longest
+        extend = self._extend_bpe if self.m.bpe else self._extend_unigram
+        if len(self.window) + len(text) <= step:
+            extend(text)
+            return b""
+        out = []
         for k in range(0, len(text), step):
-            (self._extend_bpe if self.m.bpe else self._extend_unigram)(text[k : k + step])
-            if k + step <= len(text):
-                out += self._commit()
-        return out
+            extend(text[k : k + step])
+            if len(self.window) > step:
+                out.append(self._commit())
+        return b"".join(out)
 
     def _extend_bpe(self, text: str) -> None:
-        m, back, last, best = self.m, self.back, self.last, self.best
-        longest, have, allowed, pairs = m.longest, m.id, m.allowed, m.pairs
+        m, back, last, after = self.m, self.back, self.last, self.next
+        longest, have, follows = m.longest, m.id, m.follows
         first = len(self.window)
         self.window = x = self.window + text
         self.most = max(self.most, len(x))
@@ -190,15 +267,14 @@ class Stream:
             # just one edge is allowed, so the order of trying does not matter; it is mostly short
             for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):
                 t = x[j:i]
-                if (t in have or j == i - 1) and best[j] is not None:
-                    ok = pairs.get((last[j], t))
-                    if ok is None:
-                        ok = allowed(last[j], t)
-                    if ok:
-                        back.append(j)
-                        last.append(t)
-                        best.append(0)
-                        break
+                ok = after[j].get(t)
+                if ok is None:
+                    ok = (t in have or j == i - 1) and m.allowed(last[j], t)
+                if ok and back[j] >= 0:
+                    back.append(j)
+                    last.append(t)
+                    after.append(follows(t))
+                    break
             else:
                 raise AssertionError("a prefix without a path")
 
@@ -220,65 +296,44 @@ class Stream:
             self.best.append(score)
             self.last.append(piece)
 
-    def _commit(self) -> list[int]:
+    def _commit(self) -> bytes:
         """Ids up to the one boundary through which every path that can go on passes."""
         n = len(self.window)
-        live = {j for j in range(max(0, n - self.m.longest + 1), n + 1) if self.best[j] is not None}
+        live = {j for j in range(max(0, n - self.m.longest + 1), n + 1) if self.back[j] >= 0}
         while len(live) > 1:
             x = max(live)
             live.remove(x)
             live.add(self.back[x])
         at = live.pop()
         if not at:
-            return []
+            return b""
         out = self._path(at)
         last = self.last[at]
+        self.commits += 1
+        self.cut = True
         self.window = self.window[at:]
         self.back = [0] + [b - at for b in self.back[at + 1 :]]
         # edges from before the boundary lead to places that no path uses any more
-        self.best = [b if k == 0 or self.back[k] >= 0 else None for k, b in enumerate(self.best[at:])]
+        if not self.m.bpe:
+            self.best = [b if k == 0 or self.back[k] >= 0 else None for k, b in enumerate(self.best[at:])]
         self.last = [last, *self.last[at + 1 :]]
+        self.next = self.next[at:]
         return out
 
-    def _path(self, at: int) -> list[int]:
+    def _path(self, at: int) -> bytes:
+        back, last, have = self.back, self.last, self.m.id
         pieces = []
         while at:
-            pieces.append(self.last[at])
-            at = self.back[at]
-        return [i for p in reversed(pieces) for i in self.m.ids(p)]
-
-    def finish(self) -> list[int]:
-        return self._path(len(self.window))
-
-
-def _short(m: Model, x: str) -> list[int]:
-    """``Stream`` over a BPE segment that fits its window, so that nothing is committed before the end."""
-    have, pairs, allowed, longest = m.id, m.pairs, m.allowed, m.longest
-    back, last = [0], [""]
-    n = len(x)
-    for i in range(1, n + 1):
-        for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):
-            t = x[j:i]
-            if t in have or j == i - 1:
-                ok = pairs.get((last[j], t))
-                if ok is None:
-                    ok = allowed(last[j], t)
-                if ok:
-                    back.append(j)
-                    last.append(t)
-                    break
-    pieces = []
-    while n:
-        pieces.append(last[n])
-        n = back[n]
-    out = []
-    for p in reversed(pieces):
-        i = have.get(p)
-        if i is None:
-            out += m.ids(p)
-        else:
-            out.append(i)
-    return out
+            pieces.append(last[at])
+            at = back[at]
+        out = []
+        for p in reversed(pieces):
+            i = have.get(p)
+            if i is None:
+                out += self.m.ids(p)
+            else:
+                out.append(i)
+        return struct.pack(f"<{len(out)}I", *out)
 
 
 def normalized(m: Model, text: str) -> str:
@@ -296,33 +351,11 @@ def encode(m: Model, text: str | None) -> bytes:
     """Ids of a text as little-endian unsigned 32-bit numbers."""
     if not text:
         return b""
-    x = normalized(m, text)
-    if not m.apart:
-        s = Stream(m)
-        return np.array(_fused(m, s.feed(x) + s.finish()), "<u4").tobytes()
-    out = []
-    known = m.known
-    for seg in _SEGMENT.findall(x):
-        ids = known.get(seg)
-        if ids is None:
-            ids = m.older.get(seg)
-            if ids is not None:
-                m.remember(seg, ids)
-                known = m.known
-        if ids is None:
-            if m.bpe and len(seg) <= 2 * m.longest:
-                found = _short(m, seg)
-            else:
-                s = Stream(m)
-                found = s.feed(seg) + s.finish()
-            ids = struct.pack(f"<{len(found)}I", *found)
-            m.remember(seg, ids)
-            known = m.known
-        out.append(ids)
-    joined = b"".join(out)
+    s = Stream(m)
+    ids = s.put(normalized(m, text)) + s.end()
     if len(m.byte) != 256:
-        return np.array(_fused(m, np.frombuffer(joined, "<u4").tolist()), "<u4").tobytes()
-    return joined
+        return np.array(_fused(m, np.frombuffer(ids, "<u4").tolist()), "<u4").tobytes()
+    return ids
 
 
 def decode(m: Model, ids: bytes) -> str:

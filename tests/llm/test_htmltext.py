@@ -1,3 +1,4 @@
+import time
 import html
 import re
 
@@ -22,6 +23,7 @@ P2 = "The second one goes on, with more words, and ends here &amp; now."
         (f"<div><p>{P1}</p></div><div class='cookie-notice'>We use cookies</div><div hidden><p>{P2}</p></div><!-- {P2} --><a hre", P1),
         (f"<article><p>{P1}<!-- cut", P1),
         ("<article><p>Tiny.</p></article><div class=ad>Buy, buy, buy, this great and long and shiny thing.</div>", "Tiny."),
+        (f"<article><p>{P1}</p><div class=form-factor><p>Kept, too.</p></div><ul><li><a href=1>Source one</a></li><li><a href=2>Source two</a></li></ul><div class='share-bar'>Share</div></article>", f"{P1} Kept, too. Source one Source two"),
         ("<div>" * 5000 + "deep, text" + "</div>" * 5000, "deep, text"),
     ],
 )
@@ -41,3 +43,10 @@ def test_driver_pages_against_a_plain_reading(spark):
         inner = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         want = " ".join(html.unescape(re.sub(r"</?(p|h1|br)>", " ", inner).replace("<b>", "").replace("</b>", "")).split())
         assert main_text(r.html) == want
+
+
+@pytest.mark.parametrize("page", ['<p title="x>word ' * 20_000, "<a href='x>y " * 20_000, "<div>" * 2000 + "text" + "</span>" * 20_000, "<b>" * 20_000 + "</i></p>" * 20_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 5
