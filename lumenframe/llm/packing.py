@@ -6,13 +6,14 @@ however large the corpus is: it is solved on the driver, and pieces take their p
 rank.  Ranks are a count within each task plus an offset a (task, length), so a length
 that a third of all pieces share is spread like any other.
 
-Solver: best-fit decreasing gives the first incumbent.  Bin completion then takes the
-longest remaining piece and tries fillings of its sequence in order of waste, leaving out
-fillings that another one dominates (its parts fit into the other's), and applies each as
-often as the counts allow.  A branch ends when its waste rules out beating the incumbent.
-It stops at the lower bound of Martello and Toth or after ``nodes`` nodes, and a node
-tries NODE_EFFORT lengths; that bounds the search, not the pieces: the best packing found
-always holds them all.
+Solver: best-fit decreasing gives the first incumbent, a greedy choice of the fullest filling
+the second.  Bin completion then takes the longest remaining piece and tries fillings of its
+sequence, of any number of parts, in order of waste, leaving out fillings that another one
+dominates (its parts fit into the other's), and applies each as often as the counts allow,
+then half as often and so on to once.  A branch ends when its waste rules out beating the
+incumbent, which best-fit completions of nodes renew.  It stops at the lower bound of
+Martello and Toth or after ``nodes`` nodes, and a node tries NODE_EFFORT lengths; that bounds
+the search, not the pieces: the best packing found always holds them all.
 
 Defined cases: a null or empty text is the closing id alone; longer texts are cut, with
 the shorter piece first; rows that share an id are packed each on its own.
@@ -38,6 +39,7 @@ from lumenframe.llm.tokencount import codec, ids_of
 CAPACITY, CLOSING, NODES = 2048, 0, 6_000
 NODE_EFFORT = 4_000  # lengths tried at a node of the search; a test of dominance counts as DOMINANCE of them
 DOMINANCE = 40
+COMPLETE_EVERY = 40  # nodes between completions by best fit
 
 Plan = list[tuple[tuple[int, ...], int]]  # lengths in a sequence, and how many sequences have them
 
@@ -85,6 +87,49 @@ def best_fit(h: np.ndarray, capacity: int) -> Plan:
     return done
 
 
+def fullest(room: int, left: list[int], sizes: list[int]) -> list[int]:
+    """Available lengths, of any number, whose sum is the greatest that fits the room: subset sums as bits, longest lengths first."""
+    reach, steps = 1, []
+    every = (2 << room) - 1
+    for s in sizes:
+        if s > room or not left[s]:
+            continue
+        steps.append((s, reach))
+        copies, k = min(left[s], room // s), 1
+        while copies:
+            k = min(k, copies)
+            reach |= (reach << (s * k)) & every
+            copies -= k
+            k *= 2
+        if reach >> room & 1:
+            break
+    at, out = reach.bit_length() - 1, []
+    for s, before in reversed(steps):
+        while not before >> at & 1:
+            at -= s
+            out.append(s)
+    return out
+
+
+def minimum_slack(h: np.ndarray, capacity: int) -> Plan:
+    """Around the longest piece the filling that wastes least, as often as the counts allow, and so on."""
+    left = [int(x) for x in h]
+    sizes = [s for s in range(capacity, 0, -1) if left[s]]
+    done: Plan = []
+    while sizes:
+        top = sizes[0]
+        left[top] -= 1
+        f = (top, *fullest(capacity - top, left, sizes))
+        left[top] += 1
+        need = Counter(f)
+        times = min(left[s] // k for s, k in need.items())
+        for s, k in need.items():
+            left[s] -= k * times
+        done.append((f, times))
+        sizes = [s for s in sizes if left[s]]
+    return done
+
+
 def _fits(parts: tuple[int, ...], into: tuple[int, ...]) -> bool:
     """Whether parts can be spread over pieces ``into`` used as bins: then ``into`` dominates."""
     if not parts:
@@ -125,45 +170,49 @@ def _exact(total: int, most: int, h: list[int], sizes: list[int], parts: int, ef
 def fillings(room: int, waste: int, h: list[int], sizes: list[int], effort: int, width: int = 6) -> Iterator[tuple[int, ...]]:
     """Undominated fillings of a room, by waste and then by number of parts, at most ``width`` of a kind.
 
-    If the effort ends before there is one, the best fit, part by part, is given.
+    If the effort ends before there is one, the fullest is given.
     """
     seen: list[tuple[int, ...]] = []
     left = [effort]
     least = sizes[-1] if sizes else room + 1
     for w in range(min(waste, room) + 1):
-        for parts in range(min(5, (room - w) // least + 1)):
-            found = 0
-            for f in _exact(room - w, room, h, sizes, parts, left):
+        for parts in range((room - w) // least + 1):
+            found: list[tuple[int, ...]] = []
+            tries = _exact(room - w, room, h, sizes, parts, left)
+            for f in tries:
                 left[0] -= DOMINANCE * len(seen)
                 if not any(_fits(f, g) for g in seen):
                     seen.append(f)
-                    yield f
-                    found += 1
-                    if found >= width:
+                    found.append(f)
+                    if len(found) >= width:
                         break
+            tries.close()  # it holds counts while it waits
+            yield from found
+            if left[0] < 0:
+                break
         if left[0] < 0:
             break
     if not seen:
-        f, r = [], room
-        for s in sizes:
-            k = min(h[s], r // s)
-            f += [s] * k
-            r -= s * k
-        if r <= waste:
+        f = fullest(room, h, sizes)
+        if room - sum(f) <= waste:
             yield tuple(f)
 
 
 def complete(h: np.ndarray, capacity: int, nodes: int = NODES) -> Plan:
-    """Bin completion from the best-fit incumbent."""
-    best = best_fit(h, capacity)
-    count = sum(n for _, n in best)
+    """Bin completion; incumbents are best fit, minimum slack, and best fit of what a node leaves."""
     least = lower_bound(h, capacity)
     total = int((h * np.arange(len(h))).sum())
-    if count <= least:
-        return best
+    best, count = [], -1
+    for way in (best_fit, minimum_slack):
+        plan = way(h, capacity)
+        used = sum(n for _, n in plan)
+        if count < 0 or used < count:
+            best, count = plan, used
+        if count <= least:
+            return best
     left = [int(x) for x in h]
     sizes = [s for s in range(capacity, 0, -1) if left[s]]
-    stack: list[list] = []  # [fillings, chosen filling or None, times, waste of it, largest]
+    stack: list[list] = []  # [fillings, chosen filling or None, times, waste of it, largest, times to try next]
     wasted = used = 0
 
     def push() -> bool:
@@ -173,7 +222,7 @@ def complete(h: np.ndarray, capacity: int, nodes: int = NODES) -> Plan:
             return False
         left[top] -= 1
         allowed = (count - 1) * capacity - total - wasted
-        stack.append([fillings(capacity - top, max(0, allowed), left, [s for s in sizes if s <= capacity - top and left[s]], NODE_EFFORT), None, 0, 0, top])
+        stack.append([fillings(capacity - top, max(0, allowed), left, [s for s in sizes if s <= capacity - top and left[s]], NODE_EFFORT), None, 0, 0, top, 0])
         left[top] += 1
         return True
 
@@ -181,31 +230,40 @@ def complete(h: np.ndarray, capacity: int, nodes: int = NODES) -> Plan:
     while stack and nodes > 0:
         level = stack[-1]
         top = level[4]
-        if level[1] is not None:  # undo before the next choice
-            for s in (top, *level[1]):
+        nodes -= 1
+        f, times = level[1], level[5]
+        if f is not None:  # undo before the next choice
+            for s in (top, *f):
                 left[s] += level[2]
             used -= level[2]
             wasted -= level[3]
             level[1] = None
-        left[top] -= 1
-        f = next(level[0], None)
-        left[top] += 1
-        nodes -= 1
-        if f is None:
-            stack.pop()
-            continue
+        if f is None or not times:
+            left[top] -= 1
+            f = next(level[0], None)
+            left[top] += 1
+            if f is None:
+                stack.pop()
+                continue
+            times = min(left[s] // k for s, k in Counter((top, *f)).items())
+            if times == 0:
+                continue
         need = Counter((top, *f))
-        times = min(left[s] // k for s, k in need.items())
-        if times == 0:
-            continue
+        level[5] = times // 2  # the same filling may come again below, so halves reach every number
         level[1], level[2], level[3] = f, times, (capacity - top - sum(f)) * times
         for s, k in need.items():
             left[s] -= k * times
         used += times
         wasted += level[3]
         if total + wasted > (count - 1) * capacity:
-            # so often it wastes too much; once may not
             continue
+        if nodes % COMPLETE_EVERY == 0:
+            rest = best_fit(np.array(left), capacity)
+            if used + sum(n for _, n in rest) < count:
+                best = [((x[4], *x[1]), x[2]) for x in stack if x[1] is not None] + rest
+                count = used + sum(n for _, n in rest)
+                if count <= least:
+                    break
         open_ = push()
         if not open_ and used < count:
             # every piece is placed
