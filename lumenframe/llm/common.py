@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Sides up to this many estimated bytes are broadcast; larger ones go through a shuffle.
 BROADCAST_BYTES = 48 << 20
-BATCH_ROWS = 1500
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:

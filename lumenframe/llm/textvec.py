@@ -20,7 +20,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: Rows are handled in runs of about this many text bytes; a longer text is a run of its own.
 SLICE_BYTES = 1 << 20
-TIDY_BYTES = 8 << 20
+TIDY_BYTES = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
