@@ -29,7 +29,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         size = a.dtype.itemsize
         head += [_CODES[a.dtype.str], len(a)]
-        if len(a) < PLANES:
+        if len(a) < PLANES or a.dtype.str == HASHES:
             body.append(np.ascontiguousarray(a).tobytes())
             continue
         for x in np.ascontiguousarray(a).view("u1").reshape(-1, size).T:
@@ -40,6 +40,7 @@ def pack(*arrays: np.ndarray) -> bytes:
 
 
 PLANES = 512  # least items of an array that goes by planes
+HASHES = "<u8"  # arrays of this type are hashes, which do not compress
 _TYPES = ["|u1", "<u2", "<u4", "<u8", "<i8", *(f"|S{k}" for k in range(1, 9))]
 _CODES = {t: i for i, t in enumerate(_TYPES)}
 _squeeze, _expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
@@ -51,7 +52,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     at, out = 8 + 16 * k, []
     for code, n in head.reshape(-1, 2).tolist():
         t = np.dtype(_TYPES[code])
-        if n < PLANES:
+        if n < PLANES or _TYPES[code] == HASHES:
             out.append(np.frombuffer(blob, t, n, at))
             at += t.itemsize * n
             continue

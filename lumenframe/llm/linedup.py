@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import blobs, common
-from lumenframe.llm.textvec import Words, mix, runs
+from lumenframe.llm.textvec import Words, flat, mix, runs
 
 _U = np.uint64
 MIN_WORDS, EDIT_WORDS, EDIT_EVERY = 1, 10, 20
@@ -219,7 +219,7 @@ _RECORD = "kind int, key bigint, pos int, doc bigint, line int, full bigint, bin
 
 
 def _record(kind, key, pos, doc, line, full, bins=None) -> pa.RecordBatch:
-    bins = pa.nulls(len(kind), pa.binary()) if bins is None else pa.array([x.tobytes() for x in bins], pa.binary())
+    bins = pa.nulls(len(kind), pa.binary()) if bins is None else pa.Array.from_buffers(pa.binary(), len(bins), [None, pa.py_buffer((np.arange(len(bins) + 1) * BINS).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(bins))])
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int32)), pa.array(np.asarray(key, _U).view(np.int64)), pa.array(np.asarray(pos, np.int32)), pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(line, np.int32)), pa.array(np.asarray(full, _U).view(np.int64)), bins], names=["kind", "key", "pos", "doc", "line", "full", "bins"])
 
 
@@ -396,7 +396,7 @@ def _pairs(rec: DataFrame, done: DataFrame, first: bool, edit_words: int, every:
 
     def pairs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key, n, doc, line, full = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-        bins = np.frombuffer(b"".join(b.column(5).to_pylist()), "u1").reshape(-1, BINS)
+        bins = flat(b.column(5))[0].reshape(-1, BINS)
         k = np.arange(len(key))
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
