@@ -41,7 +41,7 @@ def _kept(df: DataFrame, keep: list[str]) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*[F.col(f"`{c}`") for c in keep]).schema)
 
 
-def element_rows(o: ob.Object) -> Iterator[tuple]:
+def element_rows(o: ob.Object, only: frozenset[int] | None = None) -> Iterator[tuple]:
     n = 0
 
     def walk(data: dict, path: str, meta: bool) -> Iterator[tuple]:
@@ -49,6 +49,9 @@ def element_rows(o: ob.Object) -> Iterator[tuple]:
         for t in sorted(data):
             e = data[t]
             v = e.value
+            if only is not None and t not in only and e.vr != "SQ":
+                n += 1
+                continue
             text = nums = ints = raw = None
             if isinstance(v, ob.Fragments):
                 raw = ob.fragment_bytes(v)
@@ -62,7 +65,8 @@ def element_rows(o: ob.Object) -> Iterator[tuple]:
                 elif e.vr in ("DS", "IS"):
                     got = [px.first_number(x) for x in v]
                     nums = got if all(x is not None for x in got) else None
-            yield path, n, t, dd.hex_key(t), dd.keyword(t), e.vr, e.vm, text, nums, ints, raw, e.offset, e.length, meta, None, None
+            if only is None or t in only:
+                yield path, n, t, dd.hex_key(t), dd.keyword(t), e.vr, e.vm, text, nums, ints, raw, e.offset, e.length, meta, None, None
             n += 1
             if e.vr == "SQ":
                 for k, item in enumerate(v or ()):
@@ -72,8 +76,13 @@ def element_rows(o: ob.Object) -> Iterator[tuple]:
     yield from walk(o.data, "", False)
 
 
-def elements(df: DataFrame, content: str = "content", keep: list[str] | None = None, mode: str = "PERMISSIVE", preamble: str = "auto") -> DataFrame:
-    """One row per element, nested ones with the path of their item; one row with the error for a broken object."""
+def elements(df: DataFrame, content: str = "content", keep: list[str] | None = None, mode: str = "PERMISSIVE", preamble: str = "auto", keywords: list[str] | None = None) -> DataFrame:
+    """One row per element, nested ones with the path of their item; one row with the error for a broken object.
+
+    With ``keywords`` only those elements are decoded and listed, at any depth and under their
+    usual numbers; a filter on the result would come after all values are built.
+    """
+    only = None if keywords is None else frozenset(docs.parse_key(k) for k in keywords)
     keep = keep if keep is not None else [c for c in df.columns if c != content]
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +94,7 @@ def elements(df: DataFrame, content: str = "content", keep: list[str] | None = N
                 x = col[i].as_py()
                 if x is not None:
                     try:
-                        got = list(element_rows(ob.parse(x, preamble)))
+                        got = list(element_rows(ob.parse(x, preamble, only), only))
                     except Exception as err:
                         got = [(None,) * 14 + _error(err, mode)]
                     rows += got

@@ -328,7 +328,7 @@ def rle_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderpriority AS priority, count(*) AS objects, round(sum(o_totalprice), 0) AS price, max(o_custkey) AS last_patient, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)::BIGINT AS open_items FROM orders GROUP BY ALL")
 def elements_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed elements, nested ones too, in ordinary grouping."""
-    e = tables.elements(tb.order_objects(spark, sf_dir)).where(F.col("keyword").isin("StudyDescription", "SelectorFDValue", "PatientID", "CodeValue"))
+    e = tables.elements(tb.order_objects(spark, sf_dir), keywords=["StudyDescription", "SelectorFDValue", "PatientID", "CodeValue"])
     one = lambda k: F.max(F.when(F.col("keyword") == k, F.col("str_values")[0]))
     o = e.groupBy("o_orderkey").agg(one("StudyDescription").alias("priority"), F.max(F.when(F.col("keyword") == "SelectorFDValue", F.col("num_values")[0])).alias("price"), one("PatientID").cast("bigint").alias("patient"), F.max(F.when(F.col("item_path") == "00400275[0]", F.col("str_values")[0])).alias("status"))
     return o.groupBy("priority").agg(F.count(F.lit(1)).alias("objects"), F.round(F.sum("price"), 0).alias("price"), F.max("patient").alias("last_patient"), F.sum(F.when(F.col("status") == "O", 1).otherwise(0)).alias("open_items"))

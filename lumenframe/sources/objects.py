@@ -138,8 +138,8 @@ def encode_value(e: Element, order: str) -> bytes:
 class Reader:
     """A cursor over one dataset."""
 
-    def __init__(self, data: bytes, explicit: bool, order: str, base: int = 0):
-        self.data, self.explicit, self.order, self.base = data, explicit, order, base
+    def __init__(self, data: bytes, explicit: bool, order: str, base: int = 0, only: frozenset[int] | None = None):
+        self.data, self.explicit, self.order, self.base, self.only = data, explicit, order, base, only
 
     def tag(self, at: int) -> int:
         if at + 4 > len(self.data):
@@ -185,11 +185,13 @@ class Reader:
             frag, at = self.fragments(v)
             return Element(t, "OB", frag, self.base + v, at - 8 - v), at
         if vr == "SQ" or n == UNDEFINED:
-            inner = self if vr == "SQ" else Reader(self.data, False, "<", self.base)  # undefined UN is implicit
+            inner = self if vr == "SQ" else Reader(self.data, False, "<", self.base, self.only)  # undefined UN is implicit
             items, at = inner.items(v, n)
             return Element(t, "SQ", items, self.base + v, at - v - (8 if n == UNDEFINED else 0)), at
         if v + n > len(self.data):
             raise fail("Truncated", f"value of {dd.expression(t)} reaches beyond the end")
+        if self.only is not None and t not in self.only:
+            return Element(t, vr, None, self.base + v, n), v + n
         return Element(t, vr, decode_value(vr, self.data[v : v + n], self.order), self.base + v, n), v + n
 
     def items(self, at: int, n: int) -> tuple[list[dict[int, Element]] | None, int]:
@@ -231,8 +233,12 @@ def has_preamble(content: bytes) -> bool:
     return len(content) >= 132 and content[128:132] == b"DICM"
 
 
-def parse(content: bytes, preamble: str = "auto") -> Object:
-    """Reads a file. ``preamble="always"`` refuses one without the 128-byte preamble."""
+def parse(content: bytes, preamble: str = "auto", only: frozenset[int] | None = None) -> Object:
+    """Reads a file. ``preamble="always"`` refuses one without the 128-byte preamble.
+
+    With ``only``, elements of other tags keep place and length but no value, so pixels that
+    nobody asked for are neither copied nor decoded; sequences are read for what is in them.
+    """
     if has_preamble(content):
         at = 132
     elif preamble == "always":
@@ -253,7 +259,7 @@ def parse(content: bytes, preamble: str = "auto") -> Object:
             body, base, at = zlib.decompressobj(-15).decompress(content[at:]), 0, 0
         except zlib.error as err:
             raise fail("Deflate", str(err)) from None
-    o.data, _ = Reader(body, uid != ts.IMPLICIT_LE, ts.byte_order(uid), base).dataset(at, None)
+    o.data, _ = Reader(body, uid != ts.IMPLICIT_LE, ts.byte_order(uid), base, only).dataset(at, None)
     return o
 
 

@@ -122,3 +122,13 @@ def test_command_line(folder, tmp_path, capsysbinary, monkeypatch):
         assert run(*bad) == 1
     monkeypatch.setattr(sys, "stdin", io.StringIO(f"{folder}/dx.dcm\n\n{folder}/missing.dcm\n"))
     assert run("-I") == 1
+
+
+def test_elements_of_some_keywords(spark):
+    from lumenframe.plans import tables as tb
+    from lumenframe.operators import tables
+
+    o = tb.order_objects(spark, "/root/testdata/sf0.001").limit(20)
+    names = ["PatientID", "CodeValue", "SelectorFDValue"]
+    every = tables.elements(o).where(tables.F.col("keyword").isin(names)).collect()
+    assert sorted(map(str, tables.elements(o, keywords=names).collect())) == sorted(map(str, every)) and every
