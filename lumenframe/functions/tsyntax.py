@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenframe.functions.errors import fail
 
-ROOT = "1.2.840.10008"
-IMPLICIT_LE = ROOT + ".1.2"
-EXPLICIT_LE, EXPLICIT_BE = (IMPLICIT_LE + x for x in (".1", ".2"))
-DEFLATED, ENCAPSULATED_LE = (EXPLICIT_LE + x for x in (".99", ".98"))
-_J = IMPLICIT_LE + ".4."
-RLE, JPEG_BASELINE = IMPLICIT_LE + ".5", _J + "50"
+IMPLICIT_LE = "1.2.840.10008.1.2"
+EXPLICIT_LE = "1.2.840.10008.1.2.1"
+EXPLICIT_BE = "1.2.840.10008.1.2.2"
+DEFLATED = "1.2.840.10008.1.2.1.99"
+ENCAPSULATED_LE = "1.2.840.10008.1.2.1.98"
+RLE = "1.2.840.10008.1.2.5"
+_J = "1.2.840.10008.1.2.4."
+JPEG_BASELINE = "1.2.840.10008.1.2.4.50"
 #: Classes of images without an acquisition of their own, and of projection X-ray.
-SECONDARY_CAPTURE, DIGITAL_XRAY = (f"{ROOT}.5.1.4.1.1.{x}" for x in ("7", "1.1"))
+SECONDARY_CAPTURE = "1.2.840.10008.5.1.4.1.1.7"
+DIGITAL_XRAY = "1.2.840.10008.5.1.4.1.1.1.1"
 JPEG2000, JPEG_LS, MPEG = frozenset([_J + "90", _J + "91"]), frozenset([_J + "80", _J + "81"]), frozenset(_J + str(k) for k in range(100, 109))
 
 _NAMES = {
