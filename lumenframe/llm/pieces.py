@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm import common
 from lumenframe.llm.textvec import runs
 
-MEMO_BYTES = 96 << 20  # about this much memory holds segments met before, and a third of it pairs of pieces
+MEMO_BYTES = 224 << 20  # about this much memory holds segments met before, and a third of it pairs of pieces
 _ENTRY = 200  # bytes of an entry besides its characters and ids
 _SEGMENT = re.compile("▁+[^▁]*|[^▁]+")
 
