@@ -307,8 +307,12 @@ def index(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
 
 
 def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores every text as a transport stream, reads it back and returns digests and features."""
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    """Stores every text as a transport stream, reads it back and returns digests, features, stamps and random-access points.
+
+    A null text is empty; rows that repeat a text get equal values; a text of any length is one
+    stream; an empty table gives no rows.  pts, dts: of each elementary packet, null where it has none.
+    """
+    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, pts array<bigint>, dts array<bigint>, random_access_offsets array<bigint>"
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -320,7 +324,7 @@ def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
                     media = mux(raw + bytes(-len(raw) % 64 or (0 if raw else 64)))
                     s = parse(media)
                     back = b"".join(q.payload for q in s.packets)
-                    out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(s)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i)] + [pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in zip(*out, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+                    out.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(s), [q.pts for q in s.packets], [q.dts for q in s.packets], [q.offset for q in s.packets if q.random_access]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i)] + [pa.array(c, pa.list_(pa.int64()) if isinstance(c[0], list) else pa.string() if isinstance(c[0], str) else pa.int64()) for c in zip(*out, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
     return common.documents(spark, sf_dir).select("doc_id", "text").mapInArrow(work, schema)

@@ -66,6 +66,7 @@ def test_op1_transport_streams(spark, sf, rows):
         raw, n = raw + bytes(-len(raw) % 64 or (0 if raw else 64)), len(raw)
         want.append((i, n, len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-64:])))
     assert sorted((x["doc_id"], x["n_bytes"], x["payload_bytes"], x["payload_sha256"], x["tail_crc32"]) for x in out) == sorted(want)
+    assert all(x["pts"] == sorted(x["pts"]) and len(x["pts"]) == len(x["dts"]) and x["random_access_offsets"] for x in out)
     same = {}
     text = dict((i, t) for i, t, _ in rows)
     for x in out:
