@@ -20,6 +20,11 @@ H = (1 - t) / (1 + t) * (|r| + |s|) elements, t = num / den.
 5. Verification compares whole sets.  Pairs go to blocks around a shared neighbour, a
    large block is cut in two dimensions, and a set is sent to each block once.
 
+Large families of near texts would make as many pairs as the square of their size.  A set
+that links with a listed centre belongs to the centre's family (the first such one); two
+sets of one family never meet in the index, their links are counted from how each differs
+from the centre (``_Kin``).  Which centres are listed changes the cost, not the result.
+
 Equal sets are one class throughout.  Exactness rests on 64-bit hashes not colliding, and
 in a pair to verify on hashes of 22 bits more than number all shingles.
 
@@ -53,6 +58,9 @@ RUN = 4096  # sets that share a key and are compared in one task
 SLICE = 4 << 20  # text bytes of a slice
 BUCKET_SHINGLES = 2_000_000
 SHARES = 10_000
+KIN_LEAST = 64  # classes with a least hash in common that make a family
+CENTRES, CENTRE_SHINGLES = 4096, 1_000_000  # of the largest families, at most; other pairs go through the index
+KIN_BLOCK = 32_768  # classes of a family for each task that counts its links
 BAND, FILL = 8, 3.0  # sizes of a band differ by this factor; mean shingles in a segment at its top
 
 
@@ -79,19 +87,181 @@ def shingle_sets(arr: pa.Array, n: int) -> tuple[list[np.ndarray], np.ndarray]:
     return sets, keys
 
 
+#: Odd factors permute hashes; the least product of a set is its sketch in one slot.
+_SLOTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], _U)
+_LEAST = ["m0", "m1", "m2"]
+
+
+def least_hashes(sets: list[np.ndarray]) -> np.ndarray:
+    """High halves of the least product in each slot, a row a set; empty sets get zeros."""
+    size = np.array([len(s) for s in sets], np.int64)
+    out = np.zeros((len(sets), len(_SLOTS)), np.int32)
+    if size.sum():
+        tok = np.concatenate(sets)
+        full = size > 0
+        head = (np.cumsum(size) - size)[full]
+        for k, f in enumerate(_SLOTS):
+            out[full, k] = (np.minimum.reduceat(tok * f, head) >> _U(32)).astype(np.uint32).view(np.int32)
+    return out
+
+
+class _Kin:
+    """Families around centres.
+
+    With d the size of a set's difference D from the centre and
+    w = (den + num) * d - (den - num) * size, two sets of a family link if and only if
+    w + w' <= 2 * (den + num) * |D & D'|: their difference has d + d' - 2 * |D & D'|
+    elements.  Pairs with w + w' <= 0 link by their weights alone; in all others one set
+    has w > 0, so only for those sets the common parts are counted, over lists of the sets
+    that each element is in.
+    """
+
+    def __init__(self, centres: list[np.ndarray], num: int, den: int):
+        self.centres, self.num, self.den = centres, num, den
+        least = least_hashes(centres)
+        self.order = np.argsort(least, axis=0, kind="stable")
+        self.least = np.take_along_axis(least, self.order, 0)
+
+    def _near(self, least: np.ndarray) -> dict[int, set[int]]:
+        """By row, the centres with a least hash in common."""
+        near: dict[int, set[int]] = {}
+        for k in range(least.shape[1] if self.centres else 0):
+            a, b = (np.searchsorted(self.least[:, k], least[:, k], side) for side in ("left", "right"))
+            for i in np.flatnonzero(b > a).tolist():
+                near.setdefault(i, set()).update(self.order[a[i] : b[i], k].tolist())
+        return near
+
+    def maybe(self, least: np.ndarray) -> np.ndarray:
+        """Rows that may belong to a family."""
+        return np.array(sorted(self._near(least)), np.int64)
+
+    def families(self, sets: list[np.ndarray]) -> np.ndarray:
+        """Number of each set's family, from 1; 0: none."""
+        out = np.zeros(len(sets), np.int64)
+        if self.centres:
+            for i, some in self._near(least_hashes(sets)).items():
+                for c in sorted(some) if len(sets[i]) else ():
+                    r, s = sets[i], self.centres[c]
+                    if (self.den + self.num) * len(np.setxor1d(r, s, True)) <= (self.den - self.num) * (len(r) + len(s)):
+                        out[i] = c + 1
+                        break
+        return out
+
+    def counts(self, key: np.ndarray, copies: np.ndarray, size: np.ndarray, parts: list[np.ndarray], block: int, cut: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and the copies of other sets that each set links with, as far as this block counts them."""
+        both, d = self.den + self.num, np.array([len(x) for x in parts], np.int64)
+        w = both * d - (self.den - self.num) * size
+        o = np.argsort(w, kind="stable")
+        key, copies, d, w = key[o], copies[o], d[o], w[o]
+        other = np.zeros(len(key), np.int64)
+        if block == 0:
+            upto = np.append(0, np.cumsum(copies))
+            other += upto[np.searchsorted(w, -w, "right")] - np.where(w <= 0, copies, 0)
+        mine = np.flatnonzero((w > 0) & (key % cut == block))
+        if len(mine):
+            _, item = np.unique(np.concatenate([parts[i] for i in o]), return_inverse=True)
+            ends = np.cumsum(d)
+            by = np.argsort(item, kind="stable")
+            owner = np.repeat(np.arange(len(key)), d)[by]
+            n = np.bincount(item)
+            begin = np.cumsum(n) - n
+            for r in mine.tolist():  # with the sets before it, of no more weight
+                i = int(np.searchsorted(w, -w[r], "right"))
+                e = item[ends[r] - d[r] : ends[r]]
+                common_ = np.bincount(owner[blobs.ranges(begin[e], n[e])], minlength=len(key))[i:r]
+                ok = i + np.flatnonzero(w[i:r] + w[r] <= 2 * both * common_)
+                other[r] += copies[ok].sum()
+                other[ok] += copies[r]
+        return key, other
+
+
+def _set_rows(df: DataFrame, n: int) -> list[tuple[int, np.ndarray]]:
+    """(set key, shingles) of (text) rows; for a few rows."""
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for i, j in runs(b.column(0)):
+                sets, keys = shingle_sets(b.column(0).slice(i, j - i), n)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "s"])
+
+    return [(r.key, np.frombuffer(r.s, _U)) for r in df.mapInArrow(work, "key bigint, s binary").collect()]
+
+
+def _centres(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> tuple[_Kin, list[int]]:
+    """Centres of the largest families and their keys: of the classes that share a least hash with many the one with the most copies."""
+    slots = classes.select("key", "copies", F.posexplode(F.array(*_LEAST)).alias("slot", "m"))
+    top = common.saved(slots.groupBy("slot", "m").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= KIN_LEAST).orderBy(F.desc("k"), "slot", "m").limit(CENTRES))
+    found = slots.join(F.broadcast(top), ["slot", "m"]).groupBy("slot", "m").agg(F.max("k").alias("k"), F.max(F.struct("copies", "key")).alias("c")).groupBy(F.col("c.key").alias("key")).agg(F.max("k").alias("k"))
+    rows = found.join(classes, "key").select("key", "k", "n", "rep").orderBy(F.desc("k"), "key").collect() if top.limit(1).count() else []
+    most = np.searchsorted(np.cumsum([r.n for r in rows]), CENTRE_SHINGLES, "right")
+    rows = rows[:most]
+    if not rows:
+        return _Kin([], num, den), []
+    reps = docs.sparkSession.createDataFrame([(r.rep,) for r in rows], "rep bigint").distinct()
+    sets = dict(_set_rows(docs.join(F.broadcast(reps), docs["id"] == reps["rep"]).select("text"), n))
+    return _Kin([sets[r.key] for r in rows], num, den), [r.key for r in rows]
+
+
+def _kin_side(docs: DataFrame, classes: DataFrame, kin: _Kin, keys: list[int], n: int, p: int, width: int) -> DataFrame:
+    """(key, centre, other): the classes of families, and the copies of other classes of their family that they link with."""
+    spark, block_size = docs.sparkSession, KIN_BLOCK
+    shape = "key bigint, centre bigint, other bigint"
+    if not keys:
+        return spark.createDataFrame([], shape)
+
+    def pick(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            at = kin.maybe(np.stack([b.column(3 + k).to_numpy() for k in range(len(_LEAST))], 1))
+            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(at)) for k in range(3)], names=["key", "rep", "copies"])
+
+    wanted = common.saved(classes.select("key", "rep", "copies", *_LEAST).mapInArrow(pick, "key bigint, rep bigint, copies bigint"))
+    # rows that share an id: a text of another key is another class's
+    texts = docs.join(common.small(wanted, 32), docs["id"] == wanted["rep"]).select("key", "copies", "text")
+
+    def differ(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            t = b.column(2)
+            for i, j in runs(t):
+                sets, own = shingle_sets(t.slice(i, j - i), n)
+                family = kin.families(sets)
+                family[own.view(np.int64) != b.column(0).slice(i, j - i).to_numpy()] = 0
+                at = np.flatnonzero(family)
+                parts = [blobs.pack(_bytes(np.diff(np.setxor1d(sets[k], kin.centres[family[k] - 1], True) >> _U(64 - width), prepend=_U(0)))) for k in at]
+                rows = pa.array(i + at)
+                yield pa.RecordBatch.from_arrays([pa.array(family[at].astype(np.int32)), b.column(0).take(rows), b.column(1).take(rows), pa.array([len(sets[k]) for k in at], pa.int64()), pa.array(parts, pa.binary())], names=["family", "key", "copies", "n", "d"])
+
+    rows = common.saved(texts.mapInArrow(differ, "family int, key bigint, copies bigint, n bigint, d binary"))
+    cuts = F.broadcast(rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / block_size).cast("int").alias("cut")))
+    placed = rows.join(cuts, "family").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cut") - 1))).select("family", "block", "cut", "key", "copies", "n", "d")
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[tuple, dict] = {}
+        for b in it:
+            family, block, cut, key, copies, size, d = (c.to_pylist() for c in b.columns)
+            for i in range(len(key)):  # rows that share an id and a text come more than once
+                by.setdefault((family[i], block[i], cut[i]), {})[key[i]] = copies[i], size[i], d[i]
+        for (family, block, cut), x in by.items():
+            copies, size = (np.array([v[k] for v in x.values()], np.int64) for k in (0, 1))
+            key, other = kin.counts(np.fromiter(x, np.int64, len(x)), copies, size, [np.cumsum(_number(blobs.unpack(v[2])[0]), dtype=_U) for v in x.values()], block, cut)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), keys[family - 1], np.int64)), pa.array(other)], names=["key", "centre", "other"])
+
+    return common.saved(placed.repartition(p, "family", "block").mapInArrow(count, shape).groupBy("key", "centre").agg(F.sum("other").alias("other")))
+
+
 def _members(df: DataFrame, n: int) -> DataFrame:
-    """kind 0: (id, set key, set size) of each row; kind 1: (shingle, rows) of frequent shingles of a batch."""
+    """kind 0: (id, set key, set size, least hashes) of each row; kind 1: (shingle, rows) of frequent shingles of a batch."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             ids, t = b.column(0), b.column(1)
             for i, j in runs(t, SLICE):
-                sets, keys = [], []
+                sets, keys, low = [], [], []
                 for x, y in runs(t.slice(i, j - i)):
                     part = shingle_sets(t.slice(i + x, y - x), n)
                     sets += part[0]
                     keys.append(part[1])
-                keys = np.concatenate(keys)
+                    low.append(least_hashes(part[0]))
+                keys, low = np.concatenate(keys), np.concatenate(low)
                 size = np.array([len(s) for s in sets], np.int64)
                 every = np.sort(np.concatenate(sets)) if size.sum() else np.zeros(0, _U)
                 begin = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
@@ -100,11 +270,11 @@ def _members(df: DataFrame, n: int) -> DataFrame:
                 top = top[c[top] > 1]
                 k, m = j - i, len(top)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([0, 1], [k, m]).astype(np.int32)), pa.concat_arrays([ids.slice(i, k).cast(pa.int64()), pa.nulls(m, pa.int64())]), pa.array(np.concatenate([keys, every[begin[top]]]).view(np.int64)), pa.array(np.concatenate([size, c[top]]))],
-                    names=["kind", "id", "key", "n"],
+                    [pa.array(np.repeat([0, 1], [k, m]).astype(np.int32)), pa.concat_arrays([ids.slice(i, k).cast(pa.int64()), pa.nulls(m, pa.int64())]), pa.array(np.concatenate([keys, every[begin[top]]]).view(np.int64)), pa.array(np.concatenate([size, c[top]])), *(pa.concat_arrays([pa.array(x), pa.nulls(m, pa.int32())]) for x in low.T.copy())],
+                    names=["kind", "id", "key", "n", *_LEAST],
                 )
 
-    return common.saved(df.select("id", "text").mapInArrow(work, "kind int, id bigint, key bigint, n bigint"))
+    return common.saved(df.select("id", "text").mapInArrow(work, "kind int, id bigint, key bigint, n bigint" + "".join(f", {m} int" for m in _LEAST)))
 
 
 def _coded(y: np.ndarray, owner: np.ndarray, bits: int, base: int) -> np.ndarray:
@@ -133,13 +303,13 @@ def _starts(p: int, width: int) -> np.ndarray:
     return np.array([-(-(k << width) // p) for k in range(p)], _U)
 
 
-def _count_side(df: DataFrame, n: int, p: int, width: int, hot: np.ndarray) -> DataFrame:
+def _count_side(df: DataFrame, n: int, p: int, width: int, hot: np.ndarray, kin: _Kin) -> DataFrame:
     """The distinct sets of each slice of texts, their shingles by ranges of the hash.
 
     A slice sends a range its shingles in ascending order, each with its set's number in
     the slice, so a shingle costs the same few bytes whatever the number of ranges.  Sets'
     keys go along, by their hash, so that of equal sets in several slices one is chosen.
-    What the slice needs again (keys, sizes, hot shingles) passes through one range to it.
+    What the slice needs again (keys, sizes, hot shingles, families) passes through one range to it.
     A slice is known by a hash of its sets and its place.
     """
     starts = _starts(p, width)
@@ -157,6 +327,7 @@ def _count_side(df: DataFrame, n: int, p: int, width: int, hot: np.ndarray) -> D
                     continue
                 keys = np.fromiter(by_key, _U, len(by_key))
                 size = np.array([len(s) for s in by_key.values()], np.int64)
+                family = kin.families(list(by_key.values()))
                 tok = np.concatenate(list(by_key.values()))
                 by_key = {}
                 owner = np.repeat(np.arange(len(keys), dtype="<u4"), size)
@@ -181,7 +352,7 @@ def _count_side(df: DataFrame, n: int, p: int, width: int, hot: np.ndarray) -> D
                 for k in range(p):
                     o, h = slice(bounds[k], bounds[k + 1]), korder[kb[k] : kb[k + 1]]
                     if bounds[k + 1] > bounds[k] or len(h) or k == home:
-                        mine = (keys, blobs.narrow(size), blobs.narrow(hot_owner), blobs.narrow(hot_at)) if k == home else (keys[:0], keys[:0], keys[:0], keys[:0])
+                        mine = (keys, blobs.narrow(size), blobs.narrow(hot_owner), blobs.narrow(hot_at), blobs.narrow(family)) if k == home else (keys[:0],) * 5
                         out.append(blobs.pack(np.array([name, bits, starts[k]], _U), _coded(x[o], own[o], bits, int(starts[k])), keys[h], blobs.narrow(h), *mine))
                         bucket.append(k)
                 yield blobs.rows(bucket, out)
@@ -300,7 +471,7 @@ def _signature_side(tiers: DataFrame, q: int, width: int, reach: int, hot: np.nd
         mine = [x for x in parts if len(x[4])]
         if len(mine) != 1:
             raise RuntimeError("a slice's sets did not arrive")
-        keys, size, hot_owner, hot_at = mine[0][4], mine[0][5].astype(np.int64), mine[0][6].astype(np.int64), mine[0][7].astype(np.int64)
+        keys, size, hot_owner, hot_at, family = mine[0][4], *(x.astype(np.int64) for x in mine[0][5:9])
         if sum(int(x[0][3]) for x in parts) + len(hot_owner) != size.sum():
             raise RuntimeError("a slice's shingles did not arrive")
         got = [_decoded(x[1], int(x[0][1]), int(x[0][2])) for x in parts]
@@ -340,7 +511,7 @@ def _signature_side(tiers: DataFrame, q: int, width: int, reach: int, hot: np.nd
             if b[k + 1] > b[k]:
                 which, here = np.unique(own[o], return_inverse=True)
                 bits = max(1, int(len(which) - 1).bit_length())
-                yield blobs.rows([k], [blobs.pack(np.array([bits, starts[k], k], _U), _coded(sig[o], here, bits, int(starts[k])), blobs.narrow(at[o]), keys[which], blobs.narrow(size[which]), blobs.narrow(lone[which]), _bytes(sketch[which].ravel()), blobs.narrow(sat[which].ravel()))])
+                yield blobs.rows([k], [blobs.pack(np.array([bits, starts[k], k], _U), _coded(sig[o], here, bits, int(starts[k])), blobs.narrow(at[o]), keys[which], blobs.narrow(size[which]), blobs.narrow(lone[which]), _bytes(sketch[which].ravel()), blobs.narrow(sat[which].ravel()), blobs.narrow(family[which]))])
 
     def work(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list] = {}
@@ -356,9 +527,10 @@ def _signature_side(tiers: DataFrame, q: int, width: int, reach: int, hot: np.nd
 class _Heads:
     """The sets that an index range knows, and the rules by which two of them are a pair to verify."""
 
-    def __init__(self, key, size, lone, sketch, sat, here: int, q: int, reach: int, num: int, den: int):
+    def __init__(self, key, size, lone, sketch, sat, family, here: int, q: int, reach: int, num: int, den: int):
         self.key, self.size, self.lone = key, size.astype(np.int64), lone.astype(np.int64)
         self.sketch, self.sat = sketch.reshape(-1, SKETCH), sat.reshape(-1, SKETCH).astype(np.int64)
+        self.family = family.astype(np.int64)
         self.here, self.q, self.reach, self.num, self.den = here, q, reach, num, den
 
     def reached(self, a, b, at_a, at_b):
@@ -371,8 +543,8 @@ class _Heads:
         return (most >= 0) & (at_a // 2 <= np.where(second, most, one)) & (at_b // 2 <= np.where(second, most, two))
 
     def met(self, a, b, at_a, at_b) -> np.ndarray:
-        """Pairs that may link, as sorted distinct numbers."""
-        ok = np.flatnonzero((self.den * np.minimum(self.size[a], self.size[b]) >= self.num * np.maximum(self.size[a], self.size[b])) & (a != b))
+        """Pairs that may link, of sets that are not of one family, as sorted distinct numbers."""
+        ok = np.flatnonzero(((self.family[a] != self.family[b]) | (self.family[a] == 0)) & (self.den * np.minimum(self.size[a], self.size[b]) >= self.num * np.maximum(self.size[a], self.size[b])) & (a != b))
         ok = ok[self.reached(a[ok], b[ok], at_a[ok], at_b[ok])]
         a, b = a[ok].astype(_U), b[ok].astype(_U)
         return sorted_distinct((np.minimum(a, b) << _U(32)) | np.maximum(a, b))
@@ -411,8 +583,10 @@ def _pair_side(indexed: DataFrame, q: int, reach: int, num: int, den: int) -> Da
     Two sizes fix the pair's own bound, less the shingles that each set has alone; a key
     counts only if both sets reach it within that bound.  Similar sets meet in many
     ranges: each carries its SKETCH least keys, and if two share one that counts, only
-    the range of the least such key reports the pair.  A key that more than RUN sets share
-    is not compared here: blocks of two parts of the sets go to tasks of their own.
+    the range of the least such key reports the pair.  A key that more than RUN sets share,
+    with more pairs than RUN sets have, is not compared here: blocks of two parts of the
+    sets go to tasks of their own.  Sets of one family stand together, and each set is
+    compared with those after its family.
     """
 
     run = RUN
@@ -426,29 +600,34 @@ def _pair_side(indexed: DataFrame, q: int, reach: int, num: int, den: int) -> Da
             own.append((o + before).astype("<u4"))
             at.append(x[2].astype("<u4"))
             before += len(x[3])
-        heads = _Heads(*(np.concatenate([f(x[k]) for x in parts]) for k, f in ((3, np.asarray), (4, np.asarray), (5, np.asarray), (6, _number), (7, np.asarray))), here, q, reach, num, den)
+        heads = _Heads(*(np.concatenate([f(x[k]) for x in parts]) for k, f in ((3, np.asarray), (4, np.asarray), (5, np.asarray), (6, _number), (7, np.asarray), (8, np.asarray))), here, q, reach, num, den)
         parts.clear()
         sig, own, at = np.concatenate(sig), np.concatenate(own), np.concatenate(at)
-        order = np.lexsort((heads.size[own], sig))
+        order = np.lexsort((heads.family[own], sig))
         sig, own, at = sig[order], own[order].astype(np.int64), at[order].astype(np.int64)
         del order
         head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         n = np.diff(np.append(head, len(sig)))
-        for h, k in zip(head[n > run].tolist(), n[n > run].tolist(), strict=True):
-            yield from _blocks(heads, own[h : h + k], at[h : h + k], int(sig[h]), run // 2)
-        end = np.repeat(head + n, np.where(n > run, 0, n))
-        some = np.flatnonzero(np.repeat(n <= run, n))
-        many = some[end - some > 1]
+        kind = heads.family[own]
+        last = np.flatnonzero(np.append((sig[1:] != sig[:-1]) | (kind[1:] != kind[:-1]) | (kind[1:] == 0), True)) + 1
+        after = np.repeat(last, np.diff(last, prepend=0))  # where the next family, or set of none, begins
+        del kind, last
+        reach_ = np.repeat(head + n, n) - after
+        big = (n > run) & (np.add.reduceat(reach_, head) > run * (run - 1) // 2)
+        for h, k in zip(head[big].tolist(), n[big].tolist(), strict=True):
+            o = h + np.argsort(heads.size[own[h : h + k]], kind="stable")
+            yield from _blocks(heads, own[o], at[o], int(sig[h]), run // 2)
+        many = np.flatnonzero((reach_ > 0) & np.repeat(~big, n))
         if not len(many):
             return
-        reach_ = end[end - some > 1] - many - 1
+        reach_, after = reach_[many], after[many]
         cum = np.cumsum(reach_)
         most, i = 1_000_000, 0
         seen = np.zeros(0, _U)
         while i < len(many):  # about ``most`` pairs at a time
             j = max(i + 1, int(np.searchsorted(cum, (cum[i - 1] if i else 0) + most, "right")))
             r = reach_[i:j]
-            x, y = np.repeat(many[i:j], r), blobs.ranges(many[i:j] + 1, r)
+            x, y = np.repeat(many[i:j], r), blobs.ranges(after[i:j], r)
             seen = sorted_distinct(np.concatenate([seen, heads.met(own[x], own[y], at[x], at[y])]))
             if len(seen) > 4 * most:
                 yield heads.reported(seen)
@@ -469,7 +648,7 @@ def _blocks(heads: _Heads, own: np.ndarray, at: np.ndarray, sig: int, step: int)
             if i <= j and heads.den * int(size[min(i + step, len(own)) - 1]) >= heads.num * int(size[j]):
                 o = np.concatenate([np.arange(i, min(i + step, len(own))), np.arange(j, min(j + step, len(own))) if j > i else np.zeros(0, np.int64)])
                 w = own[o]
-                blob = blobs.pack(np.array([heads.here, min(i + step, len(own)) - i], _U), blobs.narrow(at[o]), heads.key[w], blobs.narrow(heads.size[w]), blobs.narrow(heads.lone[w]), heads.sketch[w].ravel(), blobs.narrow(heads.sat[w].ravel()))
+                blob = blobs.pack(np.array([heads.here, min(i + step, len(own)) - i], _U), blobs.narrow(at[o]), heads.key[w], blobs.narrow(heads.size[w]), blobs.narrow(heads.lone[w]), heads.sketch[w].ravel(), blobs.narrow(heads.sat[w].ravel()), blobs.narrow(heads.family[w]))
                 yield _found((), (), [mix_int(sig ^ mix_int(i * 0x10001 + j)) % heads.q], [blob])
 
 
@@ -550,13 +729,13 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, p:
     return common.saved(moved.repartition(p, "block").mapInArrow(verify, "a bigint, b bigint"))
 
 
-def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2, num: int = 60, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members (id, key, n), classes (key, n, rep, copies) and links (a, b) between different classes."""
+def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2, num: int = 60, den: int = 100) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Members (id, key, n), classes (key, n, rep, copies), links (a, b) between different classes that are not of one family, and families (key, centre, other)."""
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     both = _members(docs, n)
     members = both.where("kind = 0").select("id", "key", "n")
     docs = docs.where("id is not null")
-    classes = common.saved(members.where("n > 0 and id is not null").groupBy("key").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    classes = common.saved(both.where("kind = 0 and n > 0 and id is not null").groupBy("key").agg(F.first("n").alias("n"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), *(F.first(m).alias(m) for m in _LEAST)))
     total, shingles = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     least = max(HOT_LEAST, HOT_SHARE * total)
     # at most mean set size / HOT_SHARE shingles can reach the share, so this list is bounded
@@ -569,7 +748,10 @@ def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2,
     # wide enough for the shingles' number: rare false matches only make a shingle look shared, or two keys one
     need = math.ceil(math.log2(max(2, shingles)))
     width, reach = min(44, max(24, need + 7)), min(44, max(24, need + 10))
-    sent = _count_side(docs, n, p, width, hot)
+    kin, centres = _centres(docs, classes, n, num, den)
+    exact = min(64, need + 22)
+    families = _kin_side(docs, classes, kin, centres, n, p, exact)
+    sent = _count_side(docs, n, p, width, hot, kin)
     q = max(2, p // 4)  # fewer ranges report a pair of similar sets less often
     indexed = _signature_side(_tier_side(sent, p, width, hot, tier), q, width, reach, hot, tier, num, den)
     met = common.saved(_pair_side(indexed, q, reach, num, den).distinct())
@@ -579,15 +761,16 @@ def links(df: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 2,
     blocks = met.where("blob is not null")
     if blocks.limit(1).count():  # only an existence check
         pairs = common.saved(pairs.unionByName(_block_side(blocks, q, reach, num, den)).distinct())
-    return members, classes, _verified(docs, classes, pairs, n, p, min(64, need + 22), num, den)
+    return members, classes, _verified(docs, classes, pairs, n, p, exact, num, den), families
 
 
-def groups(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+def groups(members: DataFrame, classes: DataFrame, found: DataFrame, families: DataFrame) -> DataFrame:
     """Per document: id, key and root of its set, n_shingles, n_similar and the smallest id reachable by links."""
     sides = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = common.small(classes.select(F.col("key").alias("b"), "copies"), 32)
-    other = sides.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("other")).withColumnRenamed("a", "key")
-    roots = graph.components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "key")
+    other = sides.join(copies, "b").select(F.col("a").alias("key"), F.col("copies").alias("other")).unionByName(families.select("key", "other")).groupBy("key").agg(F.sum("other").alias("other"))
+    near = found.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(families.select(F.col("key").alias("u"), F.col("centre").alias("v")))
+    roots = graph.components(near).withColumnRenamed("node", "key")
     c = classes.join(other, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = c.groupBy("root").agg(F.min("rep").alias("component_id"))
     c = common.saved(c.join(least, "root").select("key", "root", "copies", (F.col("copies") - 1 + F.coalesce("other", F.lit(0))).alias("n_similar"), "component_id"))

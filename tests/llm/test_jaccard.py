@@ -127,3 +127,50 @@ def test_large_family_of_different_texts(spark, monkeypatch):
     rows = [(i, " ".join(base[: i % 100 + 10] + [f"x{i}"] + base[i % 100 + 10 :])) for i in range(600)]
     got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()
     assert {(r.n_similar, r.component_id) for r in got} == {(599, 0)}
+
+
+@pytest.mark.parametrize("seed,vocab,docs,centres,block,run", [(3, 12, 200, 3, 5, 4), (4, 40, 250, 4096, 5, 8)])
+def test_families_match_brute_force(spark, monkeypatch, seed, vocab, docs, centres, block, run):
+    """Families of a few sets, fewer centres than families, links counted in several blocks, ids that repeat with the same and other texts."""
+    for name, value in (("KIN_LEAST", 3), ("CENTRES", centres), ("KIN_BLOCK", block), ("RUN", run), ("HOT_LEAST", 4)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(seed, vocab, docs)
+    rows += [(i, t) for i, t in rows[:40] if t] + [(rows[0][0], rows[30][1]), (rows[1][0], rows[31][1])]
+    want = brute([(k, t) for k, (_, t) in enumerate(rows)], 2, 60, 100)
+    least = {}
+    for k, (_, _, c) in want.items():
+        least[c] = min(least.get(c, 10**9), rows[k][0])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [(r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in jaccard.near_duplicates(df, num=60).collect()]
+    assert sorted(got) == sorted((rows[k][0], a, b, least[c]) for k, (a, b, c) in want.items())
+
+
+def test_kin_counts_every_link():
+    """Sets at all distances from the centre, against all pairs."""
+    r = np.random.default_rng(2)
+    for num, den in ((60, 100), (1, 2), (9, 10)):
+        pool = np.sort(r.choice(1 << 40, 400, replace=False).astype(np.uint64))
+        centre = pool[::2]
+        kin = jaccard._Kin([centre], num, den)
+        sets = [np.sort(np.concatenate([r.permutation(centre)[: int(200 * r.uniform(0.5, 1))], r.permutation(pool[1::2])[: r.integers(0, 60)]])) for _ in range(300)]
+        sets = [s for s in sets if den * len(np.intersect1d(s, centre)) >= num * len(np.union1d(s, centre))]
+        key, copies = np.arange(len(sets)) * 7 - 50, r.integers(1, 4, len(sets))
+        for cut in (1, 4):
+            got = dict.fromkeys(key.tolist(), 0)
+            for block in range(cut):
+                for k, c in zip(*kin.counts(key, copies, np.array([len(s) for s in sets]), [np.setxor1d(s, centre) for s in sets], block, cut), strict=True):
+                    got[int(k)] += int(c)
+            links = [[den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)) for b in sets] for a in sets]
+            assert list(got.values()) == [sum(int(copies[j]) for j in range(len(sets)) if links[i][j] and j != i) for i in range(len(sets))]
+
+
+def test_pairs_of_a_large_family_are_not_enumerated(spark, monkeypatch):
+    """300 different near texts have 44,850 links; they are counted without a pair to verify, and none is lost."""
+    met = []
+    whole = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda docs, classes, pairs, *rest: met.append(pairs.count()) or whole(docs, classes, pairs, *rest))
+    base = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(base[: i % 100 + 10] + [f"x{i}"] + base[i % 100 + 10 :])) for i in range(300)]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {(r.n_similar, r.component_id) for r in got} == {(299, 0)}
+    assert met[0] < 3000
