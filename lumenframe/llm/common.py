@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 #: Sides up to this many estimated bytes are broadcast; larger ones go through a shuffle.
 BROADCAST_BYTES = 48 << 20
 BATCH_ROWS = 1000
+RELEASE_S = 5  # at most, for references that Python dropped to reach the JVM
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,7 +60,13 @@ def clear_saved(spark: SparkSession, since: int | None = None, keep: int = 0) ->
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files and broadcasts that nothing refers to any more; else they stay until the driver's next full collection."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    sc = spark.sparkContext
+    # Python's dropped references reach the JVM through a thread that looks for them once a second
+    dropped, until = getattr(sc._gateway._gateway_client, "finalizer_deque", ()), time.monotonic() + RELEASE_S
+    while dropped and time.monotonic() < until:
+        time.sleep(0.05)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()  # events not yet handled still refer to the plans that just ran
+    sc._jvm.System.gc()
 
 
 def input_bytes(df: DataFrame) -> int:

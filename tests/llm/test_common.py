@@ -60,3 +60,13 @@ def test_packed_arrays(width):
     s = np.uint64(64 - 8 * width)
     assert (blobs.uncut(c, width) == (x >> s) << s).all()
     assert repeated(np.array([3, 1, 3, 2], np.uint64)).tolist() == [True, False, True, False] and blobs.ranges(np.array([5, 0, 9]), np.array([2, 0, 1])).tolist() == [5, 6, 9]
+
+
+def test_release_waits_for_dropped_references(spark):
+    """Else the collection comes before the JVM hears of them, and the shuffle files stay."""
+    for _ in range(5):
+        df = spark.range(100).repartition(3)
+        df.count()
+        del df
+        common.release(spark)
+        assert not spark.sparkContext._gateway._gateway_client.finalizer_deque
