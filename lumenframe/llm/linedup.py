@@ -57,12 +57,15 @@ def bound(n: np.ndarray, edit_words: int, every: int) -> np.ndarray:
 
 
 class Lines:
-    """The lines with words of a run of texts: document, number, word range and rolling hashes."""
+    """The lines with words of a run of texts: document, number, word range and rolling hashes.
 
-    def __init__(self, arr: pa.Array):
+    whole: each text is one line, an empty one too.
+    """
+
+    def __init__(self, arr: pa.Array, whole: bool = False):
         w = Words(arr, lower=True)
         self.words = w
-        start, end, self.doc = w.lines()
+        start, end, self.doc = (w.off[:-1], w.off[1:], np.arange(w.n_docs)) if whole else w.lines()
         self.byte = start, end
         first_of = np.searchsorted(self.doc, np.arange(w.n_docs))
         self.number = np.arange(len(start)) - first_of[self.doc] if len(start) else np.zeros(0, np.int64)
@@ -94,13 +97,14 @@ class Lines:
             out.append(self.part(b - q, b) ^ _U(0x55AA))
         return out
 
-    def variants(self, i: int) -> np.ndarray:
-        """Hashes of line i without each of its words, in order."""
-        a, b = int(self.lo[i]), int(self.hi[i])
-        k = np.arange(a, b)
-        head = self.raw(np.full(len(k), a), k)
-        tail = self.raw(k + 1, np.full(len(k), b)) * self.p[k - a]
-        return mix(head + tail + _U(b - a - 1))
+    def variants(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the given lines without each of their words, in order, and the places of these from 1."""
+        n = self.n[at]
+        k = blobs.ranges(self.lo[at], n)
+        a, b = np.repeat(self.lo[at], n), np.repeat(self.hi[at], n)
+        head = self.raw(a, k)
+        tail = self.raw(k + 1, b) * self.p[k - a]
+        return mix(head + tail + (b - a - 1).astype(_U)), k - a + 1
 
     def far(self, min_words: int, every: int) -> np.ndarray:
         """Lines that may have a partner more than one edit away."""
@@ -131,6 +135,29 @@ class Lines:
         return np.minimum(np.bincount(cell, minlength=len(at) * BINS), 255).astype("u1").reshape(-1, BINS)
 
 
+def _picked(arr: pa.Array, doc: np.ndarray, line: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Bytes of the lines of given numbers of given texts of a run, and which of those there are."""
+    buf, off = flat(arr)
+    nl = np.flatnonzero(buf == 10)
+    before = np.searchsorted(nl, off)
+    some = np.flatnonzero((line >= 0) & (line <= np.diff(before)[doc]) & (np.diff(off)[doc] > 0))
+    d, k = doc[some], line[some].astype(np.int64)
+    i = before[d] + k
+    start = np.where(k > 0, np.append(nl, 0)[i - 1] + 1, off[d])
+    end = np.where(i < before[d + 1], np.append(nl, 0)[i], off[d + 1])
+    to = np.concatenate([[0], np.cumsum(end - start)])
+    return pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(to), pa.py_buffer(buf[blobs.ranges(start, end - start)])]), some
+
+
+def _once(x: np.ndarray) -> np.ndarray:
+    """Ascending indices of one entry of each value."""
+    return np.sort(np.unique(x, return_index=True)[1])
+
+
+def _bucket(key: np.ndarray, p: int) -> np.ndarray:
+    return (key % _U(p)).astype(np.uint16 if p <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
+
+
 def _earliest(key, doc, line, full):
     """First place of each key."""
     o = np.lexsort((line, doc, key))
@@ -142,10 +169,12 @@ def _earliest(key, doc, line, full):
 
 def _spread(key, one, two):
     """Least and greatest line hash of each key."""
-    o = np.lexsort((one, key))
+    if not len(key):
+        return key, one, two
+    o = np.argsort(key)
     k = key[o]
-    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[head], one[o][head] if len(k) else one, np.maximum.reduceat(two[o], head) if len(k) else two
+    head = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[head], np.minimum.reduceat(one[o], head), np.maximum.reduceat(two[o], head)
 
 
 def _first_side(docs: DataFrame, p: int, min_words: int, edit_words: int, every: int) -> DataFrame:
@@ -158,15 +187,13 @@ def _first_side(docs: DataFrame, p: int, min_words: int, edit_words: int, every:
         def sent() -> pa.RecordBatch:
             key, doc, line, n = _earliest(*(np.concatenate(x) for x in zip(*exact, strict=True)))
             hk, lo, hi = _spread(*(np.concatenate(x) for x in zip(*half, strict=True)))
-            wk, wl = (np.concatenate(x) for x in zip(*wide, strict=True))
-            o = np.lexsort((wl, wk))
-            wk, wl = wk[o], wl[o]
-            new = np.ones(len(wk), bool)
-            new[1:] = (wk[1:] != wk[:-1]) | (wl[1:] != wl[:-1])
-            wk, wl = wk[new], wl[new]
-            o3, b3 = blobs.split((wk % _U(p)).astype(np.int64), p)
-            o1, b1 = blobs.split((key % _U(p)).astype(np.int64), p)
-            o2, b2 = blobs.split((hk % _U(p)).astype(np.int64), p)
+            wk, wl, m = (np.concatenate(x) for x in zip(*wide, strict=True))
+            new = np.zeros(len(wl), bool)
+            new[_once(wl)] = True  # equal lines have equal windows
+            wk, wl = wk[np.repeat(new, m)], np.repeat(wl[new], m[new])
+            o3, b3 = blobs.split(_bucket(wk, p), p)
+            o1, b1 = blobs.split(_bucket(key, p), p)
+            o2, b2 = blobs.split(_bucket(hk, p), p)
             out = []
             for k in range(p):
                 x, y, z = o1[b1[k] : b1[k + 1]], o2[b2[k] : b2[k + 1]], o3[b3[k] : b3[k + 1]]
@@ -180,11 +207,13 @@ def _first_side(docs: DataFrame, p: int, min_words: int, edit_words: int, every:
                 ok = np.flatnonzero(ln.n >= min_words)
                 exact.append((ln.full[ok], ids[i:j][ln.doc[ok]], ln.number[ok], ln.full[ok]))
                 ok = np.flatnonzero(ln.n >= max(edit_words - 1, min_words))
+                ok = ok[_once(ln.full[ok])]
                 h = ln.halves(ok)
                 half.append((np.concatenate(h), np.tile(ln.full[ok], len(h)), np.tile(ln.full[ok], len(h))))
                 ok = ln.far(min_words, every)
+                ok = ok[_once(ln.full[ok])]
                 key, who = ln.windows(ok, every)
-                wide.append((key, ln.full[ok][who]))
+                wide.append((key, ln.full[ok], np.bincount(who, minlength=len(ok))))
                 size += len(h[0]) * 5 + len(key)
                 if size > 500_000:
                     yield sent()
@@ -223,71 +252,98 @@ def _record(kind, key, pos, doc, line, full, bins=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int32)), pa.array(np.asarray(key, _U).view(np.int64)), pa.array(np.asarray(pos, np.int32)), pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(line, np.int32)), pa.array(np.asarray(full, _U).view(np.int64)), bins], names=["kind", "key", "pos", "doc", "line", "full", "bins"])
 
 
-class _Variants:
-    """kind 2: the variants (pos from 1) and the line itself (pos 0) of lines, packed by ranges of their keys."""
+class _Packed:
+    """Records of a kind, packed by ranges of their keys (pos: the range)."""
 
-    def __init__(self, p: int, edit_words: int):
-        self.p, self.edit_words, self.size = p, edit_words, 0
+    def __init__(self, p: int, kind: int):
+        self.p, self.kind, self.size = p, kind, 0
         self.have: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, ln: Lines, ids: np.ndarray, at: np.ndarray) -> None:
-        if not len(at):
-            return
-        key, who = [ln.full[at]], [at]
-        pos = [np.zeros(len(at), np.int64)]
-        for i in at[ln.n[at] >= self.edit_words].tolist():
-            v = ln.variants(i)
-            key.append(v)
-            pos.append(np.arange(1, len(v) + 1))
-            who.append(np.full(len(v), i))
-        w = np.concatenate(who)
-        self.have.append((np.concatenate(key), np.concatenate(pos), ids[ln.doc[w]], ln.number[w], ln.full[w]))
-        self.size += len(w)
-
     def sent(self, least: int) -> Iterator[pa.RecordBatch]:
         if self.size <= least:
             return
-        key, pos, doc, line, full = (np.concatenate(x) for x in zip(*self.have, strict=True))
+        key, pos, doc, line, full, *bins = (np.concatenate(x) for x in zip(*self.have, strict=True))
         self.have, self.size = [], 0
-        order, b = blobs.split((key % _U(self.p)).astype(np.int64), self.p)
+        order, b = blobs.split(_bucket(key, self.p), self.p)
         out = [(k, order[b[k] : b[k + 1]]) for k in range(self.p) if b[k + 1] > b[k]]
         n = len(out)
-        packed = [blobs.pack(key[o], blobs.narrow(pos[o]), doc[o], blobs.narrow(line[o]), full[o]) for _, o in out]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, 2, np.int32)), pa.nulls(n, pa.int64()), pa.array([k for k, _ in out], pa.int32()), *(pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64())), pa.array(packed, pa.binary())], names=["kind", "key", "pos", "doc", "line", "full", "bins"])
+        packed = [blobs.pack(key[o], blobs.narrow(pos[o]), doc[o], blobs.narrow(line[o]), full[o], *(x[o].ravel() for x in bins)) for _, o in out]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, self.kind, np.int32)), pa.nulls(n, pa.int64()), pa.array([k for k, _ in out], pa.int32()), *(pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.int64())), pa.array(packed, pa.binary())], names=["kind", "key", "pos", "doc", "line", "full", "bins"])
 
 
-def _far(ln: Lines, ids: np.ndarray, at: np.ndarray, every: int, shared=None) -> Iterator[pa.RecordBatch]:
-    """kind 4: the windows of the given lines (pos: number of words)."""
+class _Variants(_Packed):
+    """kind 2: the variants (pos from 1) and the line itself (pos 0) of lines."""
+
+    def __init__(self, p: int, edit_words: int):
+        super().__init__(p, 2)
+        self.edit_words = edit_words
+
+    def add(self, ln: Lines, ids: np.ndarray, at: np.ndarray) -> None:
+        if not len(at):
+            return
+        long = at[ln.n[at] >= self.edit_words]
+        key, pos = ln.variants(long)
+        w = np.concatenate([at, np.repeat(long, ln.n[long])])
+        self.have.append((np.concatenate([ln.full[at], key]), np.concatenate([np.zeros(len(at), np.int64), pos]), ids[ln.doc[w]], ln.number[w], ln.full[w]))
+        self.size += len(w)
+
+
+def _far(ln: Lines, ids: np.ndarray, at: np.ndarray, every: int, shared=None) -> tuple[np.ndarray, ...]:
+    """The windows of the given lines: key, number of words, document, line, hash and histogram of the line."""
     key, who = ln.windows(at, every)
     if shared is not None:
         ok = shared(key)
         key, who = key[ok], who[ok]
-    if len(key):
-        mine, who = np.unique(who, return_inverse=True)
-        w = at[mine][who]
-        yield _record(np.full(len(w), 4), key, ln.n[w], ids[ln.doc[w]], ln.number[w], ln.full[w], ln.histograms(at[mine])[who])
+    mine, who = np.unique(who, return_inverse=True)
+    w = at[mine][who]
+    return key, ln.n[w], ids[ln.doc[w]], ln.number[w], ln.full[w], ln.histograms(at[mine])[who]
+
+
+class _Windows(_Packed):
+    """kind 5: the windows of lines (pos: number of words)."""
+
+    def __init__(self, p: int):
+        super().__init__(p, 5)
+
+    def add(self, records: tuple[np.ndarray, ...]) -> None:
+        if len(records[0]):
+            self.have.append(records)
+            self.size += len(records[0])
+
+
+class _Keys:
+    """Look-up in sorted hashes; a table of their high bits spares the search for most others."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, bits = keys, max(10, len(keys).bit_length() + 2)
+        self.shift = _U(64 - bits)
+        self.some = np.zeros(1 << bits, bool)
+        self.some[keys >> self.shift] = True
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        out = self.some[x >> self.shift]
+        if len(at := np.flatnonzero(out)):
+            x = x[at]
+            i = np.searchsorted(self.keys, x)
+            i[i == len(self.keys)] = 0
+            out[at] = self.keys[i] == x
+        return out
 
 
 def _looked_up(docs: DataFrame, found: DataFrame, p: int, min_words: int, edit_words: int, every: int) -> DataFrame:
-    """Removed equal lines (kind 0) and the records of lines that share a half (kind 2) or a window (kind 4), by broadcast arrays."""
+    """Removed equal lines (kind 0) and the records of lines that share a half (kind 2) or a window (kind 5), by broadcast arrays."""
     sc = docs.sparkSession.sparkContext
-    t = found.orderBy("kind", "key").toArrow()
+    t = found.toArrow()
     kind = t["kind"].to_numpy()
     key = t["key"].to_numpy().view(_U)
     eq, hf = kind == 0, kind == 1
     o = np.argsort(key[eq])
     shared = sc.broadcast((key[eq][o], t["doc"].to_numpy()[eq][o], t["line"].to_numpy()[eq][o], np.sort(key[hf]), np.sort(key[kind == 4])))
 
-    def has(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-        if not len(sorted_keys):
-            return np.zeros(len(x), bool)
-        at = np.searchsorted(sorted_keys, x)
-        at[at == len(sorted_keys)] = 0
-        return sorted_keys[at] == x
-
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ek, ed, el, hk, wk = shared.value
-        variants = _Variants(p, edit_words)
+        halves, shares = _Keys(hk), _Keys(wk)
+        variants, far = _Variants(p, edit_words), _Windows(p)
         for b in it:
             allids, t = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1)
             for i, j in runs(t):
@@ -304,13 +360,15 @@ def _looked_up(docs: DataFrame, found: DataFrame, p: int, min_words: int, edit_w
                 if len(at):
                     near = np.zeros(len(at), bool)
                     for h in ln.halves(at):
-                        near |= has(hk, h)
+                        near |= halves.has(h)
                     variants.add(ln, ids, at[near])
                     yield from variants.sent(300_000)
                 at = ln.far(min_words, every)
                 if len(wk):
-                    yield from _far(ln, ids, at[~gone[at]], every, lambda x: has(wk, x))
+                    far.add(_far(ln, ids, at[~gone[at]], every, shares.has))
+                    yield from far.sent(200_000)
         yield from variants.sent(0)
+        yield from far.sent(0)
 
     return docs.mapInArrow(work, _RECORD)
 
@@ -328,7 +386,8 @@ def _joined(docs: DataFrame, found: DataFrame, p: int, min_words: int, edit_word
                 ok = np.flatnonzero(ln.n >= max(edit_words - 1, min_words))
                 for h in ln.halves(ok):
                     yield _record(np.ones(len(ok)), h, np.full(len(ok), -2), ids[ln.doc[ok]], ln.number[ok], ln.full[ok])
-                yield from _far(ln, ids, ln.far(min_words, every), every)
+                key, *rest = _far(ln, ids, ln.far(min_words, every), every)
+                yield _record(np.full(len(key), 4), key, *rest)
 
     rows = docs.mapInArrow(keys, _RECORD)
     firsts = found.where("kind = 0").select("key", F.col("doc").alias("d0"), F.col("line").alias("l0"))
@@ -349,6 +408,16 @@ def _joined(docs: DataFrame, found: DataFrame, p: int, min_words: int, edit_word
         yield from out.sent(0)
 
     far = rows.where("kind = 4").join(found.where("kind = 4").select("key"), "key", "left_semi").join(gone.select("doc", "line").distinct(), ["doc", "line"], "left_anti")
+
+    def windows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Windows(p)
+        for b in it:
+            key, pos, doc, line, full = (b.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6))
+            out.add((key.view(_U), pos, doc, line, full.view(_U), flat(b.column(6))[0].reshape(-1, BINS)))
+            yield from out.sent(200_000)
+        yield from out.sent(0)
+
+    far = far.select(*rows.columns).mapInArrow(windows, _RECORD)
     return gone.unionByName(far).unionByName(docs.join(by_doc, F.col("id") == F.col("d")).select("id", "text", "lines").mapInArrow(variants, _RECORD))
 
 
@@ -389,33 +458,79 @@ def _partners(rec: DataFrame, p: int) -> DataFrame:
     return got.groupBy("doc", "line", "full").agg(F.min(F.struct("pdoc", "pline")).alias("c")).select("doc", "line", "full", "c.pdoc", "c.pline")
 
 
-def _pairs(rec: DataFrame, done: DataFrame, first: bool, edit_words: int, every: int) -> DataFrame:
+_PAIRS = "doc bigint, line int, full bigint, pdoc bigint, pline int"
+
+
+def _near(key, n, doc, line, full, bins, done, first: bool, edit_words: int, every: int) -> Iterator[pa.RecordBatch]:
+    """Of records by key, document and line: those of lines not done with earlier ones of their key that may be near."""
+    k = np.arange(len(key))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    head = np.maximum.accumulate(np.where(new, k, 0))
+    todo = np.flatnonzero(~done & (k - head > (not first)))
+    start, count = (head[todo], np.ones(len(todo), np.int64)) if first else (head[todo] + 1, (k - head)[todo] - 1)
+    total = np.cumsum(count)
+    i = 0
+    while i < len(todo):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + 1_000_000, "right")))
+        x, y = np.repeat(todo[i:j], count[i:j]), blobs.ranges(start[i:j], count[i:j])
+        most = np.maximum(n[x], n[y])
+        allowed = bound(most, edit_words, every)
+        ok = (most >= 2 * every) & (np.abs(n[x] - n[y]) <= allowed) & ((doc[x] != doc[y]) | (line[x] != line[y]))
+        x, y, allowed = x[ok], y[ok], allowed[ok]
+        ok = np.abs(bins[x].astype(np.int16) - bins[y]).sum(1) <= 2 * allowed
+        x, y = x[ok], y[ok]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[x], line[x], full[x], doc[y], line[y])], names=["doc", "line", "full", "pdoc", "pline"])
+        i = j
+
+
+def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Hashes of places."""
+    return mix(doc.astype(np.int64).view(_U) + mix(line.astype(_U) + _U(_ROLL)))
+
+
+def _unpacked(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, ...]:
+    key, n, doc, line, full, bins = blobs.gathered(parts)
+    return key, n.astype(np.int32), doc, line.astype(np.int32), full.view(np.int64), bins.reshape(-1, BINS)
+
+
+def _window_rows(packed: DataFrame) -> DataFrame:
+    """Records of kind 5 as such of kind 4."""
+
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for x in b.column(0).to_pylist():
+                key, n, doc, line, full, bins = _unpacked([blobs.unpack(x)])
+                yield _record(np.full(len(key), 4), key, n, doc, line, full.view(_U), bins)
+
+    return packed.select("bins").mapInArrow(work, _RECORD)
+
+
+def _pairs(packed: DataFrame, done: DataFrame, first: bool, p: int, edit_words: int, every: int, lookup_keys: int) -> DataFrame:
     """Lines not done with earlier lines that share a window with them and may be near: the earliest of each window, or all others."""
-    flag = done.select("doc", "line").distinct().withColumn("done", F.lit(True))
-    t = rec.join(common.small(flag, 16), ["doc", "line"], "left").select("key", "pos", "doc", "line", "full", "bins", F.col("done").isNotNull().alias("done"))
+    done = done.select("doc", "line").distinct()
+    if done.count() > lookup_keys:
+        return _joined_pairs(_window_rows(packed), done, first, edit_words, every)
+    t = done.toArrow()
+    shared = done.sparkSession.sparkContext.broadcast(np.sort(_place(t["doc"].to_numpy(), t["line"].to_numpy())))
+
+    def work(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, n, doc, line, full, bins = _unpacked(parts)
+        o = np.lexsort((line, doc, key))
+        key, n, doc, line, full, bins = (x[o] for x in (key, n, doc, line, full, bins))
+        yield from _near(key, n, doc, line, full, bins, _Keys(shared.value).has(_place(doc, line)), first, edit_words, every)
+
+    return blobs.by_partition(blobs.exchange(packed.select(F.col("pos").alias("bucket"), F.col("bins").alias("blob")), p), work, _PAIRS).distinct()
+
+
+def _joined_pairs(rows: DataFrame, done: DataFrame, first: bool, edit_words: int, every: int) -> DataFrame:
+    """The same through joins, for any number of lines done."""
+    flag = done.withColumn("done", F.lit(True))
+    t = rows.join(common.small(flag, 16), ["doc", "line"], "left").select("key", "pos", "doc", "line", "full", "bins", F.col("done").isNotNull().alias("done"))
 
     def pairs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         key, n, doc, line, full = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-        bins = flat(b.column(5))[0].reshape(-1, BINS)
-        k = np.arange(len(key))
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        head = np.maximum.accumulate(np.where(new, k, 0))
-        todo = np.flatnonzero(~b.column(6).to_numpy(zero_copy_only=False) & (k - head > (not first)))
-        start, count = (head[todo], np.ones(len(todo), np.int64)) if first else (head[todo] + 1, (k - head)[todo] - 1)
-        total = np.cumsum(count)
-        i = 0
-        while i < len(todo):
-            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + 1_000_000, "right")))
-            x, y = np.repeat(todo[i:j], count[i:j]), blobs.ranges(start[i:j], count[i:j])
-            most = np.maximum(n[x], n[y])
-            allowed = bound(most, edit_words, every)
-            ok = (most >= 2 * every) & (np.abs(n[x] - n[y]) <= allowed) & ((doc[x] != doc[y]) | (line[x] != line[y]))
-            x, y, allowed = x[ok], y[ok], allowed[ok]
-            ok = np.abs(bins[x].astype(np.int16) - bins[y]).sum(1) <= 2 * allowed
-            x, y = x[ok], y[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (doc[x], line[x], full[x], doc[y], line[y])], names=["doc", "line", "full", "pdoc", "pline"])
-            i = j
+        yield from _near(key, n, doc, line, full, flat(b.column(5))[0].reshape(-1, BINS), b.column(6).to_numpy(zero_copy_only=False), first, edit_words, every)
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -434,12 +549,15 @@ def _pairs(rec: DataFrame, done: DataFrame, first: bool, edit_words: int, every:
         if kept:
             yield from pairs(pa.Table.from_batches(kept).combine_chunks().to_batches()[0])
 
-    return t.repartition("key").sortWithinPartitions("key", "doc", "line").mapInArrow(work, "doc bigint, line int, full bigint, pdoc bigint, pline int").distinct()
+    return t.repartition("key").sortWithinPartitions("key", "doc", "line").mapInArrow(work, _PAIRS).distinct()
+
+
+STRIDES = 1, 4, 16, 64  # words compared at once: most diagonals end at the first, the others go on for long
 
 
 def _flat(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.array([len(v) for v in x], np.int64)
-    return np.concatenate([*x, np.zeros(1, _U)]), np.cumsum(n) - n, n
+    return np.concatenate([*x, np.zeros(STRIDES[-1], _U)]), np.cumsum(n) - n, n
 
 
 def within(a: list[np.ndarray], b: list[np.ndarray], k: int) -> np.ndarray:
@@ -463,13 +581,17 @@ def within(a: list[np.ndarray], b: list[np.ndarray], k: int) -> np.ndarray:
             g[:, [0, -1]] = none
             f = g
         p, c = np.nonzero((f >= 0) & (f < most))
+        turn = 0
         while len(p):
+            step = np.arange(STRIDES[min(turn, len(STRIDES) - 1)])
             i = f[p, c]
-            same = aw[a0[rest[p]] + i] == bw[b0[rest[p]] + i + d[c]]
-            p, c = p[same], c[same]
-            f[p, c] += 1
-            more = f[p, c] < most[p, c]
+            same = aw[(a0[rest[p]] + i)[:, None] + step] == bw[(b0[rest[p]] + i + d[c])[:, None] + step]
+            whole = same.all(1)
+            i = np.minimum(i + np.where(whole, len(step), same.argmin(1)), most[p, c])
+            f[p, c] = i
+            more = whole & (i < most[p, c])
             p, c = p[more], c[more]
+            turn += 1
         done = f[np.arange(len(rest)), k + 1 + (nb - na)[rest]] >= na[rest]
         out[rest[done]] = True
         rest, f, most = rest[~done], f[~done], most[~done]
@@ -485,17 +607,14 @@ def _check(docs: DataFrame, pairs: DataFrame, edit_words: int, every: int) -> Da
 
     def fetch(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids, t, want = b.column(0).to_pylist(), b.column(1), b.column(2)
+            ids, t, want = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), b.column(1), b.column(2)
             for i, j in runs(t):
-                ln = Lines(t.slice(i, j - i))
-                begin = np.searchsorted(ln.doc, np.arange(j - i + 1))
-                out = []
-                for d, xs in enumerate(want.slice(i, j - i).to_pylist()):
-                    for x in xs:
-                        if x < begin[d + 1] - begin[d]:
-                            k = begin[d] + x
-                            out.append((ids[i + d], x, ln.words.hash[ln.lo[k] : ln.hi[k]].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["doc", "line", "words"])
+                xs = want.slice(i, j - i)
+                doc, line = pc.list_parent_indices(xs).to_numpy(), pc.list_flatten(xs).to_numpy()
+                part, some = _picked(t.slice(i, j - i), doc, line)
+                w = Words(part, lower=True)
+                words = pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(w.first.astype(np.int64) * 8), pa.py_buffer(w.hash)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc[some]]), pa.array(line[some].astype(np.int32)), words.cast(pa.binary())], names=["doc", "line", "words"])
 
     side = common.small(need, 40, items="lines", item_bytes=4)
     words = common.saved(docs.join(side, F.col("id") == F.col("d")).select("id", "text", "lines").mapInArrow(fetch, "doc bigint, line int, words binary"))
@@ -508,7 +627,7 @@ def _check(docs: DataFrame, pairs: DataFrame, edit_words: int, every: int) -> Da
             ok = np.zeros(len(x), bool)
             for k in np.unique(allowed).tolist():
                 at = np.flatnonzero(allowed == k)
-                step = max(1, 500_000 // (2 * k + 3))
+                step = max(1, 60_000 // (2 * k + 3))
                 for i in range(0, len(at), step):
                     part = at[i : i + step]
                     ok[part] = within([x[v] for v in part], [y[v] for v in part], k)
@@ -524,11 +643,11 @@ def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_word
     found = _second_side(_first_side(docs, p, min_words, edit_words, edit_every))
     rec = common.saved((_looked_up if found.count() <= lookup_keys else _joined)(docs, found, p, min_words, edit_words, edit_every))
     near = _check(docs, common.saved(_partners(rec.where("kind = 2"), p)), edit_words, edit_every)
-    far = rec.where("kind = 4")
+    far = rec.where("kind = 5")
     if far.limit(1).count():  # only an existence check
         near = common.saved(near)
         for first in (True, False):
-            pairs = common.saved(_pairs(far, near, first, edit_words, edit_every))
+            pairs = common.saved(_pairs(far, near, first, p, edit_words, edit_every, lookup_keys))
             near = common.saved(near.unionByName(_check(docs, pairs, edit_words, edit_every)))
     gone = rec.where("kind = 0").select("doc", "line", "full").unionByName(near)
     return common.saved(gone.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("line", "full")).alias("gone")))
@@ -546,18 +665,14 @@ def _rebuilt(df: DataFrame, id_col: str, text: str, gone: DataFrame, schema: str
             t, g = b.column(own + 1), b.column(b.num_columns - 1)
             for i, j in runs(t):
                 part, gone = t.slice(i, j - i), g.slice(i, j - i)
-                some = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))
                 count = np.where(pc.fill_null(pc.binary_length(part), 0).to_numpy() > 0, pc.fill_null(pc.count_substring(part, "\n"), 0).to_numpy() + 1, 0)
-                lost: dict[int, list[int]] = {}
-                if len(some):  # only texts that lose lines are read
-                    ln = Lines(part.take(pa.array(some)))
-                    begin = np.searchsorted(ln.doc, np.arange(len(some) + 1))
-                    full = ln.full.view(np.int64)
-                    for k, d in enumerate(some.tolist()):
-                        lines = sorted(x["line"] for x in gone[d].as_py() if begin[k] + x["line"] < begin[k + 1] and full[begin[k] + x["line"]] == x["full"])
-                        if lines:
-                            lost[d] = lines
-                yield make(b.slice(i, j - i), part, count, lost)
+                doc, each = pc.list_parent_indices(gone).to_numpy(), pc.list_flatten(gone)
+                line, full = each.field("line").to_numpy(), each.field("full").to_numpy()
+                lines, some = _picked(part, doc, line)  # of the texts only these lines are read
+                ok = np.flatnonzero(Lines(lines, whole=True).full.view(np.int64) == full[some])
+                ok = ok[np.lexsort((line[some[ok]], doc[some[ok]]))]
+                chars = pc.utf8_length(lines.view(pa.large_string())).to_numpy()
+                yield make(b.slice(i, j - i), part, count, doc[some[ok]].astype(np.int64), line[some[ok]], chars[ok])
 
     return j.mapInArrow(work, schema)
 
@@ -573,17 +688,14 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", drop_
     at = df.columns.index(text)
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
-    def make(b, part, count, lost):
+    def make(b, part, count, doc, line, chars):
         arrays = [b.column(k) for k in range(len(df_columns))]
-        changed = np.zeros(len(part), bool)
-        changed[list(lost)] = True
-        arrays[at] = pc.replace_with_mask(part, pa.array(changed), pa.array([_without(part[d].as_py(), lost[d]) for d in sorted(lost)], pa.string())) if lost else part
+        n = np.bincount(doc, minlength=len(part))
+        some, end = np.flatnonzero(n), np.cumsum(n)
+        texts = [_without(part[d].as_py(), line[end[d] - n[d] : end[d]].tolist()) for d in some.tolist()]
+        arrays[at] = pc.replace_with_mask(part, pa.array(n > 0), pa.array(texts, pa.string())) if len(some) else part
         out = pa.RecordBatch.from_arrays(arrays, names=df_columns)
-        if drop_empty and lost:
-            n = np.zeros(len(part), np.int64)
-            n[list(lost)] = [len(x) for x in lost.values()]
-            out = out.filter(pa.array((n == 0) | (n < count)))
-        return out
+        return out.filter(pa.array((n == 0) | (n < count))) if drop_empty and len(some) else out
 
     df_columns = list(df.columns)
     return _rebuilt(df, id_col, text, gone, schema, make)
@@ -594,10 +706,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = common.documents(spark, sf_dir).select("doc_id", "text")
     gone = removals(df)
 
-    def make(b, part, count, lost):
-        kept = pc.fill_null(pc.utf8_length(part), 0).cast(pa.int64()).to_numpy().copy()
-        for d, lines in lost.items():
-            kept[d] = len(_without(part[d].as_py(), lines))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(count.astype(np.int64)), pa.array([lost.get(d, []) for d in range(len(part))], pa.list_(pa.int32())), pa.array(kept)], names=["doc_id", "n_lines", "removed", "n_kept_chars"])
+    def make(b, part, count, doc, line, chars):
+        n = np.bincount(doc, minlength=len(part))
+        less = np.bincount(doc, chars + 1, len(part)).astype(np.int64)  # each line goes with a line end, the last that is left has none
+        kept = np.where((n > 0) & (n == count), 0, pc.fill_null(pc.utf8_length(part), 0).to_numpy() - less)
+        removed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(line.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(count.astype(np.int64)), removed, pa.array(kept.astype(np.int64))], names=["doc_id", "n_lines", "removed", "n_kept_chars"])
 
     return _rebuilt(df, "doc_id", "text", gone, "doc_id bigint, n_lines bigint, removed array<int>, n_kept_chars bigint", make)

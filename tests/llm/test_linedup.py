@@ -126,3 +126,69 @@ def test_short_lines_repeat_exactly(spark):
     rows = [(1, "Read more\n\nok"), (2, "read  MORE\nread less"), (3, "\nok\n ")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {x.d: [y.line for y in x.gone] for x in linedup.removals(df).collect()} == {2: [0], 3: [1]}
+
+
+def near_copies(n=60):
+    r = random.Random(11)
+    base = [[f"w{r.randint(0, 400)}" for _ in range(r.randint(45, 130))] for _ in range(6)]
+    rows = []
+    for i in range(n):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, len(w) // 20 + 1)):
+            w[r.randrange(len(w))] = r.choice(["x", "y"])
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_windows_are_packed(spark):
+    df = spark.createDataFrame(near_copies(), "id bigint, text string").repartition(3)
+    found = linedup._second_side(linedup._first_side(df, 4, 1, 10, 20))
+    rec = linedup._looked_up(df, found, 4, 1, 10, 20).where("kind >= 4")
+    packed = [linedup.blobs.unpack(x.bins) for x in rec.collect() if len(x.bins) != linedup.BINS]
+    records = sum(len(x[0]) for x in packed)
+    assert records > 200 and rec.count() <= 3 * 4  # one row a task and range of keys, however many windows
+
+
+@pytest.mark.parametrize("lookup", [1_000_000, 100, 0])
+def test_windows_found_either_way(spark, lookup):
+    rows = near_copies()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {x.d: {y.line for y in x.gone} for x in linedup.removals(df, lookup_keys=lookup).collect()}
+    assert got == brute_bound(rows, 10, 20)
+
+
+def test_picked_lines():
+    texts = ["a b\n\n c é\n", None, "", "one", "\n", "x\ny"]
+    at = [(d, k) for d in range(len(texts)) for k in range(-1, 6)]
+    doc, line = (linedup.np.array(x) for x in zip(*at, strict=True))
+    for skip in (0, 2):  # an array that begins within another
+        t = linedup.pa.array(["zz\n"] * skip + texts).slice(skip)
+        got, some = linedup._picked(t, doc, line)
+        want = [(d, k, x) for d, t in enumerate(texts) for k, x in enumerate(t.split("\n") if t else [])]
+        assert [(*at[i], x.decode()) for i, x in zip(some.tolist(), got.to_pylist(), strict=True)] == want
+        full = linedup.Lines(got, whole=True).full.tolist()
+        assert full == [int(linedup.Lines(linedup.pa.array([x + "\n"])).full[0]) for _, _, x in want]
+
+
+def test_within_in_long_lines():
+    r = random.Random(4)
+    a, b = [], []
+    for _ in range(60):
+        x = [r.randint(0, 30) for _ in range(r.randint(1, 220))]
+        y = list(x)
+        for _ in range(r.randint(0, 6)):
+            i = r.randrange(len(y) + 1)
+            y[i : i + r.randint(0, 1)] = [r.randint(0, 30)] * r.randint(0, 1)
+        a.append(x)
+        b.append(y)
+    u = [[linedup.np.array(x, "u8") for x in s] for s in (a, b)]
+    for k in (0, 1, 2, 4, 6):
+        assert linedup.within(*u, k).tolist() == [edits(x, y) <= k for x, y in zip(a, b, strict=True)]
+
+
+def test_key_lookup_equals_search():
+    r = linedup.np.random.default_rng(2)
+    for n in (0, 1, 5000):
+        keys = linedup.np.sort(r.integers(0, 1 << 63, n, dtype="u8") * linedup._U(2))
+        x = linedup.np.concatenate([keys[::3], r.integers(0, 1 << 63, 3000, dtype="u8"), linedup.np.array([0, (1 << 64) - 1], "u8")])
+        assert (linedup._Keys(keys).has(x) == linedup.np.isin(x, keys)).all()
