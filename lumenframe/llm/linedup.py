@@ -214,7 +214,7 @@ def _first_side(docs: DataFrame, p: int, min_words: int, edit_words: int, every:
                 ok = ok[_once(ln.full[ok])]
                 key, who = ln.windows(ok, every)
                 wide.append((key, ln.full[ok], np.bincount(who, minlength=len(ok))))
-                size += len(h[0]) * 5 + len(key)
+                size += len(exact[-1][0]) + len(h[0]) * len(h) + len(key)
                 if size > 500_000:
                     yield sent()
                     exact, half, wide, size = [], [], [], 0
@@ -299,6 +299,9 @@ def _far(ln: Lines, ids: np.ndarray, at: np.ndarray, every: int, shared=None) ->
     return key, ln.n[w], ids[ln.doc[w]], ln.number[w], ln.full[w], ln.histograms(at[mine])[who]
 
 
+WINDOWS = 100_000  # at most about, in a batch of packed ones
+
+
 class _Windows(_Packed):
     """kind 5: the windows of lines (pos: number of words)."""
 
@@ -366,11 +369,13 @@ def _looked_up(docs: DataFrame, found: DataFrame, p: int, min_words: int, edit_w
                 at = ln.far(min_words, every)
                 if len(wk):
                     far.add(_far(ln, ids, at[~gone[at]], every, shares.has))
-                    yield from far.sent(200_000)
+                    yield from far.sent(WINDOWS)
         yield from variants.sent(0)
         yield from far.sent(0)
 
-    return docs.mapInArrow(work, _RECORD)
+    out = common.saved(docs.mapInArrow(work, _RECORD))
+    shared.destroy()
+    return out
 
 
 def _joined(docs: DataFrame, found: DataFrame, p: int, min_words: int, edit_words: int, every: int) -> DataFrame:
@@ -414,11 +419,11 @@ def _joined(docs: DataFrame, found: DataFrame, p: int, min_words: int, edit_word
         for b in it:
             key, pos, doc, line, full = (b.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6))
             out.add((key.view(_U), pos, doc, line, full.view(_U), flat(b.column(6))[0].reshape(-1, BINS)))
-            yield from out.sent(200_000)
+            yield from out.sent(WINDOWS)
         yield from out.sent(0)
 
     far = far.select(*rows.columns).mapInArrow(windows, _RECORD)
-    return gone.unionByName(far).unionByName(docs.join(by_doc, F.col("id") == F.col("d")).select("id", "text", "lines").mapInArrow(variants, _RECORD))
+    return common.saved(gone.unionByName(far).unionByName(docs.join(by_doc, F.col("id") == F.col("d")).select("id", "text", "lines").mapInArrow(variants, _RECORD)))
 
 
 def _partners(rec: DataFrame, p: int) -> DataFrame:
@@ -458,6 +463,7 @@ def _partners(rec: DataFrame, p: int) -> DataFrame:
     return got.groupBy("doc", "line", "full").agg(F.min(F.struct("pdoc", "pline")).alias("c")).select("doc", "line", "full", "c.pdoc", "c.pline")
 
 
+PAIRS = 100_000  # compared at once; their histograms take about 100 bytes each
 _PAIRS = "doc bigint, line int, full bigint, pdoc bigint, pline int"
 
 
@@ -472,7 +478,7 @@ def _near(key, n, doc, line, full, bins, done, first: bool, edit_words: int, eve
     total = np.cumsum(count)
     i = 0
     while i < len(todo):
-        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + 1_000_000, "right")))
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
         x, y = np.repeat(todo[i:j], count[i:j]), blobs.ranges(start[i:j], count[i:j])
         most = np.maximum(n[x], n[y])
         allowed = bound(most, edit_words, every)
@@ -510,7 +516,7 @@ def _pairs(packed: DataFrame, done: DataFrame, first: bool, p: int, edit_words:
     """Lines not done with earlier lines that share a window with them and may be near: the earliest of each window, or all others."""
     done = done.select("doc", "line").distinct()
     if done.count() > lookup_keys:
-        return _joined_pairs(_window_rows(packed), done, first, edit_words, every)
+        return common.saved(_joined_pairs(_window_rows(packed), done, first, edit_words, every))
     t = done.toArrow()
     shared = done.sparkSession.sparkContext.broadcast(np.sort(_place(t["doc"].to_numpy(), t["line"].to_numpy())))
 
@@ -520,7 +526,9 @@ def _pairs(packed: DataFrame, done: DataFrame, first: bool, p: int, edit_words:
         key, n, doc, line, full, bins = (x[o] for x in (key, n, doc, line, full, bins))
         yield from _near(key, n, doc, line, full, bins, _Keys(shared.value).has(_place(doc, line)), first, edit_words, every)
 
-    return blobs.by_partition(blobs.exchange(packed.select(F.col("pos").alias("bucket"), F.col("bins").alias("blob")), p), work, _PAIRS).distinct()
+    out = common.saved(blobs.by_partition(blobs.exchange(packed.select(F.col("pos").alias("bucket"), F.col("bins").alias("blob")), p), work, _PAIRS).distinct())
+    shared.destroy()
+    return out
 
 
 def _joined_pairs(rows: DataFrame, done: DataFrame, first: bool, edit_words: int, every: int) -> DataFrame:
@@ -641,13 +649,13 @@ def removals(df: DataFrame, id_col: str = "doc_id", text: str = "text", min_word
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where("text is not null and id is not null")
     p = common.buckets_for(df, 12 << 20)
     found = _second_side(_first_side(docs, p, min_words, edit_words, edit_every))
-    rec = common.saved((_looked_up if found.count() <= lookup_keys else _joined)(docs, found, p, min_words, edit_words, edit_every))
+    rec = (_looked_up if found.count() <= lookup_keys else _joined)(docs, found, p, min_words, edit_words, edit_every)
     near = _check(docs, common.saved(_partners(rec.where("kind = 2"), p)), edit_words, edit_every)
     far = rec.where("kind = 5")
     if far.limit(1).count():  # only an existence check
         near = common.saved(near)
         for first in (True, False):
-            pairs = common.saved(_pairs(far, near, first, p, edit_words, edit_every, lookup_keys))
+            pairs = _pairs(far, near, first, p, edit_words, edit_every, lookup_keys)
             near = common.saved(near.unionByName(_check(docs, pairs, edit_words, edit_every)))
     gone = rec.where("kind = 0").select("doc", "line", "full").unionByName(near)
     return common.saved(gone.groupBy(F.col("doc").alias("d")).agg(F.collect_set(F.struct("line", "full")).alias("gone")))
