@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: Sides up to this many estimated bytes are broadcast; larger ones go through a shuffle.
 BROADCAST_BYTES = 48 << 20
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 RELEASE_S = 5  # at most, for references that Python dropped to reach the JVM
 
 
@@ -93,10 +94,10 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None, items: str | N
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows, where the session has Spark's default of 10,000: of texts these are tens of megabytes on both sides of every task."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes, where the session has Spark's defaults of 10,000 and 64 MB: of texts and packed arrays these are tens of megabytes on both sides of every task."""
+    for name, default, most in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

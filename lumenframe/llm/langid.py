@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm import blobs, common
 from lumenframe.llm.textvec import flat, runs
 
+#: Texts are scanned in runs of about this many bytes; arrays beside them take some 100 bytes a character.
+SCAN_BYTES = 1 << 18
 ORDER, BITS = 4, 6
 CLASSES = 1 << BITS
 MAX_LANGUAGES = 128
@@ -59,6 +61,10 @@ def _table() -> np.ndarray:
     return out
 
 
+def slices(arr: pa.Array) -> Iterator[tuple[int, int]]:
+    return runs(arr, SCAN_BYTES)
+
+
 def grams(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """4-gram keys of all texts one after another, their bounds, and which texts have a letter."""
     buf, off = flat(arr)
@@ -112,7 +118,7 @@ def count(train: DataFrame, lang: str, text: str) -> dict[str, tuple[np.ndarray,
 
         for batch in it:
             langs, t = np.array(batch.column(0).to_pylist(), object), batch.column(1)
-            for i, j in runs(t):
+            for i, j in slices(t):
                 key, bound, _ = grams(t.slice(i, j - i))
                 who = np.repeat(np.arange(j - i), np.diff(bound))
                 for name in sorted(set(langs[i:j])):
@@ -285,7 +291,7 @@ class Grouped(Model):
 
             def work(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 for b in it:
-                    for i, j in runs(b.column(k - 1)):
+                    for i, j in slices(b.column(k - 1)):
                         part = b.slice(i, j - i)
                         h, n, letter = shared.value.entropies(part.column(k - 1))
                         if part.num_columns > k:
@@ -321,7 +327,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "
         model = shared.value
         names = {x: i for i, x in enumerate(model.langs)}
         for b in it:
-            for i, j in runs(b.column(1)):
+            for i, j in slices(b.column(1)):
                 part = b.slice(i, j - i)
                 if grouped:
                     h = part.column(4).flatten().to_numpy().reshape(j - i, -1)
@@ -349,7 +355,7 @@ def predictions(df: DataFrame, model: Model, text: str, keep: list[str]) -> Data
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for i, j in runs(b.column(k)):
+            for i, j in slices(b.column(k)):
                 part = b.slice(i, j - i)
                 if grouped:
                     h = part.column(k + 3).flatten().to_numpy().reshape(j - i, -1)

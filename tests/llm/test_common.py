@@ -26,6 +26,18 @@ def test_sides_are_broadcast_by_size_only(spark):
     assert "broadcast" not in common.small(arrays, 8, items="x", item_bytes=1 << 20)._jdf.queryExecution().logical().toString().lower()
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    """Rows of packed arrays are large; by rows alone a task holds tens of megabytes of them on both sides."""
+
+    def work(it):
+        for b in it:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], names=["n", "size"])
+
+    common.text_batches(spark)
+    got = spark.range(64, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 18).alias("x")).mapInArrow(work, "n bigint, size bigint").collect()
+    assert sum(r.n for r in got) == 64 and max(r.size for r in got) <= common.BATCH_BYTES + (1 << 19)
+
+
 def test_words_lines_and_windows_against_plain_code():
     texts = ["", " ", "a", "Ab  c\n\nd\t", None, "\n", "é　ü x\nx", "x" * 3000 + " y"]
     w = Words(pa.array(texts), lower=True)

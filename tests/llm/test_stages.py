@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -119,6 +120,19 @@ def test_grams_keep_texts_apart():
     assert [both[a:b].tolist() for a, b in zip(bound[:-1], bound[1:], strict=True)] == apart and letter.tolist() == [True, False, False, True]
 
 
+def test_scanning_takes_little_memory_whatever_the_batch():
+    arr = pa.array(["the river walks " * 125] * 1000)
+    model = langid.Model({"en": (np.arange(64, dtype=np.uint32), np.ones(64, np.int64))})
+    parts = list(langid.slices(arr))
+    assert [k for i, j in parts for k in range(i, j)] == list(range(1000))
+    model.entropies(arr.slice(0, 1))
+    tracemalloc.start()
+    h = np.concatenate([model.entropies(arr.slice(i, j - i))[0] for i, j in parts])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert h.shape == (1000, 1) and np.ptp(h) < 1e-9 and peak < 32 << 20
+
+
 def test_held_out_accuracy_and_rejection(spark):
     rows = [*corpus(), (5000, None, "en", "a", 0), (5001, "123 --", "en", "a", 0), (5002, "xq zzk vvq kjq " * 80, None, "a", 0)]
     df = spark.createDataFrame(rows, SCHEMA)
