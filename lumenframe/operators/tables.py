@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -21,6 +23,7 @@ from lumenframe.functions import tsyntax as ts
 from lumenframe.functions.errors import ObjectError
 from lumenframe.operators import pixels as px
 from lumenframe.operators import transcode as tc
+from lumenframe.sources import batches as bt
 from lumenframe.sources import objects as ob
 
 BATCH_BYTES = 32 << 20
@@ -116,21 +119,30 @@ def wide(df: DataFrame, keywords: list[str], content: str = "content", keep: lis
     tail = ["transfer_syntax_uid", "pixel_kind", "error_code", "error_message"]
     schema = _kept(df, keep) + ", ".join(f"`{c}` string" for c in [*keywords, *tail])
 
+    def one(x: bytes | None) -> tuple:
+        try:
+            if x is None:
+                return (None,) * (len(tags) + 4)
+            o = ob.parse(x)
+            return *(o.text(t) for t in tags), o.syntax, tc.pixel_kind(o), None, None
+        except Exception as err:
+            return (None,) * (len(tags) + 2) + _error(err, mode)
+
+    def group(g: bt.Group) -> list[pa.Array]:
+        n, e = len(g.rows), g.find(ob.PIXELS)[0]
+        kind = pa.nulls(n, pa.string()) if e is None or e.kind != bt.VALUE else pc.if_else(pa.array(e.length > 0), "native", pa.scalar(None, pa.string()))
+        return [*(bt.column(g, t) for t in tags), pa.array([g.syntax] * n, pa.string()), pc.fill_null(kind, "absent"), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())]
+
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            out = []
-            for x in b.column(len(keep)):
-                x = x.as_py()
-                try:
-                    if x is None:
-                        out.append((None,) * (len(tags) + 4))
-                        continue
-                    o = ob.parse(x)
-                    out.append((*(o.text(t) for t in tags), o.syntax, tc.pixel_kind(o), None, None))
-                except Exception as err:
-                    out.append((None,) * (len(tags) + 2) + _error(err, mode))
-            cols = list(zip(*out, strict=True)) if out else [()] * (len(tags) + 4)
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + [pa.array(c, pa.string()) for c in cols], names=[*keep, *keywords, *tail])
+        for whole in it:
+            for b in bt.parts(whole, len(keep)):
+                groups, left = bt.scan(b.column(len(keep)))
+                got = [(g.rows, group(g)) for g in groups]
+                if left:
+                    rows = [one(b.column(len(keep))[i].as_py()) for i in left]
+                    got.append((np.array(left), [pa.array(c, pa.string()) for c in zip(*rows, strict=True)]))
+                cols = [bt.merged(b.num_rows, [(r, c[k]) for r, c in got], pa.string()) for k in range(len(tags) + 4)]
+                yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + cols, names=[*keep, *keywords, *tail])
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{content}`")).mapInArrow(work, schema)
 
@@ -269,21 +281,24 @@ def encode(df: DataFrame, attributes: dict[str, str], syntax: str = ts.EXPLICIT_
     def item(x: dict) -> dict:
         return ob.build(x).data
 
+    def one(row: dict) -> bytes:
+        values: dict = dict(fixed)
+        for t, c in tags.items():
+            v = row[c]
+            if dd.vr_of(t) == "SQ" and v is not None:
+                v = [item(x) for x in v]
+            elif v is not None and dd.vr_of(t) in dd.STRING_VRS | dd.TEXT_VRS:
+                v = [x if isinstance(x, str) else ob.number_text(x) for x in (v if isinstance(v, list) else [v])]
+            values[t] = v
+        return ob.write(ob.build(values, syntax))
+
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            data = {c: b.column(len(keep) + k).to_pylist() for k, c in enumerate(cols)}
-            out = []
-            for i in range(b.num_rows):
-                values: dict = dict(fixed)
-                for t, c in tags.items():
-                    v = data[c][i]
-                    if dd.vr_of(t) == "SQ" and v is not None:
-                        v = [item(x) for x in v]
-                    elif v is not None and dd.vr_of(t) in dd.STRING_VRS | dd.TEXT_VRS:
-                        v = [x if isinstance(x, str) else ob.number_text(x) for x in (v if isinstance(v, list) else [v])]
-                    values[t] = v
-                out.append(ob.write(ob.build(values, syntax)))
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + [pa.array(out, pa.binary())], names=[*keep, "content"])
+            out = bt.encoded(b.num_rows, {t: b.column(len(keep) + cols.index(c)) for t, c in tags.items()}, fixed, syntax) if b.num_rows else None
+            if out is None:
+                data = {c: b.column(len(keep) + k).to_pylist() for k, c in enumerate(cols)}
+                out = pa.array([one({c: data[c][i] for c in cols}) for i in range(b.num_rows)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in range(len(keep))] + [out], names=[*keep, "content"])
 
     return df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"`{c}`").alias(f"__{k}") for k, c in enumerate(cols)]).mapInArrow(work, _kept(df, keep) + "content binary")
 
