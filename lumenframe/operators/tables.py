@@ -26,7 +26,7 @@ from lumenframe.operators import transcode as tc
 from lumenframe.sources import batches as bt
 from lumenframe.sources import objects as ob
 
-BATCH_BYTES = 32 << 20
+EXPLODED_BYTES = 2 << 20  # of contents and results in a batch of frames
 ELEMENTS = (
     "item_path string, ord int, tag bigint, tag_hex string, keyword string, vr string, vm int, str_values array<string>, num_values array<double>, "
     "int_values array<decimal(20,0)>, bytes binary, offset bigint, value_length bigint, is_meta boolean, error_code string, error_message string"
@@ -154,8 +154,9 @@ def _function(f: Callable, returns: str, mode: str) -> Callable[..., Column]:
 
     def run(*cols: pa.Array) -> pa.Array:
         v, c, m = [], [], []
-        for row in zip(*(x.to_pylist() for x in cols), strict=True):
+        for cells in zip(*cols, strict=True):
             try:
+                row = [x.as_py() for x in cells]
                 v.append(None if row[0] is None else f(*row))
                 c.append(None)
                 m.append(None)
@@ -215,18 +216,30 @@ def _exploded(df: DataFrame, content: str, keep: list[str] | None, mode: str, sc
     keep = keep if keep is not None else [c for c in df.columns if c != content]
     names = [*keep, *(x.split()[0] for x in schema.split(", "))]
 
+    def batch(b: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        idx = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([b.column(k).take(idx) for k in range(len(keep))] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
+            at, rows, size = [], [], 0
             for i in range(b.num_rows):
                 x = b.column(len(keep))[i].as_py()
                 if x is None:
                     continue
                 try:
-                    rows = list(f(x))
+                    got = list(f(x))
                 except Exception as err:
-                    rows = [(None,) * (len(types) - 2) + _error(err, mode)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.repeat(b.column(k)[i], len(rows)) for k in range(len(keep))] + [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    got = [(None,) * (len(types) - 2) + _error(err, mode)]
+                rows += got
+                at += [i] * len(got)
+                size += len(x) + sum(len(y) * (8 if isinstance(y, list) else 1) for r in got for y in r if isinstance(y, bytes | list))
+                if size > EXPLODED_BYTES:
+                    if rows:
+                        yield batch(b, at, rows)
+                    at, rows, size = [], [], 0
+            if rows:
+                yield batch(b, at, rows)
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{content}`")).mapInArrow(work, _kept(df, keep) + schema)
 

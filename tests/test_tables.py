@@ -146,3 +146,19 @@ def test_bulk_of_odd_texts(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = con.execute(f"SELECT doc_id, kind, length, same FROM ({registry.ORACLE_SQL['bulk_inline_or_uri']})").fetchall()
     assert sorted(want) == sorted((r.doc_id, r.kind, r.length, r.same) for r in registry.QUERIES["bulk_inline_or_uri"](spark, str(tmp_path)).collect())
+
+
+def test_frames_come_in_few_batches(spark):
+    import pyarrow as pa
+
+    class Plan:
+        columns, schema = ["content"], ()
+        select = lambda self, *_: self
+        mapInArrow = lambda self, work, _: work
+
+    a = pa.RecordBatch.from_arrays([pa.array([ob.write(sc())] * 50 + [b"bad"], pa.binary())], names=["content"])
+    for f in (tables.frames, tables.render, tables.pixel_values):
+        got = list(f(Plan())(iter([a])))
+        assert sum(b.num_rows for b in got) == 51 and len(got) == 1
+    big = pa.RecordBatch.from_arrays([pa.array([ob.write(dx(512, 512))] * 9, pa.binary())], names=["content"])
+    assert max(b.nbytes for b in tables.frames(Plan())(iter([big]))) < 4 << 20
