@@ -176,8 +176,53 @@ def _function(f: Callable, returns: str, mode: str) -> Callable[..., Column]:
     return lambda *cols: arrow_udf(one if len(cols) == 1 else two, schema)(*cols)
 
 
+def _batched(f: Callable[[object], object], columns: Callable[[pa.Array], tuple[list, list[int]]], returns: str, mode: str) -> Callable[[Column], Column]:
+    """An Arrow function like ``_function`` of one column: by columns where that is possible, else row by row."""
+    types = ({"binary": pa.binary(), "string": pa.string()}[returns], pa.string(), pa.string())
+
+    def part(a: pa.Array) -> pa.StructArray:
+        done, left = columns(a)
+        got = [(r, [v, *[pa.nulls(len(v), pa.string())] * 2]) for r, v in done]
+        if left:
+            rows = []
+            for i in left:
+                try:
+                    x = a[i].as_py()
+                    rows.append((None if x is None else f(x), None, None))
+                except Exception as err:
+                    rows.append((None, *_error(err, mode)))
+            got.append((np.array(left), [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]))
+        return pa.StructArray.from_arrays([bt.merged(len(a), [(r, c[k]) for r, c in got], t) for k, t in enumerate(types)], names=["value", "code", "message"])
+
+    def run(a: pa.Array) -> pa.Array:
+        done = [part(b.column(0)) for b in bt.parts(pa.RecordBatch.from_arrays([a], ["content"]), 0)]
+        return pa.concat_arrays(done) if done else part(a)
+
+    return arrow_udf(run, f"value {returns}, code string, message string")
+
+
+def _by_group(f: Callable[[bt.Group], pa.Array | None]) -> Callable[[pa.Array], tuple[list, list[int]]]:
+    def columns(a: pa.Array) -> tuple[list, list[int]]:
+        groups, left = bt.scan(a)
+        done = []
+        for g in groups:
+            v = f(g)
+            if v is None:
+                left += g.rows.tolist()
+            else:
+                done.append((g.rows, v))
+        return done, left
+
+    return columns
+
+
 def transcode(content: Column, target: str, quality: int = 90, mode: str = "PERMISSIVE") -> Column:
-    return _function(lambda x: ob.write(tc.transcode(ob.parse(x), target, quality)), "binary", mode)(content)
+    uid = ts.normalize(target)
+
+    def columns(g: bt.Group) -> pa.Array | None:
+        return bt.rewritten(g, uid) if uid in bt.SYNTAXES else None
+
+    return _batched(lambda x: ob.write(tc.transcode(ob.parse(x), target, quality)), _by_group(columns), "binary", mode)(content)
 
 
 def override(content: Column, sets: list[str] = (), removes: list[str] = (), mode: str = "PERMISSIVE") -> Column:

@@ -8,6 +8,7 @@ from fixtures import ct, dx, sc
 
 from lumenframe.functions import documents as docs
 from lumenframe.functions import tsyntax as ts
+from lumenframe.operators import transcode as tc
 from lumenframe.sources import batches as bt
 from lumenframe.sources import objects as ob
 
@@ -42,6 +43,8 @@ def test_groups(files):
         rows = [files[i] for i in g.rows]
         for t in TAGS:
             assert bt.column(g, t).to_pylist() == [ob.parse(x).text(t) for x in rows]
+        for uid in bt.SYNTAXES:
+            assert bt.rewritten(g, uid).to_pylist() == [ob.write(tc.transcode(ob.parse(x), uid)) for x in rows]
 
 
 def test_rows_alike_go_by_columns():
