@@ -227,7 +227,19 @@ def transcode(content: Column, target: str, quality: int = 90, mode: str = "PERM
 
 def override(content: Column, sets: list[str] = (), removes: list[str] = (), mode: str = "PERMISSIVE") -> Column:
     [docs.parse_set(x) for x in sets], [docs.parse_key(x) for x in removes]  # refused before any job
-    return _function(lambda x: ob.write(docs.override(ob.parse(x), list(sets), list(removes))), "binary", mode)(content)
+    gone = frozenset(docs.parse_key(x) for x in removes)
+    try:
+        new = docs.override(ob.Object(), list(sets))
+        [ob.encode_value(e, order) for e in new.data.values() for order in "<>"]
+    except ObjectError:
+        new = None  # a value that doesn't fit: every row says so
+
+    def columns(g: bt.Group) -> pa.Array | None:
+        if new is None or new.meta or any(t >> 16 == 2 for t in gone):
+            return None
+        return bt.rewritten(g, None, new.data, gone)
+
+    return _batched(lambda x: ob.write(docs.override(ob.parse(x), list(sets), list(removes))), _by_group(columns), "binary", mode)(content)
 
 
 def redact(content: Column, boxes: list[str], color: str = "0,0,0", target: str | None = None, mode: str = "PERMISSIVE") -> Column:

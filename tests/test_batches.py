@@ -39,12 +39,15 @@ def files():
 def test_groups(files):
     groups, left = bt.scan(pa.array(files, pa.binary()))
     assert sorted([*left, *(int(i) for g in groups for i in g.rows)]) == list(range(len(files))) and sum(len(g.rows) for g in groups) > 500
+    sets, removes = ["PatientName=Doe^J", "StudyDescription=x", "(0008,1030)=URGENT", "SOPInstanceUID=9.9"], ["PatientID", "RequestAttributesSequence", "PatientSex"]
+    new, gone = docs.override(ob.Object(), sets).data, frozenset(map(docs.parse_key, removes))
     for g in groups:
         rows = [files[i] for i in g.rows]
         for t in TAGS:
             assert bt.column(g, t).to_pylist() == [ob.parse(x).text(t) for x in rows]
         for uid in bt.SYNTAXES:
             assert bt.rewritten(g, uid).to_pylist() == [ob.write(tc.transcode(ob.parse(x), uid)) for x in rows]
+        assert bt.rewritten(g, None, new, gone).to_pylist() == [ob.write(docs.override(ob.parse(x), sets, removes)) for x in rows]
 
 
 def test_rows_alike_go_by_columns():
