@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from lumenframe.functions import dictionary as dd
+from lumenframe.functions import docbatches as db
 from lumenframe.functions import documents as docs
 from lumenframe.functions import tsyntax as ts
 from lumenframe.functions.errors import ObjectError
@@ -254,13 +255,15 @@ def render_object(content: Column, target: str, options: px.Options = px.Options
 def to_json_doc(content: Column, format: str = "flat", keys: str = "name", bulk: str = "inline", base: str | None = None, sets: list[str] = (), removes: list[str] = (), compat: bool = False, mode: str = "PERMISSIVE") -> Column:
     """A document of each object; in uri mode addresses point into the content itself, as it was before overrides."""
     f = lambda x: docs.write_json(docs.override(ob.parse(x), list(sets), list(removes)), format, keys, bulk, x if bulk == "uri" else None, base, compat)
+    if bulk == "inline" and format in ("flat", "standard") and not sets and not removes:
+        return _batched(f, _by_group(lambda g: db.written(g, format, keys)), "string", mode)(content)
     return _function(f, "string", mode)(content)
 
 
 def from_json_doc(doc: Column, format: str = "flat", source: Column | None = None, target: str | None = None, mode: str = "PERMISSIVE") -> Column:
     """A file of each document; ``source`` holds the bytes that addresses point into."""
     f = lambda d, s=None: ob.write(docs.read_json(d, format, s), target)
-    return _function(f, "binary", mode)(doc) if source is None else _function(f, "binary", mode)(doc, source)
+    return _batched(f, lambda a: db.read(a, format, target), "binary", mode)(doc) if source is None else _function(f, "binary", mode)(doc, source)
 
 
 FRAMES = "frame_index int, rows int, columns int, samples int, bits_allocated int, bits_stored int, is_signed boolean, planar int, photometric string, frame binary, error_code string, error_message string"

@@ -1,11 +1,13 @@
 """Batches read and written by columns give what the row by row code gives."""
 
+import json
 import random
 
 import pyarrow as pa
 import pytest
 from fixtures import ct, dx, sc
 
+from lumenframe.functions import docbatches as db
 from lumenframe.functions import documents as docs
 from lumenframe.functions import tsyntax as ts
 from lumenframe.operators import transcode as tc
@@ -48,6 +50,25 @@ def test_groups(files):
         for uid in bt.SYNTAXES:
             assert bt.rewritten(g, uid).to_pylist() == [ob.write(tc.transcode(ob.parse(x), uid)) for x in rows]
         assert bt.rewritten(g, None, new, gone).to_pylist() == [ob.write(docs.override(ob.parse(x), sets, removes)) for x in rows]
+        for form, keys in (("flat", "name"), ("flat", "hex"), ("standard", "name")):
+            got = db.written(g, form, keys)
+            if got is not None:
+                assert got.to_pylist() == [docs.write_json(ob.parse(x), form, keys) for x in rows]
+
+
+@pytest.mark.parametrize("form", ["flat", "standard"])
+def test_documents(form):
+    r, known = random.Random(2), []
+    for i in range(200):
+        known.append(docs.write_json(ob.build({k: v for k, v in (values(i, r) | {"SOPInstanceUID": f"2.25.{i}"}).items() if i < 100 or v is not None}), form))
+    odd = [json.dumps(json.loads(x) | {("PatientID" if form == "flat" else "00100020"): y}) for x in known[:40] for y in (5, ["x"], {"vr": "LO", "Value": ["a", "b"]}, {"vr": "ZZ"})]
+    for rows in (known[:100], known + odd + [None, "junk", "[]"]):
+        for uid in (None, ts.EXPLICIT_BE, ts.DEFLATED):
+            done, left = db.read(pa.array(rows, pa.string()), form, uid)
+            assert sorted([*left, *(int(i) for k, _ in done for i in k)]) == list(range(len(rows)))
+            assert len(rows) > 100 or not left
+            for k, got in done:
+                assert got.to_pylist() == [ob.write(docs.read_json(rows[i], form), uid) for i in k]
 
 
 def test_rows_alike_go_by_columns():
