@@ -80,6 +80,72 @@ def element_rows(o: ob.Object, only: frozenset[int] | None = None) -> Iterator[t
     yield from walk(o.data, "", False)
 
 
+def _listed(values: pa.Array, there: np.ndarray) -> pa.Array:
+    """Lists of one value where there is one, else null."""
+    kind = pa.list_(values.type)
+    if there.all():
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(there) + 1), pa.int32()), values).cast(kind)
+    off = np.concatenate([[0], np.cumsum(there)])
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), values.filter(pa.array(there)), mask=pa.array(~there)).cast(kind)
+
+
+def element_columns(g: bt.Group, only: frozenset[int] | None = None) -> list[pa.Array] | None:
+    """What ``element_rows`` gives, for all rows of a group; None for what isn't done by columns."""
+    n, out, k = len(g.rows), [], 0
+    same = lambda x, t: pa.array([x], t).take(pa.array(np.zeros(n, np.int64)))
+    for nodes, buf, origin, order, is_meta in ((g.meta, g.content, None, "<", True), (g.data, g.body, g.origin, ts.byte_order(g.syntax), False)):
+        path: list[tuple[str, int]] = []  # sequences around a place, and how many items each has had
+        for i, x in enumerate(nodes):
+            if x.kind == bt.ITEM:
+                path[-1] = path[-1][0], path[-1][1] + 1
+            elif x.kind == bt.SEQUENCE_END:
+                path.pop()
+            if x.kind not in (bt.VALUE, bt.SEQUENCE):
+                continue
+            if only is None or x.tag in only:
+                text, nums, ints, raw = (pa.nulls(n, t) for t in _E_TYPES[7:11])
+                there, length = x.length > 0, x.length
+                vm = there.astype(np.int32)
+                if x.kind == bt.SEQUENCE:
+                    end = next(y for y in nodes[i:] if y.kind == bt.SEQUENCE_END and y.depth == x.depth)
+                    length = end.start - x.start - 8
+                    inside = nodes[i : next(j for j in range(i, len(nodes)) if nodes[j] is end)]
+                    vm = np.full(n, sum(y.kind == bt.ITEM and y.depth == x.depth + 1 for y in inside), np.int32)
+                elif x.vr in dd.BULK_VRS:
+                    raw = bt.cells(buf, x.start, x.length)
+                    raw = bt.swapped(raw, ob.WIDTH.get(x.vr, 1)) if order == ">" else raw
+                    raw = pc.if_else(pa.array(there), raw.cast(pa.binary()), pa.scalar(None, pa.binary()))
+                elif x.vr in dd.STRING_VRS or x.vr in dd.TEXT_VRS:
+                    s = bt.texts(bt.cells(buf, x.start, x.length), x.vr)
+                    several = x.vr in dd.STRING_VRS and pc.any(pc.match_substring(s, "\\")).as_py()
+                    text = pc.split_pattern(s, "\\") if several else _listed(s, s.is_valid().to_numpy(zero_copy_only=False))
+                    vm = pc.fill_null(pc.list_value_length(text), 0).to_numpy(zero_copy_only=False)
+                    if x.vr in ("DS", "IS"):
+                        got = [None if y is None else [px.first_number(z) for z in y] for y in text.to_pylist()]
+                        nums = pa.array([None if y is None or None in y else y for y in got], _E_TYPES[8])
+                else:
+                    v = bt.numbers(bt.cells(buf, x.start, x.length), x.vr, order)
+                    if v is None:
+                        return None
+                    write = dd.expression if x.vr == "AT" else ob.number_text
+                    text = _listed(pa.array([write(y) for y in v.tolist()], pa.string()), there)
+                    if x.vr != "AT":
+                        nums = _listed(pa.array(v.astype(np.float64)), there)
+                        ints = _listed(pa.array(v).cast(pa.decimal128(20, 0)), there) if x.vr not in ("FL", "FD") else ints
+                where = ".".join(f"{a}[{b}]" for a, b in path)
+                offset = x.start - (g.start if is_meta else origin)
+                out.append(
+                    [same(where, pa.string()), same(k, pa.int32()), same(x.tag, pa.int64()), same(dd.hex_key(x.tag), pa.string()), same(dd.keyword(x.tag), pa.string()), same(x.vr, pa.string()), pa.array(vm, pa.int32()), text, nums, ints, raw, pa.array(offset), pa.array(length), same(is_meta, pa.bool_()), *[pa.nulls(n, pa.string())] * 2]
+                )
+            k += 1
+            if x.kind == bt.SEQUENCE:
+                path.append((dd.hex_key(x.tag), -1))
+    if not out:
+        return [pa.nulls(0, t) for t in _E_TYPES]
+    order = pa.array((np.arange(n)[:, None] + n * np.arange(len(out))).ravel())
+    return [pa.concat_arrays([c.cast(t) for c in cols]).take(order) for cols, t in zip(zip(*out, strict=True), _E_TYPES, strict=True)]
+
+
 def elements(df: DataFrame, content: str = "content", keep: list[str] | None = None, mode: str = "PERMISSIVE", preamble: str = "auto", keywords: list[str] | None = None) -> DataFrame:
     """One row per element, nested ones with the path of their item; one row with the error for a broken object.
 
@@ -89,26 +155,39 @@ def elements(df: DataFrame, content: str = "content", keep: list[str] | None = N
     only = None if keywords is None else frozenset(docs.parse_key(k) for k in keywords)
     keep = keep if keep is not None else [c for c in df.columns if c != content]
 
+    names = [*keep, *(x.split()[0] for x in ELEMENTS.split(", "))]
+
+    def one(x: bytes | None) -> list[tuple]:
+        if x is None:
+            return []
+        try:
+            return list(element_rows(ob.parse(x, preamble, only), only))
+        except Exception as err:
+            return [(None,) * 14 + _error(err, mode)]
+
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*keep, *(x.split()[0] for x in ELEMENTS.split(", "))]
-        for b in it:
-            col = b.column(len(keep))
-            rows, at, size = [], [], 0
-            for i in range(b.num_rows):
-                x = col[i].as_py()
-                if x is not None:
-                    try:
-                        got = list(element_rows(ob.parse(x, preamble, only), only))
-                    except Exception as err:
-                        got = [(None,) * 14 + _error(err, mode)]
-                    rows += got
-                    at += [i] * len(got)
-                    size += len(x)
-                if size > BATCH_BYTES or (i == b.num_rows - 1 and rows):
-                    cols = list(zip(*rows, strict=True))
-                    idx = pa.array(at, pa.int64())
-                    yield pa.RecordBatch.from_arrays([b.column(k).take(idx) for k in range(len(keep))] + [pa.array(c, t) for c, t in zip(cols, _E_TYPES, strict=True)], names=names)
-                    rows, at, size = [], [], 0
+        for whole in it:
+            for b in bt.parts(whole, len(keep)):
+                groups, left = bt.scan(b.column(len(keep)))
+                at, got = [], []
+                for g in groups:
+                    cols = element_columns(g, only)
+                    if cols is None:
+                        left += g.rows.tolist()
+                    elif len(cols[0]):
+                        at.append(np.repeat(g.rows, len(cols[0]) // len(g.rows)))
+                        got.append(cols)
+                rows = [(i, r) for i in left for r in one(b.column(len(keep))[i].as_py())]
+                if rows:
+                    at.append(np.array([i for i, _ in rows]))
+                    got.append([pa.array(c, t) for c, t in zip(zip(*(r for _, r in rows), strict=True), _E_TYPES, strict=True)])
+                if not got:
+                    continue
+                idx, cols = np.concatenate(at), [pa.concat_arrays(c) for c in zip(*got, strict=True)]
+                if len(got) > 1:
+                    order = np.argsort(idx, kind="stable")
+                    idx, cols = idx[order], [c.take(pa.array(order)) for c in cols]
+                yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(idx)) for k in range(len(keep))] + cols, names=names)
 
     return df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{content}`")).mapInArrow(work, _kept(df, keep) + ELEMENTS)
 

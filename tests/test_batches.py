@@ -10,6 +10,7 @@ from fixtures import ct, dx, sc
 from lumenframe.functions import docbatches as db
 from lumenframe.functions import documents as docs
 from lumenframe.functions import tsyntax as ts
+from lumenframe.operators import tables
 from lumenframe.operators import transcode as tc
 from lumenframe.sources import batches as bt
 from lumenframe.sources import objects as ob
@@ -50,6 +51,10 @@ def test_groups(files):
         for uid in bt.SYNTAXES:
             assert bt.rewritten(g, uid).to_pylist() == [ob.write(tc.transcode(ob.parse(x), uid)) for x in rows]
         assert bt.rewritten(g, None, new, gone).to_pylist() == [ob.write(docs.override(ob.parse(x), sets, removes)) for x in rows]
+        for only in (None, frozenset([TAGS[1], TAGS[4], 0x00080100, 0x00400275])):
+            got = tables.element_columns(g, only)
+            if got is not None:
+                assert repr(list(zip(*[c.to_pylist() for c in got], strict=True))) == repr([y for x in rows for y in tables.element_rows(ob.parse(x, "auto", only), only)])
         for form, keys in (("flat", "name"), ("flat", "hex"), ("standard", "name")):
             got = db.written(g, form, keys)
             if got is not None:
